@@ -1 +1,8 @@
 """doctide: document analytics and corpus preparation expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that those need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
