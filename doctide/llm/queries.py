@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "topk")
+MODULES = ("mixing", "simhash", "topk", "urls")
 
 
 def load() -> tuple[dict, dict]:
