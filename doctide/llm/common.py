@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,11 @@ class Scratch:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.scratch_path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so when their plans are garbage-collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over 64 bits (the splitmix finaliser)."""
