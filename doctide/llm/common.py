@@ -123,9 +123,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         first = end
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and 64-bit hash of each word; A-Z count as a-z if `lower`."""
-    space = SPACE[raw]
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and 64-bit hash of each word; A-Z count as a-z if `lower`; `apart` tells the bytes between words."""
+    space = apart[raw]
     fresh = np.empty(len(raw), bool)
     last = np.empty(len(raw), bool)
     if len(raw):
