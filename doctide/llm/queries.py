@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm", "minhash", "mixing", "packing", "quality", "repeats", "simhash", "topk", "urls")
+MODULES = ("licenses", "lm", "minhash", "mixing", "packing", "quality", "repeats", "simhash", "topk", "urls")
 
 
 def load() -> tuple[dict, dict]:
