@@ -56,7 +56,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, at = text_buffer(batch.column("text"))
         raw = raw.tobytes()
         found = np.fromiter((fingerprint(raw[a:b].lower().split()) for a, b in itertools.pairwise(at.tolist())), np.uint64, len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(found))], ["doc_id", "code"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(signed(found))], ["doc_id", "content", "code"])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -184,28 +184,38 @@ def near_links(codes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, code, component_id) of every row of docs (doc_id, text).
+    """(doc_id, content, code, component_id) of every row of docs (doc_id, text); content is a hash of the text.
 
     component_id is the smallest doc_id that links of RADIUS or fewer differing bits reach.  Null and empty texts have
     fingerprint zero, linked like any other.  Equal fingerprints are one node, so groups of copies of any size cost one
     row.  Rows without doc_id take part and get their component; an empty table gives an empty result.
     """
-    coded = scratch.keep(docs.select("doc_id", "text").mapInArrow(fingerprints, "doc_id long, code long"), "codes")
+    coded = docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(fingerprints, "doc_id long, content long, code long")
+    coded = scratch.keep(coded, "codes")
     nodes = scratch.keep(coded.groupBy("code").agg(F.min("doc_id").alias("first")), "nodes")
     roots = scratch.keep(components(near_links(nodes.select("code"), nodes.count(), scratch), scratch), "roots")
     member = nodes.join(roots, F.col("code") == F.col("node"), "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     member = scratch.keep(member, "members")
     label = scratch.keep(member.groupBy("root").agg(F.min("first").alias("component_id")), "labels")
     named = scratch.keep(member.join(label, "root").select(F.col("code").alias("node"), "component_id"), "named")
-    return coded.join(named, F.col("code") == F.col("node")).select("doc_id", "code", "component_id")
+    return coded.join(named, F.col("code") == F.col("node")).select("doc_id", "content", "code", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id, its first row if that repeats."""
-    kept = scratch.keep(near_duplicates(docs, scratch).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One row of each group of near-duplicates: that of the smallest doc_id, its first row if that repeats.
+
+    Different texts under one doc_id are different documents and stay if theirs is the smallest of the group.  Rows
+    without doc_id cannot be told apart and stay as well.
+    """
+    groups = near_duplicates(docs, scratch).where("doc_id = component_id").groupBy("doc_id", "content").agg(F.count("*").alias("n"))
+    kept = scratch.keep(groups.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "kept")
+    own = F.expr("doc_id = _dt_id and xxhash64(text) = _dt_content")
+    out = docs.join(kept.where("n = 1"), own, "left_semi")
+    again = kept.where("n > 1")
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
+    unnamed = docs.where("doc_id is null")
+    return out if unnamed.isEmpty() else out.unionByName(unnamed)
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
