@@ -81,10 +81,10 @@ def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """PACKED for every piece of docs (doc_id, source, text): its bin, its place there and the words in the bin.
 
     A duplicate cluster is the texts that are equal but for letter case, digits and white space.  Texts without words
-    make one empty piece, which takes no room but a bin of its own.  Repeated rows are texts of one cluster.
+    make one empty piece, which takes no room.  Repeated rows are texts of one cluster.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\d]+", " ")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\d]+", " "))
     each = docs.select("doc_id", "source", words.alias("words"), F.xxhash64(plain).alias("cluster"), F.xxhash64("text", "source").alias("content"))
     each = scratch.keep(each.groupBy(*each.columns).agg(F.count("*").alias("n")), "sizes")
     copies = each.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))

@@ -143,9 +143,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, content, spans array<struct<first, end>>): byte spans of each document that repeated strings cover.
+    """(_dt_id, _dt_content, _dt_spans array<struct<first, end>>): byte spans of each document that repeated strings cover.
 
-    content is a hash of the text; rows that agree in both keys have equal texts and so equal spans.
+    _dt_content is a hash of the text; rows that agree in both keys have equal texts and so equal spans.
     """
     runs = scratch.keep(keyed(docs).mapInArrow(_sample, RUNS), "runs")
     spans, left = interleaved(runs, scratch, False)
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
             near = snippets.join(cut, F.expr("doc_id <=> _id and content = _content and at = _at and _low >= low and _high <= high"))
             piece = F.expr("substring(snippet, high - _high + 1, _high - _low + 400)")
             snippets = scratch.keep(near.select("doc_id", "content", "at", F.col("_low").alias("low"), F.col("_high").alias("high"), piece.alias("snippet")), "snippets")
-    merged = spans.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    merged = spans.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "end")).alias("_dt_spans"))
     return scratch.keep(merged.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "merged")
 
 
@@ -214,7 +214,7 @@ def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with `_dt_spans`, null where nothing repeats.  Every row stays; null text counts as empty."""
     spans = repeated_spans(docs, scratch)
     both = docs.withColumn("_dt_own", F.xxhash64("text")).join(spans, F.expr("doc_id <=> _dt_id and _dt_own = _dt_content"), "left")
-    return both.select(*docs.columns, F.col("spans").alias("_dt_spans"))
+    return both.select(*docs.columns, "_dt_spans")
 
 
 def strip_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -28,12 +28,12 @@ def with_parts(df: DataFrame) -> DataFrame:
 
 def rule_for(rules: tuple[tuple[str, str], ...]) -> Column:
     """(rule, verdict) of the longest rule that fits, else null; equally long ones go to the first by code point."""
-    found = None
+    found = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         host, slash, path = rule.partition("/")
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(slash + path)
         hit = F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
-        found = F.when(fits, hit) if found is None else found.when(fits, hit)
+        found = found.when(fits, hit)
     return found
 
 
