@@ -77,11 +77,16 @@ class TemplateIndex:
         return np.repeat(maybe, n), np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
 
-def candidates(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+def band_of(n: int) -> int:
+    """Diagonals on either side of a hit that an alignment of n tokens may use; short templates may stand close together."""
+    return min(BAND, max(1, n // 3))
+
+
+def candidates(at: np.ndarray, place: np.ndarray, band: int) -> list[tuple[int, int]]:
     """Lowest and highest diagonal (token of the text less token of the template) of each group of neighbouring hits."""
     found: list[tuple[int, int]] = []
     for d in np.unique(at - place).tolist():
-        if found and d - found[-1][1] <= BAND and d - found[-1][0] <= 4 * BAND:
+        if found and d - found[-1][1] <= band and d - found[-1][0] <= 4 * band:
             found[-1] = (found[-1][0], d)
         else:
             found.append((d, d))
@@ -89,11 +94,10 @@ def candidates(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
 
 
 def aligned(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """Matches, and first and last matched token of text, of the longest common subsequence within a band of diagonals.
+    """Matches, and first and last matched token of text, of the longest common subsequence within diagonals low to high.
 
     Of equally long ones that of the shortest span counts, then the first.
     """
-    low, high = low - BAND, high + BAND
     width = high - low + 1
     none = (0, 0, -1)
     row = [none] * width  # best of the template so far with text up to token i - 1 + low + k
@@ -134,11 +138,12 @@ def matches(index: TemplateIndex, texts: pa.Array) -> list[tuple[int, str, int,
         word, (template, place) = first[hit], index.places[entry].T
         begin = np.searchsorted(row, row[word])
         for r, t in sorted(set(zip(row[word].tolist(), template.tolist(), strict=True))):
-            mine = (row[word] == r) & (template == t) if len(word) < 4_096 else np.flatnonzero((row[word] == r) & (template == t))
+            mine = (row[word] == r) & (template == t)
             b = int(begin[mine][0])
-            last = -1
-            for low, high in candidates(word[mine] - b, place[mine]):
-                lo, hi = max(0, low - BAND), max(0, high + BAND + len(index.tokens[t]))
+            last, band = -1, band_of(len(index.tokens[t]))
+            for low, high in candidates(word[mine] - b, place[mine], band):
+                low, high = low - band, high + band
+                lo, hi = max(0, low), max(0, high + len(index.tokens[t]))
                 end = int(np.searchsorted(row, r, "right"))
                 around = tokens[b + lo : min(b + hi, end)].tolist()
                 n, f, e = aligned(index.tokens[t].tolist(), around, low - lo, high - lo)
