@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("doctide.plans.units", "doctide.plans.stores", "doctide.plans.text", "doctide.plans.layout", "doctide.plans.batches", "doctide.plans.sequences")
+MODULES: tuple[str, ...] = ("doctide.plans.units", "doctide.plans.stores", "doctide.plans.text", "doctide.plans.layout", "doctide.plans.batches", "doctide.plans.sequences", "doctide.plans.pieces")
 FLAGSHIP = "dedup_units"
 
 
