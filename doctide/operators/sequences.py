@@ -55,6 +55,7 @@ def aligned(a: DataFrame, b: DataFrame, key: str, order: str, value: str) -> Dat
         return pd.DataFrame({key: np.full(len(i), left[key].iloc[0], object), "a_pos": left[order].to_numpy()[i], "b_pos": right[order].to_numpy()[j]})
 
     kind = dict(a.dtypes)
+    a, b = a.select(key, order, value), b.select(*(F.col(c).alias(c) for c in (key, order, value)))  # of its own, also if both are of one table
     return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(align, f"{key} {kind[key]}, a_pos {kind[order]}, b_pos {kind[order]}")
 
 
