@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -92,13 +95,13 @@ def running_ws(spark, sf_dir):
 def opens_after(spark, sf_dir):
     """Where the running text opens after a run-in title of up to 60 characters."""
     line = lines(spark, sf_dir).where(F.col("line").rlike(r"^[^.]{1,60}\.\s+\p{Lu}"))
-    return line.select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^.]{1,60}\.\s+)\p{Lu}", 1)).alias("opens"))
+    return line.select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^.]{1,60}\.\s+)\p{Lu}", 1)).cast("long").alias("opens"))
 
 
 @P.query(f"WITH {LINES} " + r"SELECT doc_id, pos, length(regexp_extract(line, '^([^\p{L}\p{N}]*)', 1)) AS start FROM lines WHERE regexp_matches(line, '[\p{L}\p{N}]')")
 def starts_in_projection(spark, sf_dir):
     """The first letter or digit of each line."""
-    return lines(spark, sf_dir).where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^\p{L}\p{N}]*)", 1)).alias("start"))
+    return lines(spark, sf_dir).where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^\p{L}\p{N}]*)", 1)).cast("long").alias("start"))
 
 
 @P.query(f"WITH {LINES} SELECT doc_id, pos, len(regexp_extract_all(line, '[^.,;:!?]+')) AS parts FROM lines")
@@ -223,3 +226,68 @@ def group_style(spark, sf_dir):
     b = most(i.groupBy("unit", "style").agg(F.count("*").alias("n")), "unit").withColumnRenamed("s", "style").join(i.groupBy("unit").agg(F.min("page").alias("page")), "unit")
     p = most(i.groupBy("page", "style").agg(F.count("*").alias("n")), "page").withColumnRenamed("s", "around")
     return b.join(p, "page").where("style <> around").select("unit", "style")
+
+
+_GRID = f"{LINES}, r AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS row FROM lines WHERE contains(line, ' | '))"
+
+
+@P.query(f"WITH {_GRID}, c AS (SELECT doc_id, row, unnest(generate_series(1, len(string_split(trim(line, ' |'), ' | ')))) AS col, unnest(string_split(trim(line, ' |'), ' | ')) AS cell FROM r) SELECT doc_id, row, CAST(col AS INTEGER) AS col, cell, row = 1 AS header FROM c")
+def table_grid(spark, sf_dir):
+    """Cells of the tables in documents by row and column, the first row as header."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    r = lines(spark, sf_dir).where(F.contains("line", F.lit(" | "))).withColumn("row", F.row_number().over(w).cast("long"))
+    cells = r.select("doc_id", "row", F.posexplode(F.split(F.trim(F.col("line"), F.lit(" |")), r" \| ")).alias("col", "cell"))
+    return cells.select("doc_id", "row", (F.col("col") + 1).alias("col"), "cell", (F.col("row") == 1).alias("header"))
+
+
+@F.pandas_udf("string")
+def composed(s: pd.Series) -> pd.Series:
+    """Accents joined to their letters (NFC)."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+@P.query("SELECT doc_id, length(nfc_normalize(text)) AS n, sha256(nfc_normalize(text)) AS digest FROM documents")
+def join_accents(spark, sf_dir):
+    """Texts with every accent joined to its letter."""
+    d = table(spark, sf_dir, "documents").select("doc_id", composed("text").alias("text"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@P.query(f"WITH {LINES}, c AS (SELECT doc_id, pos, line, unnest(generate_series(1, CAST(floor(length(line) / 60) AS BIGINT))) * 60 AS cut FROM lines WHERE length(line) >= 60) SELECT doc_id, pos, count(*) AS cuts, bool_and(contains(substr(line, cut - 3, 7), '. ')) AS snapped FROM c GROUP BY doc_id, pos")
+def snap_cuts(spark, sf_dir):
+    """Cuts every 60 characters: whether all of them have a sentence's end within three characters."""
+    cuts = F.sequence(F.lit(1), F.floor(F.length("line") / 60).cast("int"))
+    near = F.forall(cuts, lambda k: F.contains(F.substring("line", k * 60 - 3, F.lit(7)), F.lit(". ")))
+    return lines(spark, sf_dir).where(F.length("line") >= 60).select("doc_id", "pos", F.size(cuts).cast("long").alias("cuts"), near.alias("snapped"))
+
+
+@P.query(f"WITH {_TOKENS}, n AS (SELECT page_id, ord, token, lag(token) OVER (PARTITION BY page_id ORDER BY ord) AS p, lead(token) OVER (PARTITION BY page_id ORDER BY ord) AS q FROM tokens) SELECT page_id, ord, token FROM n WHERE token LIKE '<%' AND regexp_matches(p, '[\\p{{L}}\\p{{N}}]$') AND p NOT LIKE '<%' AND regexp_matches(q, '^[\\p{{L}}\\p{{N}}]') AND q NOT LIKE '<%'")
+def whole_words(spark, sf_dir):
+    """Elements whose edge lies strictly inside a word."""
+    w = Window.partitionBy("page_id").orderBy("ord")
+    n = tokens(spark, sf_dir).withColumn("p", F.lag("token").over(w)).withColumn("q", F.lead("token").over(w))
+    cut = F.col("p").rlike(r"[\p{L}\p{N}]\z") & ~F.col("p").startswith("<") & F.col("q").rlike(r"^[\p{L}\p{N}]") & ~F.col("q").startswith("<")
+    return n.where(F.col("token").startswith("<") & cut).select("page_id", "ord", "token")
+
+
+_SHINGLES = """w AS (SELECT conv_id, turn, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM conversations), s AS (SELECT conv_id, turn, unnest(generate_series(1, len(ws) - 2)) AS at_, ws FROM w WHERE len(ws) >= 3),
+ g AS (SELECT conv_id, turn, concat_ws(' ', ws[at_], ws[at_ + 1], ws[at_ + 2]) AS run, count(*) AS n FROM s GROUP BY ALL)"""
+
+
+@P.query(f"WITH {_SHINGLES} SELECT a.conv_id, a.turn, count(*) AS runs FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.run = b.run AND a.n = 1 AND b.n = 1 GROUP BY ALL")
+def run_match(spark, sf_dir):
+    """Runs of three words that occur exactly once in a turn and exactly once in the next."""
+    ws = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ws.alias("ws")).where(F.size("ws") >= 3)
+    runs = F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " "))
+    once = c.select("conv_id", "turn", F.explode(runs).alias("run")).groupBy("conv_id", "turn", "run").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    return once.join(once.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn", "run"]).groupBy("conv_id", "turn").agg(F.count("*").alias("runs"))
+
+
+@P.query("WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) SELECT a.o_custkey AS scope, a.o_orderkey AS lost, b.o_orderkey AS place FROM f a JOIN f b ON a.o_custkey = b.o_custkey AND a.k = b.k AND a.n = b.n AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")
+def place_groups(spark, sf_dir):
+    """Lost groups put at the free occurrences of their scope, in order, where the counts agree."""
+    w = Window.partitionBy("o_custkey", "o_orderstatus")
+    f = table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w.orderBy("o_orderkey"))).withColumn("n", F.count("*").over(w))
+    a, b = (f.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("scope"), "k", "n", F.col("o_orderkey").alias(name)) for s, name in (("F", "lost"), ("O", "place")))
+    return a.join(b, ["scope", "k", "n"]).select("scope", "lost", "place")

@@ -357,7 +357,7 @@ def sentence_pairs(spark, sf_dir):
     """Each user turn with the reply that follows it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(w)).where("reply is not null and role = 'user'")
-    return c.select("conv_id", "turn", "role", F.col("text").alias("source"), "reply", F.length("text").alias("n"), F.length("reply").alias("m"))
+    return c.select("conv_id", "turn", "role", F.col("text").alias("source"), "reply", F.length("text").cast("long").alias("n"), F.length("reply").cast("long").alias("m"))
 
 
 _ACCEPT = """CASE WHEN abs(len(regexp_extract_all(text, '\\n')) - len(regexp_extract_all(nxt, '\\n'))) > 3 THEN 'spans' WHEN NOT regexp_matches(nxt, '\\p{L}') THEN 'empty' WHEN 4 * length(nxt) < length(text) THEN 'short' END"""
