@@ -326,3 +326,20 @@ def test_empty_tables(spark, scratch):
     assert urls.judged(pages, urls.rule_labelled(pages), scratch).count() == 0
     vectors = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.sliced_top_k(vectors, vectors, 20, 0, 0).count() == 0
+
+
+def test_byte_wise_transform_merge_agrees(spark, scratch):
+    """The sampled refinement of operator 6 against the plain merge of two shards' transforms, symbol by symbol."""
+    from . import bwt_merge
+
+    texts = [corpus.text(1, 90), corpus.text(2, 20) + corpus.text(1, 90)[30:] + "x", "ab" * 260, corpus.text(3, 75), corpus.text(3, 75), "", "short"]
+    raws = [t.encode() for t in texts]
+    want = [np.packbits(c).tobytes() for c in bwt_merge.covered(raws, repeats.LENGTH)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: repeats.maximal(r["_dt_spans"]) for r in repeats.with_spans(df, scratch).collect()}
+    for i, raw in enumerate(raws):
+        mask = np.zeros(len(raw), bool)
+        for first, end in got[i]:
+            mask[first:end] = True
+        assert np.packbits(mask).tobytes() == want[i], i
+    assert any(got.values())
