@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (1, 2,
 def mix_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs, each repeated as often as the mix takes it."""
     copies = scratch.keep(mixed(docs, scratch).where("copies > 0").select(F.col("doc_id").alias("_dt_id"), F.col("row").alias("_dt_of"), F.col("copies").alias("_dt_copies")), "copies")
-    each = docs.withColumn("_dt_row", F.xxhash64("source", "text")).join(copies, F.expr("doc_id <=> _dt_id and _dt_row = _dt_of"))
+    each = docs.withColumn("_dt_row", F.xxhash64("source", "text")).join(copies.hint("merge"), F.expr("doc_id <=> _dt_id and _dt_row = _dt_of"))
     return each.withColumn("_dt_k", F.explode(F.sequence(F.lit(1), F.col("_dt_copies").cast("int")))).select(*docs.columns)
 
 

@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(runs)
     wanted = left.groupBy("doc_id", "content").agg(F.collect_list(F.struct("at", "low", "high")).alias("runs"))
     wanted = scratch.keep(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_content"), "wanted")
-    found = keyed(docs).join(wanted, F.expr("doc_id <=> _id and content = _content")).select("doc_id", "content", "text", "runs")
+    found = keyed(docs).join(wanted.hint("merge"), F.expr("doc_id <=> _id and content = _content")).select("doc_id", "content", "text", "runs")
     snippets = scratch.keep(found.mapInArrow(_snippets, "doc_id long, content long, at long, low int, high int, snippet binary"), "snippets")
     scratch.drop(wanted)
     scratch.free()
@@ -213,7 +213,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with `_dt_spans`, null where nothing repeats.  Every row stays; null text counts as empty."""
     spans = repeated_spans(docs, scratch)
-    both = docs.withColumn("_dt_own", F.xxhash64("text")).join(spans, F.expr("doc_id <=> _dt_id and _dt_own = _dt_content"), "left")
+    both = docs.withColumn("_dt_own", F.xxhash64("text")).join(spans.hint("merge"), F.expr("doc_id <=> _dt_id and _dt_own = _dt_content"), "left")
     return both.select(*docs.columns, "_dt_spans")
 
 

@@ -210,7 +210,8 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     groups = near_duplicates(docs, scratch).where("doc_id = component_id").groupBy("doc_id", "content").agg(F.count("*").alias("n"))
     kept = scratch.keep(groups.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "kept")
     own = F.expr("doc_id = _dt_id and xxhash64(text) = _dt_content")
-    out = docs.join(kept.where("n = 1"), own, "left_semi")
+    # texts meet their verdicts by the same sort-merge join at every size, so that small runs tell what large ones cost
+    out = docs.join(kept.where("n = 1").hint("merge"), own, "left_semi")
     again = kept.where("n > 1")
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
