@@ -6,7 +6,9 @@ worst passage of WINDOWS words weighs, so a few bad lines in a long text show.
 replacement by Gumbel top-k: each adds Gumbel noise to its log weight over TEMPERATURE and the k largest sums are kept.
 k is how many documents weigh at least the cut that parts good and bad labelled documents best.
 
-n-grams: words, pairs of words, the last 3 and the first 4 bytes of words.  The target is fitted on at most
+n-grams: words, pairs of words, the last 3 and the first 4 bytes of words.  A bucket whose target count lies within SURE
+standard errors of what the raw model expects there weighs nothing.  A target document is weighed by the target without
+itself, so labelled and other documents stand alike and the cut holds for both.  The target is fitted on at most
 MOST_LABELLED labelled documents; the raw model and all weights cover every document.
 """
 
@@ -27,6 +29,7 @@ BUCKETS = 1 << BITS
 BLOCK = 4_096
 WINDOWS = (8, 16)
 TEMPERATURE = 0.1
+SURE = 3.0
 MOST_LABELLED = 20_000
 #: Weight of a text without words: below every other.
 NONE = -1e9
@@ -79,29 +82,38 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blocks(totals)
 
 
+def flagged(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """docs with _dt_target, true for the documents of good (doc_id), at most MOST_LABELLED."""
+    few = F.broadcast(good.select(F.col("doc_id").alias("_dt_id"), F.lit(True).alias("_dt_target")))
+    return docs.join(few, F.col("doc_id") == F.col("_dt_id"), "left").select(*docs.columns, F.coalesce("_dt_target", F.lit(False)).alias("_dt_target"))
+
+
 def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; good: (doc_id) of the target, at most MOST_LABELLED.  No target: all zero."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    parts = flagged.mapInArrow(_count, COUNTS).repartition(max(8, BUCKETS // BLOCK // 8), "block").mapInArrow(_add, COUNTS)
+    """For each bucket the target's count, and the count that the raw model expects there.  No target: all zero."""
+    marked = flagged(docs.select("doc_id", "text"), good).select("text", F.col("_dt_target").alias("target"))
+    parts = marked.mapInArrow(_count, COUNTS).repartition(max(8, BUCKETS // BLOCK // 8), "block").mapInArrow(_add, COUNTS)
     totals = np.zeros((2, BUCKETS), np.int64)
     for r in parts.toLocalIterator():
         totals[r["kind"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    if not totals[1].any():
-        return np.zeros(BUCKETS, np.float32)
-    expected = totals[0] * (totals[1].sum() / totals[0].sum())
-    return np.log((totals[1] + 1.0) / (expected + 1.0)).astype(np.float32)
+    return np.stack([totals[1], totals[0] * (totals[1].sum() / max(1, totals[0].sum()))]).astype(np.float32)
 
 
-def weigh(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, log weight and content hash of each text."""
+def weigh(texts: pa.Array, model: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, log weight and content hash of each text; target tells which texts the target holds."""
     words, weight, content = np.zeros(len(texts), np.int64), np.full(len(texts), NONE), np.zeros(len(texts), np.uint64)
     for at, end, raw, offsets in text_chunks(texts):
         row, hashes, buckets = ngrams_of(raw, offsets)
         words[at:end] = np.bincount(row, minlength=end - at)
         if not len(row):
             continue
+        seen, expected = model[0][buckets].astype(np.float64), model[1][buckets].astype(np.float64)
+        own = target[at + row]
+        if own.any():
+            _, of, n = np.unique(row[own][:, None] << BITS | buckets[own], return_inverse=True, return_counts=True)
+            seen[own] -= n[of].reshape(-1, buckets.shape[1])
+        ratio = np.where(np.abs(seen - expected) > SURE * np.sqrt(expected), np.log((seen + 1) / (expected + 1)), 0.0)
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        sums = np.append(0.0, np.cumsum(ratios[buckets].sum(axis=1, dtype=np.float64)))
+        sums = np.append(0.0, np.cumsum(ratio.sum(axis=1)))
         place = np.arange(len(row))
         begin = np.repeat(first, np.diff(np.append(first, len(row))))
         worst = [np.minimum.reduceat(sums[1:] - sums[np.maximum(place - n + 1, begin)], first) for n in WINDOWS]
@@ -117,18 +129,18 @@ def gumbel_keys(ids: np.ndarray, content: np.ndarray, weight: np.ndarray) -> np.
     return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs with _dt_words, _dt_weight and _dt_key (long); the model is a fixed 4 MB and is broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios)
+def scored(docs: DataFrame, good: DataFrame, model: np.ndarray) -> DataFrame:
+    """docs with _dt_words, _dt_weight and _dt_key (long); the model is a fixed 8 MB and is broadcast."""
+    held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, weight, content = weigh(batch.column("text"), held.value)
+            words, weight, content = weigh(batch.column("text"), held.value, batch.column("_dt_target").to_numpy(zero_copy_only=False).astype(bool))
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words), pa.array(weight), pa.array(gumbel_keys(ids, content, weight))], [*batch.schema.names, "_dt_words", "_dt_weight", "_dt_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(words), pa.array(weight), pa.array(gumbel_keys(ids, content, weight))], [*names, "_dt_words", "_dt_weight", "_dt_key"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_dt_words", T.LongType()), T.StructField("_dt_weight", T.DoubleType()), T.StructField("_dt_key", T.LongType())])
-    return docs.mapInArrow(score, schema)
+    return flagged(docs, good).mapInArrow(score, schema)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -142,31 +154,32 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((cuts[at] + cuts[max(0, at - 1)]) / 2)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndarray, DataFrame, int]:
-    """The model, (doc_id, words, weight, key) of all documents, and the smallest key that the draw keeps.
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray, DataFrame, int]:
+    """The target's ids, the model, (doc_id, words, weight, key) of all documents, and the smallest key that the draw keeps.
 
     Rows with the key of the last one drawn are kept together.  Null and empty texts weigh NONE and are never drawn.
     Labels with null quality are left out; without good labels every document with words is drawn.
     """
     few = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     few = scratch.keep(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "labelled")
-    ratios = fit(docs, few.where("good").select("doc_id"))
-    weights = scratch.keep(scored(docs.select("doc_id", "text"), ratios).select("doc_id", F.col("_dt_words").alias("words"), F.col("_dt_weight").alias("weight"), F.col("_dt_key").alias("key")), "weights")
+    target = few.where("good").select("doc_id")
+    model = fit(docs, target)
+    weights = scratch.keep(scored(docs.select("doc_id", "text"), target, model).select("doc_id", F.col("_dt_words").alias("words"), F.col("_dt_weight").alias("weight"), F.col("_dt_key").alias("key")), "weights")
     known = weights.where("words > 0").join(F.broadcast(few), "doc_id").select("good", "weight").limit(2 * MOST_LABELLED).toPandas()
     cut = best_cut(known["weight"][known["good"]].to_numpy(), known["weight"][~known["good"].astype(bool)].to_numpy())
     k = weights.where(F.col("weight") >= cut).count()
     last = top_keys(weights.where("words > 0"), "key", k)
-    return ratios, weights, last[0] if last else (1 << 63) - 1
+    return target, model, weights, last[0] if last else (1 << 63) - 1
 
 
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that the draw keeps.  Weights are computed again from the model, so no text is shuffled."""
-    ratios, _, last = fitted(docs, labels, scratch)
-    return scored(docs, ratios).where((F.col("_dt_words") > 0) & (F.col("_dt_key") >= last)).select(*docs.columns)
+    target, model, _, last = fitted(docs, labels, scratch)
+    return scored(docs, target, model).where((F.col("_dt_words") > 0) & (F.col("_dt_key") >= last)).select(*docs.columns)
 
 
 def op1_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, weights, last = fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+    _, _, weights, last = fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
     return weights.where((F.col("words") > 0) & (F.col("key") >= last)).select("doc_id", "words", F.round("weight", 4).alias("log_weight"), F.col("key").alias("draw_key"))
 
 
