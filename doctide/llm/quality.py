@@ -4,7 +4,8 @@ Two generative models count hashed n-grams into BUCKETS: one over labelled good
 documents (the raw text).  A passage weighs log p_target - log p_raw, added over its n-grams; a document weighs what its
 worst passage of WINDOWS words weighs, so a few bad lines in a long text show.  Documents are then drawn without
 replacement by Gumbel top-k: each adds Gumbel noise to its log weight over TEMPERATURE and the k largest sums are kept.
-k is how many documents weigh at least the cut that parts good and bad labelled documents best.
+k is how many documents weigh at least the cut that parts good and bad labelled documents best
+while at least KEEP of the good ones pass.
 
 n-grams: words, pairs of words, the last 3 and the first 4 bytes of words.  A bucket whose target count lies within SURE
 standard errors of what the raw model expects there weighs nothing.  A target document is weighed by the target without
@@ -30,6 +31,7 @@ BLOCK = 4_096
 WINDOWS = (8, 16)
 TEMPERATURE = 0.1
 SURE = 3.0
+KEEP = 0.98
 MOST_LABELLED = 20_000
 #: Weight of a text without words: below every other.
 NONE = -1e9
@@ -144,13 +146,17 @@ def scored(docs: DataFrame, good: DataFrame, model: np.ndarray) -> DataFrame:
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that parts good from bad labelled documents with the highest mean of both rates; without bad ones, below all."""
+    """The weight that parts good from bad labelled documents with the highest mean of both rates, of those that KEEP good ones.
+
+    Without good or bad ones it is below all.
+    """
     if not len(good) or not len(bad):
         return NONE / 2
     good, bad = np.sort(good), np.sort(bad)
     cuts = np.unique(np.concatenate([good, bad]))
     rates = (len(good) - np.searchsorted(good, cuts)) / len(good) + np.searchsorted(bad, cuts) / len(bad)
-    at = int(np.argmax(rates))
+    kept = (len(good) - np.searchsorted(good, cuts)) / len(good)
+    at = int(np.argmax(np.where(kept >= KEEP, rates, 0)))
     return float((cuts[at] + cuts[max(0, at - 1)]) / 2)
 
 
