@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doctide.functions.text import escape_text, token_kind
 from doctide.operators.ranges import islands
@@ -240,7 +241,7 @@ def table_grid(spark, sf_dir):
     return cells.select("doc_id", "row", (F.col("col") + 1).alias("col"), "cell", (F.col("row") == 1).alias("header"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(s: pd.Series) -> pd.Series:
     """Accents joined to their letters (NFC)."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
