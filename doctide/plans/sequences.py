@@ -87,3 +87,17 @@ def breaker_states(spark, sf_dir):
     """The circuit of each service after each outcome."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("service"), epoch_ms("ts").alias("t"), "event_id", F.col("event_type").isin("error", "view", "signup").alias("failed"))
     return S.breaker_states(e, "service", "t", "event_id", "failed")
+
+
+@P.query()
+def words_on_page(spark, sf_dir):
+    """Words of each page's title placed on its heading, letter by letter; a word counts only if its letters stay together."""
+    part = lambda tag: F.regexp_extract("html", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    p = table(spark, sf_dir, "pages").select("page_id", part("title").alias("a"), part("h1").alias("b"))
+    letters = lambda c: p.select("page_id", F.posexplode(F.split(c, "")).alias("pos", "letter"))
+    words = p.select("page_id", F.posexplode(F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0))).alias("ord", "word"), "a")
+    before = F.array_join(F.slice(F.regexp_extract_all("a", F.lit(r"\S+\s*"), F.lit(0)), 1, F.col("ord")), "")
+    placed = words.select("page_id", "ord", "word", F.length(before).alias("first"), (F.length(before) + F.length("word")).alias("end"))
+    pairs = S.aligned(letters("a"), letters("b"), "page_id", "pos", "letter")
+    on = placed.join(pairs, "page_id").where("a_pos >= first and a_pos < end").groupBy("page_id", "ord", "word").agg(F.count("*").alias("n"), F.min("b_pos").alias("b_first"), F.max("b_pos").alias("b_last"))
+    return on.where((F.col("n") == F.length("word")) & (F.col("b_last") - F.col("b_first") + 1 == F.col("n"))).select("page_id", "ord", "word", "b_first")
