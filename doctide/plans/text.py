@@ -373,13 +373,22 @@ def accept_rule(spark, sf_dir):
     return c.select("conv_id", "turn", why.isNull().alias("ok"), why.alias("why"))
 
 
-_CUT = r"[.!?][\"'”’)\]]*\s+"
+#: Fixed: abbreviations after which a stop does not end a sentence, in the languages of the documents.
+_ABBREVIATIONS = r"\b(e\.g|i\.e|cf|etc|Fig|Figs|Eq|Eqs|Sec|Ref|vs|Dr|Mr|Mrs|Prof|St|No|Nr|bzw|usw|z\.B|p\.ex|Sr|Sra|[A-Z])\."
+_CUT = r"[.!?][\"'”’)\]]*\s+[^\p{Ll}\s]"
+_CUT_SQL = _CUT.replace("'", "''")
 
 
-@P.query(sql(rf"SELECT doc_id, pos, CAST(len(regexp_extract_all(line, '[.!?][\"''”’)\]]*\s+')) AS INTEGER) AS cuts, CAST(length(regexp_extract(line, '^(.*?[.!?][\"''”’)\]]*)\s', 1)) AS INTEGER) AS first_end FROM lines"))
+@P.query(sql(rf"SELECT doc_id, pos, CAST(len(regexp_extract_all(regexp_replace(line, '{_ABBREVIATIONS}', '\1', 'g'), '{_CUT_SQL}')) AS INTEGER) AS cuts, CAST(length(regexp_extract(regexp_replace(line, '{_ABBREVIATIONS}', '\1', 'g'), '^(.*?[.!?][\"''”’)\]]*)\s+[^\p{{Ll}}\s]', 1)) AS INTEGER) AS first_end FROM lines"))
 def sentence_cuts(spark, sf_dir):
-    """Sentence cuts of each line by closing punctuation and white space: how many, and the end of the first sentence."""
-    return lines(spark, sf_dir).select("doc_id", "pos", F.regexp_count("line", F.lit(_CUT)).alias("cuts"), F.length(F.regexp_extract("line", r"^(.*?[.!?][\"'”’)\]]*)\s", 1)).alias("first_end"))
+    """Sentence cuts of each line: how many, and the length of the first sentence without its abbreviations' stops.
+
+    A cut lies after closing punctuation and white space unless an abbreviation or initial ends there or the next word
+    goes on in lower case.
+    """
+    line = F.regexp_replace("line", _ABBREVIATIONS, "$1")
+    first = F.regexp_extract(line, r"^(.*?[.!?][\"'”’)\]]*)\s+[^\p{Ll}\s]", 1)
+    return lines(spark, sf_dir).select("doc_id", "pos", F.regexp_count(line, F.lit(_CUT)).alias("cuts"), F.length(first).alias("first_end"))
 
 
 @P.query(sql("SELECT doc_id, bool_and(length(line) >= 0) AND sum(length(line) + 1) - 1 = max(n) AS valid FROM (SELECT l.*, length(d.text) AS n FROM lines l JOIN documents d USING (doc_id)) GROUP BY doc_id"))
