@@ -398,3 +398,20 @@ def valid_sentences(spark, sf_dir):
     sizes = F.transform(F.split("text", "\n"), F.length)
     total = F.aggregate(sizes, F.lit(-1), lambda s, n: s + n + 1)
     return d.select("doc_id", (F.forall(sizes, lambda n: n >= 0) & (total == F.length("text"))).alias("valid"))
+
+
+_PREFIXES = "a AS (SELECT doc_id, pos, ord, regexp_extract(word, '^(\\p{L}{2,5})\\.$', 1) AS stem FROM words WHERE regexp_matches(word, '^\\p{L}{2,5}\\.$')), f AS (SELECT DISTINCT doc_id, word FROM words WHERE regexp_matches(word, '^\\p{L}{3,}$'))"
+
+
+@P.query(f"WITH {WORDS}, {_PREFIXES} SELECT a.doc_id, a.pos, a.ord, a.stem, min(f.word) AS full_ FROM a JOIN f ON a.doc_id = f.doc_id AND starts_with(f.word, a.stem) AND length(f.word) > length(a.stem) GROUP BY ALL")
+def expand_abbrev(spark, sf_dir):
+    """Words cut by a full stop with the first longer word of their document that they begin.
+
+    The join is by document and the stem itself: every longer word is listed under each of its beginnings.
+    """
+    w = words(spark, sf_dir)
+    a = w.where(F.col("word").rlike(r"^\p{L}{2,5}\.\z")).select("doc_id", "pos", "ord", F.regexp_replace("word", r"\.\z", "").alias("stem"))
+    f = w.where(F.col("word").rlike(r"^\p{L}{3,}\z")).select("doc_id", "word").distinct()
+    stems = F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(5))), lambda n: F.substring("word", F.lit(1), n))
+    listed = f.select("doc_id", "word", F.explode(stems).alias("stem")).groupBy("doc_id", "stem").agg(F.min("word").alias("full_"))
+    return a.join(listed, ["doc_id", "stem"]).select("doc_id", "pos", "ord", "stem", "full_")
