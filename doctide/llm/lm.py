@@ -6,10 +6,11 @@ customers of every dish again, given the tables of all others; predictive probab
 over the sweeps that are kept, so they still sum to one.  The parent's base is diffuse: there each word has one table and
 what its discounts free is the probability of a word that training never saw.
 
-All statistics cover all training documents.  Dishes get tables of their own in a context's restaurant if the pair holds
-at least one 2^PAIR_BITS-th of all tokens, of words that hold one 2^CONTEXT_BITS-th each; customers of rarer dishes there
-sit alone, so all they say goes to the parent.  Words that hold one 2^WORD_BITS-th are scored where a text is read, from
-tables of that many entries at most; all others by a join with the table of all words.
+All statistics cover all training documents, and every pair of words has its seats, in a table that grows with the corpus.
+A pair seen once has one table whatever is drawn, so the sweeps carry pairs seen more often.  What is sent to every task is
+a head, with the same result as the table: words that hold one 2^WORD_BITS-th of all tokens, and of pairs of words that hold
+one 2^CONTEXT_BITS-th each those that hold one 2^PAIR_BITS-th.  Pairs of the head are scored where a text is read; all others
+are counted there for each text and joined with the table.
 """
 
 from __future__ import annotations
@@ -51,36 +52,42 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(c) if c.dtype == np.uint64 else c) for c in columns.values()], list(columns))
 
 
-def _tallied(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts[order], first)
+def _tallied(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of columns once, with their counts added; the first column tells nearly all rows apart."""
+    order = np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first)
 
 
-def _tally(keys_of):
-    """A task's counts of keys_of(tokens, before), flushed whenever they pass four million entries."""
+def _tally(columns_of, names: tuple[str, ...] = ("key",)):
+    """A task's counts of the rows of columns_of(tokens, before), flushed whenever they pass four million entries."""
+
+    def joined(held: list) -> tuple[list[np.ndarray], np.ndarray]:
+        return _tallied([np.concatenate(c) for c in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+
+    def rows(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(counts), 262_144):
+            yield _batch(**{name: c[k : k + 262_144] for name, c in zip(names, columns, strict=True)}, n=counts[k : k + 262_144])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list = []
         size = 0
         for batch in batches:
             for _, _, raw, offsets in text_chunks(batch.column("text")):
                 _, tokens, before = token_stream(raw, offsets)
-                keys = keys_of(tokens, before)
-                if len(keys):
-                    held.append(_tallied(keys, np.ones(len(keys), np.int64)))
-                    size += len(held[-1][0])
+                columns = columns_of(tokens, before)
+                if len(columns[0]):
+                    held.append(_tallied(columns, np.ones(len(columns[0]), np.int64)))
+                    size += len(held[-1][1])
                 if size > 4_000_000:
-                    held = [_tallied(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                    size = len(held[0][0])
+                    held = [joined(held)]
+                    size = len(held[0][1])
                     if size > 2_000_000:
-                        yield _batch(key=held[0][0], n=held[0][1])
+                        yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            keys, counts = _tallied(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            for k in range(0, len(keys), 262_144):
-                yield _batch(key=keys[k : k + 262_144], n=counts[k : k + 262_144])
+            yield from rows(*joined(held))
 
     return tally
 
@@ -104,7 +111,12 @@ def seated(customers: np.ndarray, rate: np.ndarray, discount: float, key: np.nda
     20) that the chance of a new table has in a group.  Draws depend on key and seed alone, so reruns agree.
     """
     tables, n = np.ones(len(customers)), 1
-    while len(customers) and n < customers.max():
+    every, whole = np.ones(len(customers)), customers
+    at = np.arange(len(customers))
+    while len(more := np.flatnonzero(customers > n)):
+        # dishes whose customers all sit are done
+        every[at] = tables
+        at, customers, rate, key, tables = at[more], customers[more], rate[more], key[more], tables[more]
         group = 1 if n < 256 else n // 8
         some = np.clip(customers - n, 0, group)
         chance = rate / (rate + (n + (some - 1).clip(0) / 2) - discount * tables)
@@ -125,18 +137,19 @@ def seated(customers: np.ndarray, rate: np.ndarray, discount: float, key: np.nda
             new[small] = count
             tables = np.minimum(tables + np.minimum(new, some), n + some)
         n += group
-    return np.minimum(tables, customers)
+    every[at] = tables
+    return np.minimum(every, whole)
 
 
 class Model:
-    """What scoring needs of the frequent words: counts, parent probabilities, contexts and pairs."""
+    """What scoring needs of the frequent words: counts, parent probabilities, shares of the parent, contexts and pairs."""
 
     def __init__(self, words: pd.DataFrame, total: int, kinds: int):
         words = words.sort_values("key")
         self.total, self.kinds = total, kinds
         self.words, self.counts = words["key"].to_numpy(np.int64), words["c"].to_numpy(np.int64)
         self.contexts = self.words[self.counts >= max(2.0, total / (1 << CONTEXT_BITS))]
-        self.parent = np.zeros(len(self.words))
+        self.parent, self.share = np.zeros(len(self.words)), np.ones(len(self.words))
         self.pairs, self.own = np.zeros(0, np.int64), np.zeros(0)
         self.back = np.ones(len(self.contexts))
 
@@ -150,100 +163,178 @@ def pair_ids(contexts: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np
     return np.where((a >= 0) & (b >= 0), (a << (CONTEXT_BITS + 1)) | b, -1)
 
 
+def pair_keys(words: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The key of each pair: the places of both if both are of words, which are frequent and sorted, else a negative hash."""
+    b = find(words, signed(tokens))
+    a = np.roll(b, 1)
+    start = np.flatnonzero(before == END)
+    a[start] = find(words, np.full(len(start), END).view(np.int64))
+    return np.where((a >= 0) & (b >= 0), (a << WORD_BITS) | b, signed(mix(mix(before) + tokens) | np.uint64(1 << 63)))
+
+
+SEATS = "key long, u long, w long, c long, cw long, cu long, t double, tables double, parent double"
+
+
+def _filled(held):
+    """Words and their counts of pairs of frequent words, from their keys."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = held.value
+        for batch in batches:
+            key, c = (batch.column(x).to_numpy() for x in ("key", "c"))
+            u, w = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
+            yield _batch(key=key, u=words[u], w=words[w], c=c, cw=counts[w], cu=counts[u])
+
+    return fill
+
+
+def _chances(held):
+    """The chance of pairs of frequent words, from their keys."""
+
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, parent, share = held.value
+        for batch in batches:
+            key, c, tables = (batch.column(x).to_numpy() for x in ("key", "c", "tables"))
+            u, w = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
+            yield _batch(key=key, p=share[u] * parent[w] + (c - CONTEXT_DISCOUNT * tables) / (STRENGTH + counts[u]))
+
+    return chance
+
+
 def trained(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, float, float, float]:
-    """The model of docs (text); the table (key, c) of all words; the parent's discount, mean 1 / mass and unseen share."""
+    """The model of docs (text); the table (key, c) of all words; the parent's discount, mean 1 / mass and unseen share.
+
+    The model's `chances` is a table (key, p, cw) of all pairs, cw null if the word is frequent; its `stats` one (key, c,
+    parent, share) of all words.
+    """
     spark = docs.sparkSession
-    words = docs.mapInArrow(_tally(lambda tokens, before: tokens), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    words = docs.mapInArrow(_tally(lambda tokens, before: [tokens]), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
     words = scratch.keep(words, "words")
     total, kinds, ones, twos = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
     discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    few = words.where(F.col("c") >= total / (1 << WORD_BITS)).toPandas()
-    model = Model(few, total, kinds)
-    held = spark.sparkContext.broadcast(model.contexts)
+    often = total / (1 << WORD_BITS)
+    model = Model(words.where(F.col("c") >= often).toPandas(), total, kinds)
+    held = spark.sparkContext.broadcast((model.words, model.counts))
 
-    def pair_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        ids = pair_ids(held.value, before, tokens)
-        return ids[ids >= 0]
+    def pair_columns(tokens: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+        key = pair_keys(held.value[0], before, tokens)
+        return [key, np.where(key < 0, signed(before), 0), np.where(key < 0, signed(tokens), 0)]
 
-    pairs = docs.mapInArrow(_tally(pair_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-    pairs = scratch.keep(pairs.where(F.col("c") >= max(2.0, total / (1 << PAIR_BITS))), "pairs")
+    pairs = docs.mapInArrow(_tally(pair_columns, ("key", "u", "w")), "key long, u long, w long, n long")
+    pairs = scratch.keep(pairs.groupBy("key").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("n").alias("c")), "pairs")
+    scratch.free()
     inner = CONTEXT_DISCOUNT
-    contexts = pd.DataFrame({"w": np.arange(len(model.contexts)), "cw": model.counts[find(model.words, model.contexts)]})
-    count_of = F.broadcast(spark.createDataFrame(contexts, "w long, cw long"))
-    state = pairs.select("key", F.shiftright("key", CONTEXT_BITS + 1).alias("u"), F.col("key").bitwiseAND(F.lit((1 << (CONTEXT_BITS + 1)) - 1)).alias("w"), "c")
-    state = state.join(count_of, "w").join(count_of.select(F.col("w").alias("u"), F.col("cw").alias("cu")), "u")
+    count_of = lambda name: words.select(F.col("key").alias(name), F.col("c").alias(f"c{name}"))
+    many = pairs.where("c > 1")
+    far = many.where("key < 0").join(count_of("w"), "w").join(count_of("u"), "u").select("key", "u", "w", "c", "cw", "cu")
+    state = many.where("key >= 0").select("key", "c").mapInArrow(_filled(held), "key long, u long, w long, c long, cw long, cu long").unionByName(far)
     state = scratch.keep(state.select("*", F.col("c").cast("double").alias("t"), F.lit(0.0).alias("tables"), F.lit(0.0).alias("parent")), "seats")
     inverse = 0.0
     for sweep in range(SWEEPS):
         mass = total - (state.agg(F.sum(F.col("c") - F.col("t"))).first()[0] or 0.0)
-        # one row a context word each, of which there are 2^CONTEXT_BITS at most
-        by_w = state.groupBy("w").agg(F.sum(F.col("c") - F.col("t")).alias("joined"))
-        by_u = state.groupBy("u").agg(F.sum("t").alias("tu"), F.sum("c").alias("su"))
+        by_w = scratch.keep(state.groupBy("w").agg(F.sum(F.col("c") - F.col("t")).alias("joined"), F.max("cw").alias("often")), "by-w")
+        # customers of pairs seen once have a table each
+        by_u = scratch.keep(state.groupBy("u").agg((F.sum("t") + F.max("cu") - F.sum("c")).alias("tu"), F.max("cu").alias("often")), "by-u")
         kept = sweep >= BURN_IN
         inverse += kept / (STRENGTH + mass) / (SWEEPS - BURN_IN)
-
-        def seat(batches: Iterator[pa.RecordBatch], sweep: int = sweep, mass: float = mass, kept: bool = kept) -> Iterator[pa.RecordBatch]:
+        sums = []
+        for table_, name, value in ((by_w, "w", "joined"), (by_u, "u", "tu")):
+            some = table_.where(F.col("often") >= often).select(name, value).toPandas()
+            sums.append(np.zeros(len(model.words)))
+            sums[-1][find(model.words, some[name].to_numpy(np.int64))] = some[value]
+        head = spark.sparkContext.broadcast(sums)
+
+        def seat(batches: Iterator[pa.RecordBatch], sweep: int = sweep, mass: float = mass, kept: bool = kept, head=head) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+                if "joined" not in x:
+                    x["joined"], x["tu"] = head.value[0][x["key"] & ((1 << WORD_BITS) - 1)], head.value[1][x["key"] >> WORD_BITS]
                 parent = (x["cw"] - x["joined"] - discount).clip(1e-9) / (STRENGTH + mass)
-                rate = (STRENGTH + inner * x["tu"] + (x["cu"] - x["su"]).clip(0)) * parent
+                rate = (STRENGTH + inner * x["tu"]) * parent
                 t = seated(x["c"], rate, inner, x["key"].view(np.uint64), sweep)
                 share = kept / (SWEEPS - BURN_IN)
-                yield _batch(u=x["u"], key=x["key"], w=x["w"], c=x["c"], cw=x["cw"], cu=x["cu"], t=t, tables=x["tables"] + share * t, parent=x["parent"] + share * parent)
+                yield _batch(key=x["key"], u=x["u"], w=x["w"], c=x["c"], cw=x["cw"], cu=x["cu"], t=t, tables=x["tables"] + share * t, parent=x["parent"] + share * parent)
 
-        seats = state.join(F.broadcast(by_w), "w").join(F.broadcast(by_u), "u").select("u", "key", "w", "c", "cw", "cu", "t", "tables", "parent", "joined", "tu", "su")
-        now = scratch.keep(seats.mapInArrow(seat, "u long, key long, w long, c long, cw long, cu long, t double, tables double, parent double"), "seats")
-        scratch.drop(state)
+        near = state.where("key >= 0").mapInArrow(seat, SEATS)
+        far = state.where("key < 0").join(by_w.drop("often"), "w").join(by_u.drop("often"), "u")
+        now = scratch.keep(near.unionByName(far.mapInArrow(seat, SEATS)), "seats")
+        scratch.drop(state, by_w, by_u)
+        scratch.free()
         state = now
-    done = state.orderBy("key").toPandas()
-    model.parent = (model.counts - discount) * inverse
-    at = find(model.words, model.contexts)
-    shared = done.groupby("w")["parent"].first()
-    model.parent[at[shared.index.to_numpy(np.int64)]] = shared.to_numpy()
-    su, tu = (np.bincount(done["u"], done[c], minlength=len(model.contexts)) for c in ("c", "tables"))
-    cu = model.counts[at].astype(float)
-    model.pairs = done["key"].to_numpy(np.int64)
-    model.own = (done["c"] - inner * done["tables"]).to_numpy() / (STRENGTH + cu[done["u"].to_numpy(np.int64)])
-    model.back = (STRENGTH + inner * tu + (cu - su)) / (STRENGTH + cu)
+    by_w = state.groupBy(F.col("w").alias("key")).agg(F.max("parent").alias("shared"))
+    by_u = state.groupBy(F.col("u").alias("key")).agg((F.sum("tables") - F.sum("c")).alias("less"))
+    stats = words.join(by_w, "key", "left").join(by_u, "key", "left").select(
+        "key", "c", F.coalesce("shared", (F.col("c") - discount) * inverse).alias("parent"),
+        ((STRENGTH + inner * (F.col("c") + F.coalesce("less", F.lit(0.0)))) / (STRENGTH + F.col("c"))).alias("share"),
+    )
+    model.stats = stats = scratch.keep(stats, "stats")
+    few = stats.where(F.col("c") >= often).toPandas().sort_values("key")
+    model.parent, model.share = few["parent"].to_numpy(float), few["share"].to_numpy(float)
+    model.back = model.share[find(model.words, model.contexts)]
+    seats = state.select("key", "u", "w", "c", "tables").unionByName(pairs.where("c = 1").select("key", "u", "w", "c", F.lit(1.0).alias("tables")))
+    done = seats.where((F.col("key") >= 0) & (F.col("c") >= total / (1 << PAIR_BITS))).select("key", "c", "tables").toPandas()
+    place = done["key"].to_numpy(np.int64)
+    u, w = place >> WORD_BITS, place & ((1 << WORD_BITS) - 1)
+    own = (done["c"] - inner * done["tables"]).to_numpy(float) / (STRENGTH + model.counts[u])
+    ids = pair_ids(model.contexts, model.words[u].view(np.uint64), model.words[w].view(np.uint64))
+    order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
+    model.pairs, model.own = ids[order], own[order]
+    held = spark.sparkContext.broadcast((model.counts, model.parent, model.share))
+    near = seats.where("key >= 0").select("key", "c", "tables").mapInArrow(_chances(held), "key long, p double").withColumn("cw", F.lit(None).cast("long"))
+    far = seats.where("key < 0").join(stats.select(F.col("key").alias("u"), F.col("c").alias("cu"), "share"), "u").join(stats.select(F.col("key").alias("w"), F.col("c").alias("cw"), "parent"), "w")
+    chance = F.col("share") * F.col("parent") + (F.col("c") - inner * F.col("tables")) / (STRENGTH + F.col("cu"))
+    far = far.select("key", chance.alias("p"), F.when(F.col("cw") < often, F.col("cw")).alias("cw"))
+    model.chances = scratch.keep(near.unionByName(far), "chances")
+    scratch.drop(state, pairs)
+    scratch.free()
     return model, words, discount, inverse, (STRENGTH + discount * kinds) * inverse
 
 
-SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<key:long,n:long>>"
+SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, near array<struct<key:long,n:int,low:double>>, far array<struct<key:long,n:int,u:long,w:long>>"
 
 
 def _score(held):
+    """Scores by the head; near are the other pairs, with their chance if training never saw them, and far those of held-out
+    texts with a word that is not frequent, whose chance the table of words tells."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             for first, end, raw, offsets in text_chunks(batch.column("text")):
                 n = end - first
+                took = batch.slice(first, n)
                 row, tokens, before = token_stream(raw, offsets)
-                seen, of = np.unique(tokens, return_inverse=True)
-                at = find(model.words, signed(seen))[of]
+                key = pair_keys(model.words, before, tokens)
+                at = find(model.words, signed(tokens))
                 common = at >= 0
-                context = find(model.contexts, signed(before))
-                back = np.where(context >= 0, model.back[context] if len(model.back) else 1.0, 1.0)
-                chance = back * np.where(common, model.parent[at] if len(model.parent) else 1.0, 1.0)
-                pair = find(model.pairs, pair_ids(model.contexts, before, tokens))
-                chance = chance + np.where(pair >= 0, model.own[pair] if len(model.own) else 0.0, 0.0)
                 base = np.where(common, model.base(np.where(common, model.counts[at] if len(model.counts) else 0, 0)), 0.0)
-                rare = np.flatnonzero(~common)
-                order = rare[np.lexsort((tokens[rare], row[rare]))]
-                fresh = np.flatnonzero(np.append(True, (tokens[order[1:]] != tokens[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))) if len(order) else order
-                lists = np.append(np.searchsorted(row[order][fresh], np.arange(n)), len(fresh)).astype(np.int32)
-                entries = pa.StructArray.from_arrays([pa.array(signed(tokens[order][fresh])), pa.array(np.diff(np.append(fresh, len(order))))], ["key", "n"])
-                took = batch.slice(first, n)
+                ids = pair_ids(model.contexts, before, tokens)
+                pair = find(model.pairs, ids)
+                mine = np.flatnonzero(pair >= 0)
+                own = np.zeros(len(tokens))
+                own[mine] = np.log10(model.back[ids[mine] >> (CONTEXT_BITS + 1)] * model.parent[at[mine]] + model.own[pair[mine]])
+                rest = np.flatnonzero(pair < 0)
+                rest = rest[np.lexsort((key[rest], row[rest]))]
+                fresh = np.flatnonzero(np.append(True, (key[rest[1:]] != key[rest[:-1]]) | (row[rest[1:]] != row[rest[:-1]]))) if len(rest) else rest
+                count, rest = np.diff(np.append(fresh, len(rest))).astype(np.int32), rest[fresh]
+                apart = took.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[row[rest]]
+                lists = []
+                for some in (~apart | (key[rest] >= 0), apart & (key[rest] < 0)):
+                    x = rest[some]
+                    if lists:
+                        fields = {"u": pa.array(signed(before[x])), "w": pa.array(signed(tokens[x]))}
+                    else:
+                        k = np.where(apart[some], key[x], 0)
+                        low = model.share[k >> WORD_BITS] * model.parent[k & ((1 << WORD_BITS) - 1)] if len(model.words) else np.zeros(len(x))
+                        fields = {"low": pa.array(low, mask=~apart[some])}
+                    entries = pa.StructArray.from_arrays([pa.array(key[x]), pa.array(count[some]), *fields.values()], ["key", "n", *fields])
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[x], np.arange(n + 1)).astype(np.int32)), entries))
                 yield pa.RecordBatch.from_arrays(
-                    [*(took.column(c) for c in ("doc_id", "row", "held_out")), pa.array(np.bincount(row, minlength=n)), *(pa.array(np.bincount(row, x, n)) for x in (common, base, np.log10(chance))), pa.ListArray.from_arrays(pa.array(lists), entries)],
-                    ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    [*(took.column(c) for c in ("doc_id", "row", "held_out")), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, common, n).astype(np.int64)), *(pa.array(np.bincount(row, x, n)) for x in (base, own)), *lists],
+                    ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "near", "far"],
                 )
 
-    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in score(batches):
-            columns = [c.cast(pa.int64()) if name == "n_known" else c for name, c in zip(b.schema.names, b.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
-
-    return cast
+    return score
 
 
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -254,19 +345,25 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"), fold.alias("held_out"))
-    model, words, discount, inverse, unseen = trained(keyed.where(~F.col("held_out")).select("text"), scratch)
+    model, _, _, _, unseen = trained(keyed.where(~F.col("held_out")).select("text"), scratch)
+    chances, stats = model.chances, model.stats
+    del model.chances, model.stats
     held = docs.sparkSession.sparkContext.broadcast(model)
     read = scratch.keep(keyed.mapInArrow(_score(held), SCORED), "read")
-    lone = read.select("row", F.explode("rare").alias("x")).select("row", "x.key", "x.n")
+    scratch.free()
     total, kinds = model.total, model.kinds
+    base = lambda c: F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
+    near = read.select("row", F.explode("near").alias("x")).select("row", "x.*").join(chances, "key", "left").select(
+        "row", base(F.col("cw")).alias("base"), (F.col("n") * F.log10(F.coalesce("p", "low"))).alias("own"), F.when(F.col("cw").isNotNull(), F.col("n")).alias("known")
+    )
+    often = total / (1 << WORD_BITS)
+    far = read.select("row", F.explode("far").alias("x")).select("row", "x.*").join(chances.select("key", "p"), "key", "left")
+    far = far.join(stats.select(F.col("key").alias("u"), "share"), "u", "left").join(stats.select(F.col("key").alias("w"), "c", "parent"), "w", "left")
     c = F.coalesce("c", F.lit(0))
-    joined = lone.join(words, "key", "left").select(
-        "row",
-        (F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))).alias("base"),
-        (F.col("n") * F.log10(F.when(c > 0, (c - discount) * inverse).otherwise(F.lit(unseen)))).alias("own"),
-        F.when(c > 0, F.col("n")).otherwise(0).alias("known"),
-    )
-    rest = scratch.keep(joined.groupBy("row").agg(F.sum("base").alias("base"), F.sum("own").alias("own"), F.sum("known").alias("known"), F.lit(0).alias("_")).drop("_"), "rare")
+    chance = F.coalesce("p", F.coalesce("share", F.lit(1.0)) * F.coalesce("parent", F.lit(float(unseen))))
+    far = far.select("row", F.when(c < often, base(c)).alias("base"), (F.col("n") * F.log10(chance)).alias("own"), F.when((c > 0) & (c < often), F.col("n")).alias("known"))
+    sums = near.unionByName(far).groupBy("row").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("base", "own", "known")))
+    rest = scratch.keep(sums, "rest")
     each = read.groupBy("row", "doc_id", "held_out", "n_tokens").agg(F.count("*").alias("rows"), F.max("n_known").alias("n_known"), F.max("base_score").alias("base_score"), F.max("score").alias("score"))
     each = scratch.keep(each, "each")
     zero = lambda name: F.coalesce(F.col(name) / F.col("rows"), F.lit(0.0))

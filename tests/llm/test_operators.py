@@ -280,6 +280,21 @@ def test_lm_probabilities_sum_to_one(spark, scratch):
         assert abs(model.own[mine].sum() + model.back[u] - 1) < 1e-9
 
 
+def test_lm_head_is_only_a_shortcut(spark, docs, scratch, monkeypatch):
+    """Every pair is seated and scored alike, whether the head has all words and pairs or next to none."""
+
+    def score():
+        got = lm.scored(docs, scratch).collect()
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), sum(r["score"] for r in got)
+
+    whole, total = score()
+    monkeypatch.setattr(lm, "WORD_BITS", 5)
+    monkeypatch.setattr(lm, "CONTEXT_BITS", 4)
+    monkeypatch.setattr(lm, "PAIR_BITS", 6)
+    less, again = score()
+    assert less == whole and abs(again - total) < 0.002 * abs(total)
+
+
 def test_seating_stays_within_bounds():
     customers = np.array([1, 2, 50, 300, 5_000, 200_000])
     t = lm.seated(customers, np.full(6, 0.5), 0.75, np.arange(6, dtype=np.uint64), 1)
