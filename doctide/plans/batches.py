@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doctide.operators.batches import batched
+from doctide.operators.walks import reached
 from doctide.plans.layout import ITEMS, items
 from doctide.plans.register import Plans
 from doctide.sources.tables import LINES, WORDS, lines, table, words
@@ -213,12 +214,11 @@ def quantize(spark, sf_dir):
 
 @P.query("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, (s_suppkey * 7 + s_nationkey) % (SELECT count(*) FROM supplier) AS b FROM supplier), r AS (SELECT 0 AS node UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT s_suppkey AS node, s_suppkey NOT IN (SELECT node FROM r) AS dead FROM supplier""")
 def reachability(spark, sf_dir):
-    """Nodes that a walk from node 0 reaches, and those it does not."""
+    """Nodes that a walk from node 0 reaches, however far away, and those it does not."""
     s = table(spark, sf_dir, "supplier")
     n = F.broadcast(s.agg(F.count("*").alias("total")))
-    s.join(n, F.lit(True)).selectExpr("s_suppkey as a", "(s_suppkey * 7 + s_nationkey) % total as b").distinct().createOrReplaceTempView("reach_edges")
-    s.createOrReplaceTempView("reach_nodes")
-    walk = spark.sql("""WITH RECURSIVE r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN reach_edges e ON e.a = r.node WHERE r.depth < 99) SELECT DISTINCT node FROM r""")
+    edges = s.join(n, F.lit(True)).selectExpr("s_suppkey as a", "(s_suppkey * 7 + s_nationkey) % total as b")
+    walk = reached(edges, spark.range(1).select(F.col("id").alias("node")))
     return s.select(F.col("s_suppkey").alias("node")).join(walk.withColumn("hit", F.lit(True)), "node", "left").select("node", F.col("hit").isNull().alias("dead"))
 
 
