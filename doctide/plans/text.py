@@ -210,13 +210,12 @@ def identifiers(spark, sf_dir):
 @P.query(r"""WITH n AS (SELECT p_partkey, p_partkey + 1 AS v FROM part), a AS (SELECT p_partkey, CASE WHEN v > 702 THEN chr(97 + CAST(((v - 1) // 26 - 1) // 26 - 1 AS INTEGER) % 26) ELSE '' END AS x, CASE WHEN v > 26 THEN chr(97 + CAST(((v - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END AS y, chr(97 + CAST((v - 1) % 26 AS INTEGER)) AS z FROM n WHERE v <= 18278)
               SELECT p_partkey, concat(x, y, z) AS alpha FROM a""")
 def alpha_ids(spark, sf_dir):
-    """Numbers from 1 as letters, bijective in base 26, up to three letters."""
-    v = F.col("p_partkey")
-    letter = lambda n: F.char((n % 26 + 97).cast("int"))
-    up = lambda n: F.floor(n / 26) - 1
-    three = F.when(v >= 702, letter(up(up(v)))).otherwise("")
-    two = F.when(v >= 26, letter(up(v))).otherwise("")
-    return table(spark, sf_dir, "part").where("p_partkey < 18278").select("p_partkey", F.concat(three, two, letter(v)).alias("alpha"))
+    """Numbers from 1 as letters, bijective in base 26; a long has 14 letters at most."""
+    n, letters = "p_partkey + 1", []
+    for _ in range(14):
+        letters.insert(0, F.expr(f"if({n} > 0, char(97 + ({n} - 1) % 26), '')"))
+        n = f"(({n} - 1) div 26)"
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(*letters).alias("alpha"))
 
 
 _TOKENS = "tokens AS (SELECT page_id, CAST(unnest(generate_series(0, len(regexp_extract_all(html, '<[^>]+>|[^<]+')) - 1)) AS INTEGER) AS ord, unnest(regexp_extract_all(html, '<[^>]+>|[^<]+')) AS token FROM pages)"
