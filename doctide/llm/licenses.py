@@ -1,9 +1,9 @@
 """Operator 8, license scans.
 
-Templates are cut into tokens (runs of letters and digits, lower case), their token triples are hashed and winnowed: of
-every WINDOW neighbouring triples the smallest is kept.  The kept ones make an inverted index from hash to (template,
-place).  A document looks all its triples up; hits of one template on neighbouring diagonals make a candidate, and a
-banded alignment of template and document around these diagonals tells which tokens match, what part of the template they
+Templates are cut into tokens (runs of letters and digits, lower case), and all their token triples are hashed, or pairs if
+they have fewer than SHORT tokens: a template that keeps COVERAGE of its tokens keeps one of these whole.  They make an
+inverted index from hash to (template, place).  A document looks all its pairs and triples up; hits of one template on
+neighbouring diagonals make a candidate, and a banded alignment of template and document around these diagonals tells which tokens match, what part of the template they
 cover and the span they take.  Everything happens where a text is read: the index is a table of templates, checked to be
 small, and nothing is shuffled.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import shingles_of, table, text_chunks, words_of
 
 TRIPLE = 3
-WINDOW = 4
+#: Templates of fewer tokens are indexed by pairs.
+SHORT = 10
 BAND = 8
 COVERAGE = 0.8
 MOST_TEMPLATE_BYTES = 1 << 20
@@ -52,29 +53,36 @@ def tokens_of(text: str) -> np.ndarray:
 
 
 class TemplateIndex:
-    """Inverted index of the winnowed triples of templates (name -> text)."""
+    """Inverted index of the triples, or pairs, of templates (name -> text)."""
 
     def __init__(self, templates: dict[str, str]):
         if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
             raise ValueError(f"templates of more than {MOST_TEMPLATE_BYTES} bytes")
-        self.names, self.tokens, found = list(templates), [tokens_of(t) for t in templates.values()], []
+        self.names, self.tokens = list(templates), [tokens_of(t) for t in templates.values()]
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for t, tokens in enumerate(self.tokens):
             if len(tokens):
-                triples = shingles_of(np.zeros(len(tokens), np.int64), tokens, TRIPLE)[1]
-                kept = {int(np.argmin(triples[a : a + WINDOW])) + a for a in range(max(1, len(triples) - WINDOW + 1))}
-                found += [(int(triples[p]), t, p) for p in kept]
-        found.sort()
-        self.hashes = np.array([f[0] for f in found], np.uint64)
-        self.places = np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
-        self.coarse = np.zeros(1 << 16, bool)
-        self.coarse[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-
-    def hits(self, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every (triple, index entry) with equal hashes."""
-        maybe = np.flatnonzero(self.coarse[(triples >> np.uint64(48)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, triples[maybe]), np.searchsorted(self.hashes, triples[maybe], "right")
-        n = high - low
-        return np.repeat(maybe, n), np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                width = min(len(tokens), TRIPLE if len(tokens) >= SHORT else 2)
+                hashes = shingles_of(np.zeros(len(tokens), np.int64), tokens, width)[1][: len(tokens) - width + 1]
+                found.setdefault(width, []).extend((h, t, p) for p, h in enumerate(hashes.tolist()))
+        self.tables = []
+        for width, entries in sorted(found.items()):
+            entries.sort()
+            hashes, coarse = np.array([e[0] for e in entries], np.uint64), np.zeros(1 << 16, bool)
+            coarse[(hashes >> np.uint64(48)).astype(np.int64)] = True
+            self.tables.append((width, hashes, np.array([e[1:] for e in entries], np.int64).reshape(-1, 2), coarse))
+
+    def hits(self, row: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token, template and place in it of every pair or triple with equal hashes."""
+        out = [np.zeros((3, 0), np.int64)]
+        for width, hashes, places, coarse in self.tables:
+            first, grams = shingles_of(row, tokens, width)
+            maybe = np.flatnonzero(coarse[(grams >> np.uint64(48)).astype(np.int64)])
+            low, high = np.searchsorted(hashes, grams[maybe]), np.searchsorted(hashes, grams[maybe], "right")
+            n = high - low
+            entry = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            out.append(np.stack([first[np.repeat(maybe, n)], *places[entry].T]))
+        return tuple(np.concatenate(out, axis=1))
 
 
 def band_of(n: int) -> int:
@@ -127,15 +135,16 @@ def _better(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
 
 
 def matches(index: TemplateIndex, texts: pa.Array) -> list[tuple[int, str, int, float, int, int]]:
-    """(row, template, matched tokens, coverage, first and end byte) of every match that covers COVERAGE of its template."""
+    """(row, template, matched tokens, coverage, first and end byte) of every match that covers COVERAGE of its template.
+
+    A span that is one template word for word is no edit of another one, though most of their tokens may agree.
+    """
     out = []
     for at, _, raw, offsets in text_chunks(texts):
         starts, ends, row, tokens = words_of(raw, offsets, apart=APART)
         if not len(row):
             continue
-        first, triples = shingles_of(row, tokens, TRIPLE)
-        hit, entry = index.hits(triples)
-        word, (template, place) = first[hit], index.places[entry].T
+        word, template, place = index.hits(row, tokens)
         begin = np.searchsorted(row, row[word])
         for r, t in sorted(set(zip(row[word].tolist(), template.tolist(), strict=True))):
             mine = (row[word] == r) & (template == t)
@@ -150,7 +159,8 @@ def matches(index: TemplateIndex, texts: pa.Array) -> list[tuple[int, str, int,
                 if n and n >= COVERAGE * len(index.tokens[t]) and lo + f > last:
                     last = lo + e
                     out.append((at + r, index.names[t], n, n / len(index.tokens[t]), int(starts[b + lo + f] - offsets[r]), int(ends[b + lo + e] - offsets[r])))
-    return out
+    exact = {(r, first, end) for r, _, _, coverage, first, end in out if coverage == 1}
+    return [x for x in out if x[3] == 1 or (x[0], *x[4:]) not in exact]
 
 
 FOUND = "doc_id long, license string, n_matched int, coverage double, first_byte long, end_byte long, matched_text string"
