@@ -42,6 +42,8 @@ class Scratch:
         if not base:
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
             if held.isEmpty():
+                if not spark.sparkContext.master.split("[")[0] == "local":
+                    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
                 spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
                 held = spark.sparkContext._jsc.sc().getCheckpointDir()
             base = held.get()
@@ -84,6 +86,7 @@ def series(n: int, seed: int) -> np.ndarray:
 
 
 BYTE_VALUES = series(256, 1)
+OTHER_BYTE_VALUES = series(256, 3)
 STEP = series(64, 2) | np.uint64(1)
 
 
@@ -124,7 +127,28 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and 64-bit hash of each word; A-Z count as a-z if `lower`; `apart` tells the bytes between words."""
+    """Start, end, row and 64-bit hash of each word; A-Z count as a-z if `lower`; `apart` tells the bytes between words.
+
+    Bytes are worked on in pieces of about CHUNK that end between words, so what a long text needs beside its words (four
+    numbers each) does not grow with it; only a single word longer than CHUNK is a piece of its own length.
+    """
+    found, begin = [], 0
+    while begin < len(raw) or not found:
+        end = begin + CHUNK
+        while end < len(raw) and not apart[raw[end]] and offsets[np.searchsorted(offsets, end)] != end:
+            border = np.flatnonzero(apart[raw[end : end + 4_096]])
+            row_end = int(offsets[np.searchsorted(offsets, end)])
+            end = min(end + (int(border[0]) if len(border) else 4_096), row_end, len(raw))
+        end = min(end, len(raw))
+        starts, ends, hashes = _words(raw[begin:end], offsets[(offsets > begin) & (offsets < end)] - begin, lower, apart)
+        found.append((starts + begin, ends + begin, hashes))
+        begin = end
+    starts, ends, hashes = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashes
+
+
+def _words(raw: np.ndarray, edges: np.ndarray, lower: bool, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word; edges are the inner borders of rows."""
     space = apart[raw]
     fresh = np.empty(len(raw), bool)
     last = np.empty(len(raw), bool)
@@ -132,15 +156,13 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np
         fresh[0] = last[-1] = True
         fresh[1:] = space[:-1]
         last[:-1] = space[1:]
-        edges = offsets[(offsets > 0) & (offsets < len(raw))]
         fresh[edges] = True
         last[edges - 1] = True
     starts = np.flatnonzero(fresh & ~space)
     ends = np.flatnonzero(last & ~space) + 1
-    row = np.searchsorted(offsets, starts, "right") - 1
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[LOWER[raw] if lower else raw] * powers(len(raw)), out=sums[1:])
-    return starts, ends, row, mix((sums[ends] - sums[starts]) * powers(len(raw) + 1, "down")[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix((sums[ends] - sums[starts]) * powers(len(raw) + 1, "down")[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles_of(row: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

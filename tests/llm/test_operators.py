@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from doctide.llm import licenses, lm, minhash, mixing, packing, quality, repeats, simhash, topk, urls
+from doctide.llm import common, licenses, lm, minhash, mixing, packing, quality, repeats, simhash, topk, urls
 from doctide.llm.common import Scratch, top_keys
 
 from . import corpus
@@ -107,6 +107,42 @@ def test_repeated_bytes(spark, docs, scratch):
     assert all(r["n_chars"] == len(r["text"] or "") for r in stripped.collect())
 
 
+def test_passages_of_over_50_words(spark, scratch):
+    """51 to 60 short words that two documents share go, 50 do not, whatever the space between them; nothing else goes."""
+    word = lambda i: f"w{i}"
+    rows, want = [], {}
+    for n in (50, 51, 55, 60):
+        passage = [word(1000 * n + i) for i in range(n)]
+        for k, gap in enumerate((" ", "\n")):
+            own = [[word(10**6 + 10_000 * n + 1000 * k + i + 200 * side) for i in range(70)] for side in (0, 1)]
+            rows.append((2 * n + k, " ".join(own[0]) + " " + gap.join(passage) + " " + " ".join(own[1]), "en", "s"))
+            want[2 * n + k] = " ".join(own[0]) + (" " if n == 50 else "  ") + (gap.join(passage) + " " if n == 50 else "") + " ".join(own[1])
+    rows += [(1, None, "en", "s"), (2, "", None, None), (None, " ".join(word(i) for i in range(90)), "en", "s")]
+    docs = spark.createDataFrame(rows, corpus.SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in repeats.strip_repeats(docs, scratch).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert got[1] is None and got[2] == "" and got[None] == rows[-1][1]
+    found = repeats.with_spans(docs, scratch, passages=True).collect()
+    assert {r["doc_id"]: repeats.maximal(r["_dt_passages"]) for r in found if r["_dt_passages"]} == {2 * n + k: [(70, 70 + n)] for n in (51, 55, 60) for k in (0, 1)}
+
+
+def test_long_texts_are_worked_on_in_windows(spark, scratch, monkeypatch):
+    """The same words, hashes and spans, however small the windows are."""
+    long = corpus.text(11, 3_000)
+    texts = [long, "x" * 3_000 + " " + long[5_000:9_000], corpus.text(12, 40)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = common.words_of(raw, offsets)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: (repeats.maximal(r["_dt_spans"]), repeats.maximal(r["_dt_passages"])) for r in repeats.with_spans(docs, scratch, passages=True).collect()}
+    want = spans()
+    assert want[0][0] and want[0][1] and want[1] and not any(want[2])
+    monkeypatch.setattr(common, "CHUNK", 700)
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, common.words_of(raw, offsets), strict=True))
+    assert spans() == want
+
+
 def test_spans_shrink_to_characters():
     raw = "aéb".encode()
     assert repeats.whole_characters(raw, [(2, 4)]) == [(3, 4)] and repeats.whole_characters(raw, [(0, 2)]) == [(0, 1)]
