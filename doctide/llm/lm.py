@@ -6,11 +6,16 @@ customers of every dish again, given the tables of all others; predictive probab
 over the sweeps that are kept, so they still sum to one.  The parent's base is diffuse: there each word has one table and
 what its discounts free is the probability of a word that training never saw.
 
-All statistics cover all training documents, and every pair of words has its seats, in a table that grows with the corpus.
-A pair seen once has one table whatever is drawn, so the sweeps carry pairs seen more often.  What is sent to every task is
-a head, with the same result as the table: words that hold one 2^WORD_BITS-th of all tokens, and of pairs of words that hold
-one 2^CONTEXT_BITS-th each those that hold one 2^PAIR_BITS-th.  Pairs of the head are scored where a text is read; all others
-are counted there for each text and joined with the table.
+All statistics cover all training documents, and every pair of words has its seats, in tables that grow with the corpus.
+A pair seen once has one table whatever is drawn, so the sweeps carry pairs seen more often.
+
+Texts are read twice: to count words, and in chunks of about CHUNK_TOKENS to list the distinct pairs of each chunk.  Those
+lists are dealt by parts of the pairs, about PART_TOKENS tokens each, and serve both ways: training adds up their counts,
+and once seats are drawn each part answers the same lists with the customers that stay after discount.  A chunk's answers
+meet its texts, kept as numbers of pairs, and give their scores.  A list is sorted numbers, compressed, so a pair costs a few
+bytes.  Only words that hold at least one 2^WORD_BITS-th of all tokens are sent to every task (so at most 2^WORD_BITS); pairs
+of them are numbers, pairs with a rarer word belong to the part of that word.  So no key is hot: the rarer word is rare, and
+pairs of frequent words are dealt by pair.
 """
 
 from __future__ import annotations
@@ -19,19 +24,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, signed, table, text_chunks, words_of
 
-WORD_BITS, CONTEXT_BITS, PAIR_BITS = 20, 16, 20
+WORD_BITS = 20
+CHUNK_TOKENS, PART_TOKENS = 3 << 20, 1 << 19
 SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
 CONTEXT_DISCOUNT = 0.75
 #: Stands for the end of a text, and for what precedes its first word.
 END = np.uint64(0x5D588B656C078965)
+#: What is rare in a pair that is not of two frequent words: its token, its context, or both.
+TOKEN, CONTEXT, BOTH = 0, 1, 2
 
 
 def token_stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,36 +68,45 @@ def _tallied(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.nda
     return [c[first] for c in columns], np.add.reduceat(counts[order], first)
 
 
-def _tally(columns_of, names: tuple[str, ...] = ("key",)):
-    """A task's counts of the rows of columns_of(tokens, before), flushed whenever they pass four million entries."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of tokens, flushed whenever they pass four million entries."""
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
-    def joined(held: list) -> tuple[list[np.ndarray], np.ndarray]:
-        return _tallied([np.concatenate(c) for c in zip(*(k for k, _ in held), strict=True)], np.concatenate([n for _, n in held]))
-
-    def rows(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[pa.RecordBatch]:
+        (keys,), counts = _tallied([np.concatenate([k for (k,), _ in held])], np.concatenate([n for _, n in held]))
         for k in range(0, len(counts), 262_144):
-            yield _batch(**{name: c[k : k + 262_144] for name, c in zip(names, columns, strict=True)}, n=counts[k : k + 262_144])
+            yield _batch(key=keys[k : k + 262_144], n=counts[k : k + 262_144])
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size = 0
-        for batch in batches:
-            for _, _, raw, offsets in text_chunks(batch.column("text")):
-                _, tokens, before = token_stream(raw, offsets)
-                columns = columns_of(tokens, before)
-                if len(columns[0]):
-                    held.append(_tallied(columns, np.ones(len(columns[0]), np.int64)))
-                    size += len(held[-1][1])
-                if size > 4_000_000:
-                    held = [joined(held)]
-                    size = len(held[0][1])
-                    if size > 2_000_000:
-                        yield from rows(*held[0])
-                        held, size = [], 0
-        if held:
-            yield from rows(*joined(held))
-
-    return tally
+    for batch in batches:
+        for _, _, raw, offsets in text_chunks(batch.column("text")):
+            _, tokens, _ = token_stream(raw, offsets)
+            held.append(_tallied([tokens], np.ones(len(tokens), np.int64)))
+        if sum(len(n) for _, n in held) > 4_000_000:
+            yield from rows()
+            held.clear()
+    if held:
+        yield from rows()
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes, compressed with bytes of the same weight together."""
+    wide = values.view(np.uint8).reshape(len(values), values.itemsize)
+    return pa.compress(np.ascontiguousarray(wide.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=size * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Mostly rising numbers as their differences."""
+    return squeezed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def risen(blob: bytes, n: int, kind: type) -> np.ndarray:
+    return np.cumsum(unsqueezed(blob, n, kind), dtype=kind)
 
 
 def find(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -141,198 +158,375 @@ def seated(customers: np.ndarray, rate: np.ndarray, discount: float, key: np.nda
     return np.minimum(every, whole)
 
 
-class Model:
-    """What scoring needs of the frequent words: counts, parent probabilities, shares of the parent, contexts and pairs."""
-
-    def __init__(self, words: pd.DataFrame, total: int, kinds: int):
-        words = words.sort_values("key")
-        self.total, self.kinds = total, kinds
-        self.words, self.counts = words["key"].to_numpy(np.int64), words["c"].to_numpy(np.int64)
-        self.contexts = self.words[self.counts >= max(2.0, total / (1 << CONTEXT_BITS))]
-        self.parent, self.share = np.zeros(len(self.words)), np.ones(len(self.words))
-        self.pairs, self.own = np.zeros(0, np.int64), np.zeros(0)
-        self.back = np.ones(len(self.contexts))
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
-
-
-def pair_ids(contexts: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """One number for each pair of context words, -1 for others."""
-    a, b = find(contexts, signed(before)), find(contexts, signed(tokens))
-    return np.where((a >= 0) & (b >= 0), (a << (CONTEXT_BITS + 1)) | b, -1)
-
-
-def pair_keys(words: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The key of each pair: the places of both if both are of words, which are frequent and sorted, else a negative hash."""
-    b = find(words, signed(tokens))
-    a = np.roll(b, 1)
-    start = np.flatnonzero(before == END)
-    a[start] = find(words, np.full(len(start), END).view(np.int64))
-    return np.where((a >= 0) & (b >= 0), (a << WORD_BITS) | b, signed(mix(mix(before) + tokens) | np.uint64(1 << 63)))
+ASKED = (
+    "chunk long, part int, near_n int, near_keys binary, near_counts binary, far_n int, far_rare binary, far_kind binary, far_other binary, far_counts binary, "
+    "pairs binary, doc_ids array<long>, held_out array<boolean>, lengths array<long>"
+)
+
+
+class Chunk:
+    """Texts of up to about CHUNK_TOKENS tokens: which pairs each has, and the distinct pairs of all dealt by part."""
+
+    def __init__(self):
+        self.size, self.ids, self.held_out, self.lengths = 0, [], [], []
+        self.row, self.learned, self.near, self.rare, self.kind, self.other = ([] for _ in range(6))
+
+    def add(self, words: np.ndarray, ids: list, held_out: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> None:
+        row, tokens, before = token_stream(raw, offsets)
+        a, b = find(words, signed(before)), find(words, signed(tokens))
+        far = (a < 0) | (b < 0)
+        self.near.append(np.where(far, -1, (a << WORD_BITS) | b))
+        self.kind.append(np.where(b >= 0, CONTEXT, np.where(a >= 0, TOKEN, BOTH))[far].astype(np.uint64))
+        self.rare.append(np.where(b >= 0, before, tokens)[far])
+        self.other.append(np.where(b >= 0, b.astype(np.uint64), np.where(a >= 0, a.astype(np.uint64), before))[far])
+        self.row.append(row + len(self.ids))
+        self.learned.append(~held_out[row])
+        self.lengths.append(np.bincount(row, minlength=len(ids)))
+        self.ids += ids
+        self.held_out.append(held_out)
+        self.size += len(row)
+
+    def rows(self, number: int, parts: int) -> list[dict]:
+        near, rare, kind, other, row, learned = (np.concatenate(x) for x in (self.near, self.rare, self.kind, self.other, self.row, self.learned))
+        place = np.empty(len(near), np.uint32)
+        at = np.flatnonzero(near >= 0)
+        keys, of = np.unique(near[at], return_inverse=True)
+        order = np.argsort(keys % parts, kind="stable")
+        keys, place[at], counts = self._placed(keys, of, order, learned[at], 0)
+        far = np.flatnonzero(near < 0)
+        _, first, of = np.unique(mix(mix(rare + kind) + other), return_index=True, return_inverse=True)
+        rare, kind, other = rare[first], kind[first], other[first]
+        part = np.mod(signed(rare), parts)
+        order = np.lexsort((other, kind, rare, part))
+        rare, place[far], far_counts = self._placed(rare, of, order, learned[far], len(keys))
+        kind, other, part = kind[order], other[order], part[order]
+        cuts = [np.searchsorted(x, np.arange(parts + 1)) for x in (keys % parts, part)]
+        out = []
+        for k in range(parts):
+            a, b, c, d = cuts[0][k], cuts[0][k + 1], cuts[1][k], cuts[1][k + 1]
+            if b > a or d > c:
+                out.append(
+                    {"chunk": number, "part": k, "near_n": b - a, "near_keys": rising(keys[a:b]), "near_counts": squeezed(counts[a:b]), "far_n": d - c, "far_rare": rising(rare[c:d]), "far_kind": squeezed(kind[c:d]), "far_other": squeezed(other[c:d]), "far_counts": squeezed(far_counts[c:d])}
+                )
+        place = place[np.argsort(row.astype(np.uint64) << np.uint64(32) | place)]
+        lengths, held_out = np.concatenate(self.lengths), np.concatenate(self.held_out)
+        out.append({"chunk": number, "part": -1, "pairs": rising(place), "doc_ids": self.ids, "held_out": held_out.tolist(), "lengths": lengths.tolist()})
+        return out
+
+    @staticmethod
+    def _placed(keys: np.ndarray, of: np.ndarray, order: np.ndarray, learned: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, the place of each occurrence from base on, and how often training documents have each key."""
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        of = rank[of.ravel()]
+        return keys[order], of + base, np.bincount(of[learned], minlength=len(keys)).astype(np.uint64)
+
+
+def _ask(held, parts: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = held.value[0], TaskContext.get().partitionId() << 32
+        chunk = Chunk()
+
+        def flushed() -> pa.RecordBatch:
+            kinds = {"chunk": pa.int64(), "part": pa.int32(), "near_n": pa.int32(), "far_n": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())}
+            names = [c.split()[0] for c in ASKED.split(", ")]
+            return pa.RecordBatch.from_pylist(chunk.rows(number, parts), schema=pa.schema([(c, kinds.get(c, pa.binary())) for c in names]))
 
+        for batch in batches:
+            for first, end, raw, offsets in text_chunks(batch.column("text")):
+                took = batch.slice(first, end - first)
+                chunk.add(words, took.column("doc_id").to_pylist(), took.column("held_out").to_numpy(zero_copy_only=False).astype(bool), raw, offsets)
+                if chunk.size >= CHUNK_TOKENS:
+                    yield flushed()
+                    number, chunk = number + 1, Chunk()
+        if chunk.size:
+            yield flushed()
+
+    return ask
+
+
+class Asked:
+    """The lists of one part, decoded: distinct pairs with their counts in training, and the place of each list's pairs."""
+
+    def __init__(self, lists: list[dict]):
+        near = [risen(r["near_keys"], r["near_n"], np.int64) for r in lists]
+        self.far = [(risen(r["far_rare"], r["far_n"], np.uint64), unsqueezed(r["far_kind"], r["far_n"], np.uint64), unsqueezed(r["far_other"], r["far_n"], np.uint64)) for r in lists]
+        self.cuts = [np.cumsum([0, *(r[n] for r in lists)]) for n in ("near_n", "far_n")]
+        self.near, of = np.unique(np.concatenate(near), return_inverse=True)
+        self.near_of, self.near_c = self._counted(of, lists, "near", len(self.near))
+        rare, kind, other = (np.concatenate(x) for x in zip(*self.far, strict=True))
+        self.key, first, of = np.unique(mix(mix(rare + kind) + other), return_index=True, return_inverse=True)
+        self.rare, self.kind, self.other = rare[first], kind[first], other[first]
+        self.far_of, self.far_c = self._counted(of, lists, "far", len(self.key))
+
+    @staticmethod
+    def _counted(of: np.ndarray, lists: list[dict], name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.concatenate([unsqueezed(r[f"{name}_counts"], r[f"{name}_n"], np.uint64) for r in lists]).astype(np.float64)
+        return of.ravel(), np.bincount(of.ravel(), counts, size).astype(np.int64)
+
+
+COUNTED = "part int, near boolean, key long, kind int, other long, c long"
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Pairs of one part that training has more than once; key is the number of a pair of frequent words, else the rare word."""
+    asked = Asked(group.to_pylist())
+    a, b = asked.near_c > 1, asked.far_c > 1
+    n, m = int(a.sum()), int(b.sum())
+    part = group.column("part")[0].as_py()
+    return pa.table(
+        [
+            pa.array(np.full(n + m, part, np.int32)), pa.array(np.arange(n + m) < n), pa.array(np.append(asked.near[a], signed(asked.rare[b]))),
+            pa.array(np.append(np.zeros(n, np.int32), asked.kind[b].astype(np.int32))), pa.array(np.append(np.zeros(n, np.int64), signed(asked.other[b]))), pa.array(np.append(asked.near_c[a], asked.far_c[b])),
+        ],
+        names=["part", "near", "key", "kind", "other", "c"],
+    )
 
-SEATS = "key long, u long, w long, c long, cw long, cu long, t double, tables double, parent double"
 
+SUMS = "place int, word long, joined double, tables double, customers double"
 
-def _filled(held):
-    """Words and their counts of pairs of frequent words, from their keys."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = held.value
-        for batch in batches:
-            key, c = (batch.column(x).to_numpy() for x in ("key", "c"))
-            u, w = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
-            yield _batch(key=key, u=words[u], w=words[w], c=c, cw=counts[w], cu=counts[u])
-
-    return fill
+def _summed(size: int, value: str):
+    """What pairs add to words: customers that joined a table, to the token; tables and customers, to the context.
 
+    place is that of a frequent word, -1 for others.
+    """
 
-def _chances(held):
-    """The chance of pairs of frequent words, from their keys."""
+    def rows(place: np.ndarray, word: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+        return _batch(**dict(zip(("place", "word", "joined", "tables", "customers"), (place.astype(np.int32), word, *sums), strict=True)))
 
-    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, parent, share = held.value
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros((3, size))
         for batch in batches:
-            key, c, tables = (batch.column(x).to_numpy() for x in ("key", "c", "tables"))
-            u, w = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
-            yield _batch(key=key, p=share[u] * parent[w] + (c - CONTEXT_DISCOUNT * tables) / (STRENGTH + counts[u]))
-
-    return chance
+            near, key, other, c, t = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("near", "key", "other", "c", value))
+            near, kind = near.astype(bool), batch.column("kind").to_numpy()
+            context, token = near | (kind == TOKEN), near | (kind == CONTEXT)
+            w = np.where(near, key & ((1 << WORD_BITS) - 1), other)
+            u = np.where(near, key >> WORD_BITS, other)
+            head[0] += np.bincount(w[token], (c - t)[token], size)
+            head[1] += np.bincount(u[context], t[context], size)
+            head[2] += np.bincount(u[context], c[context], size)
+            yield rows(np.full((~token).sum(), -1), key[~token], (c - t)[~token], *(np.zeros((~token).sum()),) * 2)
+            word = np.where(kind == BOTH, other, key)[~context]
+            yield rows(np.full(len(word), -1), word, np.zeros(len(word)), t[~context], c[~context].astype(float))
+        some = np.flatnonzero(head.any(axis=0))
+        yield rows(some, np.zeros(len(some), np.int64), *head[:, some])
 
+    return add
 
-def trained(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, float, float, float]:
-    """The model of docs (text); the table (key, c) of all words; the parent's discount, mean 1 / mass and unseen share.
 
-    The model's `chances` is a table (key, p, cw) of all pairs, cw null if the word is frequent; its `stats` one (key, c,
-    parent, share) of all words.
-    """
-    spark = docs.sparkSession
-    words = docs.mapInArrow(_tally(lambda tokens, before: [tokens]), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-    words = scratch.keep(words, "words")
-    total, kinds, ones, twos = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    often = total / (1 << WORD_BITS)
-    model = Model(words.where(F.col("c") >= often).toPandas(), total, kinds)
-    held = spark.sparkContext.broadcast((model.words, model.counts))
+SEATS = "part int, near boolean, key long, kind int, other long, c long, c_key long, c_other long, t double, tables double"
 
-    def pair_columns(tokens: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-        key = pair_keys(held.value[0], before, tokens)
-        return [key, np.where(key < 0, signed(before), 0), np.where(key < 0, signed(tokens), 0)]
 
-    pairs = docs.mapInArrow(_tally(pair_columns, ("key", "u", "w")), "key long, u long, w long, n long")
-    pairs = scratch.keep(pairs.groupBy("key").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("n").alias("c")), "pairs")
-    scratch.free()
-    inner = CONTEXT_DISCOUNT
-    count_of = lambda name: words.select(F.col("key").alias(name), F.col("c").alias(f"c{name}"))
-    many = pairs.where("c > 1")
-    far = many.where("key < 0").join(count_of("w"), "w").join(count_of("u"), "u").select("key", "u", "w", "c", "cw", "cu")
-    state = many.where("key >= 0").select("key", "c").mapInArrow(_filled(held), "key long, u long, w long, c long, cw long, cu long").unionByName(far)
-    state = scratch.keep(state.select("*", F.col("c").cast("double").alias("t"), F.lit(0.0).alias("tables"), F.lit(0.0).alias("parent")), "seats")
-    inverse = 0.0
+class Model:
+    """What training leaves: counts, parent probabilities and shares of frequent words as arrays, of others in the table
+    `rare` (word, c, parent, share), the table `seats` of pairs seen more than once, and what words never seen share."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int):
+        self.words, self.counts, self.total, self.kinds = words, counts, total, kinds
+        self.joined, self.inverse = np.zeros(len(words)), 0.0
+        self.parent, self.share = np.zeros(len(words)), np.ones(len(words))
+
+
+def _head(sums: DataFrame, size: int) -> np.ndarray:
+    some = sums.where("place >= 0").select("place", "joined", "tables", "customers").toPandas()
+    head = np.zeros((3, size))
+    head[:, some["place"]] = some[["joined", "tables", "customers"]].to_numpy(float).T
+    return head
+
+
+def seat_all(pairs: DataFrame, model: Model, words: DataFrame, discount: float, scratch: Scratch) -> None:
+    """Gibbs sweeps over pairs (COUNTED); leaves seats, parents and shares in the model."""
+    spark, inner = pairs.sparkSession, CONTEXT_DISCOUNT
+    count_of = lambda name: words.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}"))
+    far = pairs.where("not near").join(count_of("key"), "key")
+    both = far.where(F.col("kind") == BOTH).join(count_of("other"), "other")
+    none = F.lit(None).cast("long")
+    state = pairs.where("near").withColumns({"c_key": none, "c_other": none}).unionByName(far.where(F.col("kind") < BOTH).withColumn("c_other", none)).unionByName(both)
+    state = scratch.keep(state.withColumns({"t": F.col("c").cast("double"), "tables": F.lit(0.0)}), "seats")
+    size = len(model.words)
+    total_of = lambda df, value: df.mapInArrow(_summed(size, value), SUMS).groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in ("joined", "tables", "customers")))
+    rare_joined = []
     for sweep in range(SWEEPS):
-        mass = total - (state.agg(F.sum(F.col("c") - F.col("t"))).first()[0] or 0.0)
-        by_w = scratch.keep(state.groupBy("w").agg(F.sum(F.col("c") - F.col("t")).alias("joined"), F.max("cw").alias("often")), "by-w")
-        # customers of pairs seen once have a table each
-        by_u = scratch.keep(state.groupBy("u").agg((F.sum("t") + F.max("cu") - F.sum("c")).alias("tu"), F.max("cu").alias("often")), "by-u")
-        kept = sweep >= BURN_IN
-        inverse += kept / (STRENGTH + mass) / (SWEEPS - BURN_IN)
-        sums = []
-        for table_, name, value in ((by_w, "w", "joined"), (by_u, "u", "tu")):
-            some = table_.where(F.col("often") >= often).select(name, value).toPandas()
-            sums.append(np.zeros(len(model.words)))
-            sums[-1][find(model.words, some[name].to_numpy(np.int64))] = some[value]
-        head = spark.sparkContext.broadcast(sums)
-
-        def seat(batches: Iterator[pa.RecordBatch], sweep: int = sweep, mass: float = mass, kept: bool = kept, head=head) -> Iterator[pa.RecordBatch]:
+        sums = scratch.keep(total_of(state, "t"), "sums")
+        mass = model.total - (sums.agg(F.sum("joined")).first()[0] or 0.0)
+        head = _head(sums, size)
+        kept = (sweep >= BURN_IN) / (SWEEPS - BURN_IN)
+        model.inverse += kept / (STRENGTH + mass)
+        model.joined += kept / (STRENGTH + mass) * head[0]
+        if kept:
+            rare_joined.append(sums.where("place < 0").select(F.col("word").alias("key"), (F.col("joined") * (kept / (STRENGTH + mass))).alias("joined")))
+        sent = spark.sparkContext.broadcast((model.counts, head))
+
+        def seat(batches: Iterator[pa.RecordBatch], sweep: int = sweep, mass: float = mass, kept: float = kept, sent=sent) -> Iterator[pa.RecordBatch]:
+            counts, (joined, tables, customers) = sent.value
+            free = counts + tables - customers
             for batch in batches:
-                x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-                if "joined" not in x:
-                    x["joined"], x["tu"] = head.value[0][x["key"] & ((1 << WORD_BITS) - 1)], head.value[1][x["key"] >> WORD_BITS]
-                parent = (x["cw"] - x["joined"] - discount).clip(1e-9) / (STRENGTH + mass)
-                rate = (STRENGTH + inner * x["tu"]) * parent
-                t = seated(x["c"], rate, inner, x["key"].view(np.uint64), sweep)
-                share = kept / (SWEEPS - BURN_IN)
-                yield _batch(key=x["key"], u=x["u"], w=x["w"], c=x["c"], cw=x["cw"], cu=x["cu"], t=t, tables=x["tables"] + share * t, parent=x["parent"] + share * parent)
-
-        near = state.where("key >= 0").mapInArrow(seat, SEATS)
-        far = state.where("key < 0").join(by_w.drop("often"), "w").join(by_u.drop("often"), "u")
-        now = scratch.keep(near.unionByName(far.mapInArrow(seat, SEATS)), "seats")
-        scratch.drop(state, by_w, by_u)
+                x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                near, kind = x["near"].astype(bool), x["kind"]
+                u, w = np.where(near, x["key"] >> WORD_BITS, x["other"]), np.where(near, x["key"] & ((1 << WORD_BITS) - 1), x["other"])
+                context, token = near | (kind == TOKEN), near | (kind == CONTEXT)
+                cw, tu = np.empty(len(near)), np.empty(len(near))
+                cw[token] = counts[w[token]] - joined[w[token]]
+                tu[context] = free[u[context]]
+                if "joined" in x:
+                    cw[~token] = (x["c_key"] - x["joined"])[~token]
+                    tu[~context] = x["free"][~context]
+                parent = (cw - discount).clip(1e-9) / (STRENGTH + mass)
+                key = mix(mix(x["key"].view(np.uint64) + kind.astype(np.uint64)) + x["other"].view(np.uint64))
+                t = seated(x["c"], (STRENGTH + inner * tu) * parent, inner, key, sweep)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "near", "key", "kind", "other", "c", "c_key", "c_other")), pa.array(t), pa.array(x["tables"] + kept * t)], ["part", "near", "key", "kind", "other", "c", "c_key", "c_other", "t", "tables"])
+
+        rare = sums.where("place < 0")
+        of_key = state.where("not near").join(rare.select(F.col("word").alias("key"), "joined", (F.col("tables") - F.col("customers")).alias("free")), "key")
+        of_other = of_key.where(F.col("kind") == BOTH).drop("free").join(rare.select(F.col("word").alias("other"), (F.col("tables") - F.col("customers")).alias("free")), "other")
+        far = of_key.where(F.col("kind") < BOTH).withColumn("free", F.col("c_key") + F.col("free")).unionByName(of_other.withColumn("free", F.col("c_other") + F.col("free")))
+        now = scratch.keep(state.where("near").mapInArrow(seat, SEATS).unionByName(far.mapInArrow(seat, SEATS)), "seats")
+        scratch.drop(state)
+        if not kept:
+            scratch.drop(sums)
         scratch.free()
         state = now
-    by_w = state.groupBy(F.col("w").alias("key")).agg(F.max("parent").alias("shared"))
-    by_u = state.groupBy(F.col("u").alias("key")).agg((F.sum("tables") - F.sum("c")).alias("less"))
-    stats = words.join(by_w, "key", "left").join(by_u, "key", "left").select(
-        "key", "c", F.coalesce("shared", (F.col("c") - discount) * inverse).alias("parent"),
-        ((STRENGTH + inner * (F.col("c") + F.coalesce("less", F.lit(0.0)))) / (STRENGTH + F.col("c"))).alias("share"),
+    sums = scratch.keep(total_of(state, "tables"), "sums")
+    _, tables, customers = _head(sums, size)
+    model.parent = (model.counts - discount) * model.inverse - model.joined
+    model.share = (STRENGTH + inner * (model.counts + tables - customers)) / (STRENGTH + model.counts)
+    shared = rare_joined[0]
+    for more in rare_joined[1:]:
+        shared = shared.unionByName(more)
+    shared = shared.groupBy("key").agg(F.sum("joined").alias("joined"))
+    less = sums.where("place < 0").select(F.col("word").alias("key"), (F.col("tables") - F.col("customers")).alias("less"))
+    few = words.where(F.col("c") < model.total / (1 << WORD_BITS)).join(shared, "key", "left").join(less, "key", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    model.rare = scratch.keep(
+        few.select(F.col("key").alias("word"), "c", ((F.col("c") - discount) * model.inverse - zero("joined")).alias("parent"), ((STRENGTH + inner * (F.col("c") + zero("less"))) / (STRENGTH + F.col("c"))).alias("share")), "rare"
     )
-    model.stats = stats = scratch.keep(stats, "stats")
-    few = stats.where(F.col("c") >= often).toPandas().sort_values("key")
-    model.parent, model.share = few["parent"].to_numpy(float), few["share"].to_numpy(float)
-    model.back = model.share[find(model.words, model.contexts)]
-    seats = state.select("key", "u", "w", "c", "tables").unionByName(pairs.where("c = 1").select("key", "u", "w", "c", F.lit(1.0).alias("tables")))
-    done = seats.where((F.col("key") >= 0) & (F.col("c") >= total / (1 << PAIR_BITS))).select("key", "c", "tables").toPandas()
-    place = done["key"].to_numpy(np.int64)
-    u, w = place >> WORD_BITS, place & ((1 << WORD_BITS) - 1)
-    own = (done["c"] - inner * done["tables"]).to_numpy(float) / (STRENGTH + model.counts[u])
-    ids = pair_ids(model.contexts, model.words[u].view(np.uint64), model.words[w].view(np.uint64))
-    order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
-    model.pairs, model.own = ids[order], own[order]
-    held = spark.sparkContext.broadcast((model.counts, model.parent, model.share))
-    near = seats.where("key >= 0").select("key", "c", "tables").mapInArrow(_chances(held), "key long, p double").withColumn("cw", F.lit(None).cast("long"))
-    far = seats.where("key < 0").join(stats.select(F.col("key").alias("u"), F.col("c").alias("cu"), "share"), "u").join(stats.select(F.col("key").alias("w"), F.col("c").alias("cw"), "parent"), "w")
-    chance = F.col("share") * F.col("parent") + (F.col("c") - inner * F.col("tables")) / (STRENGTH + F.col("cu"))
-    far = far.select("key", chance.alias("p"), F.when(F.col("cw") < often, F.col("cw")).alias("cw"))
-    model.chances = scratch.keep(near.unionByName(far), "chances")
-    scratch.drop(state, pairs)
-    scratch.free()
-    return model, words, discount, inverse, (STRENGTH + discount * kinds) * inverse
+    model.seats = state.select("part", "near", "key", "kind", "other", "c", "tables")
+    model.unseen = (STRENGTH + discount * model.kinds) * model.inverse
 
 
-SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, near array<struct<key:long,n:int,low:double>>, far array<struct<key:long,n:int,u:long,w:long>>"
-
-
-def _score(held):
-    """Scores by the head; near are the other pairs, with their chance if training never saw them, and far those of held-out
-    texts with a word that is not frequent, whose chance the table of words tells."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            for first, end, raw, offsets in text_chunks(batch.column("text")):
-                n = end - first
-                took = batch.slice(first, n)
-                row, tokens, before = token_stream(raw, offsets)
-                key = pair_keys(model.words, before, tokens)
-                at = find(model.words, signed(tokens))
-                common = at >= 0
-                base = np.where(common, model.base(np.where(common, model.counts[at] if len(model.counts) else 0, 0)), 0.0)
-                ids = pair_ids(model.contexts, before, tokens)
-                pair = find(model.pairs, ids)
-                mine = np.flatnonzero(pair >= 0)
-                own = np.zeros(len(tokens))
-                own[mine] = np.log10(model.back[ids[mine] >> (CONTEXT_BITS + 1)] * model.parent[at[mine]] + model.own[pair[mine]])
-                rest = np.flatnonzero(pair < 0)
-                rest = rest[np.lexsort((key[rest], row[rest]))]
-                fresh = np.flatnonzero(np.append(True, (key[rest[1:]] != key[rest[:-1]]) | (row[rest[1:]] != row[rest[:-1]]))) if len(rest) else rest
-                count, rest = np.diff(np.append(fresh, len(rest))).astype(np.int32), rest[fresh]
-                apart = took.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[row[rest]]
-                lists = []
-                for some in (~apart | (key[rest] >= 0), apart & (key[rest] < 0)):
-                    x = rest[some]
-                    if lists:
-                        fields = {"u": pa.array(signed(before[x])), "w": pa.array(signed(tokens[x]))}
-                    else:
-                        k = np.where(apart[some], key[x], 0)
-                        low = model.share[k >> WORD_BITS] * model.parent[k & ((1 << WORD_BITS) - 1)] if len(model.words) else np.zeros(len(x))
-                        fields = {"low": pa.array(low, mask=~apart[some])}
-                    entries = pa.StructArray.from_arrays([pa.array(key[x]), pa.array(count[some]), *fields.values()], ["key", "n", *fields])
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[x], np.arange(n + 1)).astype(np.int32)), entries))
-                yield pa.RecordBatch.from_arrays(
-                    [*(took.column(c) for c in ("doc_id", "row", "held_out")), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, common, n).astype(np.int64)), *(pa.array(np.bincount(row, x, n)) for x in (base, own)), *lists],
-                    ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "near", "far"],
-                )
+def trained(keyed: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
+    """The model of the rows of keyed (doc_id, text, held_out) that are not held out, the lists of all chunks, and the parts."""
+    spark = keyed.sparkSession
+    words = keyed.where(~F.col("held_out")).select("text").mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    words = scratch.keep(words, "words")
+    total, kinds, ones, twos = (x or 0 for x in words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+    few = words.where(F.col("c") >= total / (1 << WORD_BITS)).toPandas().sort_values("key")
+    model = Model(few["key"].to_numpy(np.int64), few["c"].to_numpy(np.int64), total, kinds)
+    parts = max(1, math.ceil(total / PART_TOKENS))
+    asked = scratch.keep(keyed.mapInArrow(_ask(spark.sparkContext.broadcast((model.words,)), parts), ASKED), "asked")
+    lists = asked.where("part >= 0").select("part", *(f"{a}_{b}" for a, names in (("near", ("n", "keys", "counts")), ("far", ("n", "rare", "kind", "other", "counts"))) for b in names))
+    pairs = scratch.keep(lists.groupBy("part").applyInArrow(_counted, COUNTED), "pairs")
+    scratch.free()
+    seat_all(pairs, model, words, discount, scratch)
+    scratch.drop(words, pairs)
+    scratch.free()
+    return model, asked, parts
+
+
+REPLIES = "chunk long, part int, near_n int, near_keys binary, near_left binary, far_n int, far_rare binary, far_kind binary, far_other binary, far_left binary, words_c binary, words_parent binary, words_share binary"
+HELD = "part int, which int, key long, kind int, other long, c long, x double, share double"
+
+
+def _reply(unseen: float):
+    """Answers to the lists of a part: of each pair the customers left after discount, of each rare word its count, parent and share."""
+
+    def left_of(counts: np.ndarray, at: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        seats = np.where(counts > 0, 1.0, 0.0)
+        if len(tables):
+            seats = np.where(at >= 0, tables[at], seats)
+        return (counts - CONTEXT_DISCOUNT * seats).astype(np.float32)
+
+    def reply(lists: pa.Table, held: pa.Table) -> pa.Table:
+        rows = lists.to_pylist()
+        if not rows:
+            return pa.table([pa.array([], f.type) for f in _reply_schema()], schema=_reply_schema())
+        asked = Asked(rows)
+        which, key, kind, other, c, x, share = (held.column(n).to_numpy() for n in ("which", "key", "kind", "other", "c", "x", "share"))
+        near, far, word = (np.flatnonzero(which == k) for k in (0, 1, 2))
+        near = near[np.argsort(key[near])]
+        own = mix(mix(key[far].view(np.uint64) + kind[far].astype(np.uint64)) + other[far].view(np.uint64))
+        far, own = far[np.argsort(own)], np.sort(own)
+        word = word[np.argsort(key[word].view(np.uint64))]
+        near_left = left_of(asked.near_c, find(key[near], asked.near), x[near])
+        far_left = left_of(asked.far_c, find(own, asked.key), x[far])
+        out = []
+        for k, row in enumerate(rows):
+            a, b, d, e = asked.cuts[0][k], asked.cuts[0][k + 1], asked.cuts[1][k], asked.cuts[1][k + 1]
+            rare = asked.far[k][0]
+            mine = rare[np.append(True, rare[1:] != rare[:-1])] if len(rare) else rare
+            at = find(key[word].view(np.uint64), mine)
+            known = at >= 0
+            got = [np.zeros(len(mine), np.int64), np.full(len(mine), unseen), np.ones(len(mine))]
+            for into, column in zip(got, (c, x, share), strict=True):
+                into[known] = column[word[at[known]]]
+            out.append(
+                {n: row[n] for n in ("chunk", "part", "near_n", "near_keys", "far_n", "far_rare", "far_kind", "far_other")}
+                | {"near_left": squeezed(near_left[asked.near_of[a:b]]), "far_left": squeezed(far_left[asked.far_of[d:e]]), "words_c": squeezed(got[0]), "words_parent": squeezed(got[1].astype(np.float32)), "words_share": squeezed(got[2].astype(np.float32))}
+            )
+        return pa.Table.from_pylist(out, schema=_reply_schema())
+
+    return reply
+
+
+def _reply_schema() -> pa.Schema:
+    kinds = {"chunk": pa.int64(), "part": pa.int32(), "near_n": pa.int32(), "far_n": pa.int32()}
+    return pa.schema([(n, kinds.get(n, pa.binary())) for n in (c.split()[0] for c in REPLIES.split(", "))])
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(sent):
+    """Scores of a chunk's texts from its answers."""
+
+    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        counts, parent, share, total, kinds = sent.value
+        base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+        near, left, far, far_left, words = [], [], [], [], []
+        for r in sorted(replies.to_pylist(), key=lambda r: r["part"]):
+            near.append(risen(r["near_keys"], r["near_n"], np.int64))
+            left.append(unsqueezed(r["near_left"], r["near_n"], np.float32))
+            rare = risen(r["far_rare"], r["far_n"], np.uint64)
+            far.append((rare, *(unsqueezed(r[c], r["far_n"], np.uint64) for c in ("far_kind", "far_other"))))
+            far_left.append(unsqueezed(r["far_left"], r["far_n"], np.float32))
+            mine = rare[np.append(True, rare[1:] != rare[:-1])] if len(rare) else rare
+            words.append((mine, unsqueezed(r["words_c"], len(mine), np.int64), *(unsqueezed(r[c], len(mine), np.float32) for c in ("words_parent", "words_share"))))
+        near, left, far_left = np.concatenate(near), np.concatenate(left).astype(float), np.concatenate(far_left).astype(float)
+        (rare, kind, other), (word, c, word_parent, word_share) = (tuple(np.concatenate(x) for x in zip(*y, strict=True)) for y in (far, words))
+        order = np.argsort(word)
+        word, c, word_parent, word_share = word[order], c[order], word_parent[order].astype(float), word_share[order].astype(float)
+        # a pair's context share, context count, token's parent probability and token's count
+        n = len(near)
+        s, cu, q, cw = (np.empty(n + len(rare)) for _ in range(4))
+        u, w = near >> WORD_BITS, near & ((1 << WORD_BITS) - 1)
+        s[:n], cu[:n], q[:n], cw[:n] = share[u], counts[u], parent[w], counts[w]
+        at = find(word, rare)
+        for some, context in ((kind != CONTEXT, False), (kind == CONTEXT, True)):
+            here = n + np.flatnonzero(some)
+            if context:
+                s[here], cu[here] = word_share[at[some]], c[at[some]]
+            else:
+                q[here], cw[here] = word_parent[at[some]], c[at[some]]
+        for some, context in ((kind == TOKEN, True), (kind == CONTEXT, False)):
+            here, place = n + np.flatnonzero(some), other[some].astype(np.int64)
+            if context:
+                s[here], cu[here] = share[place], counts[place]
+            else:
+                q[here], cw[here] = parent[place], counts[place]
+        some = kind == BOTH
+        of = find(word, other[some])
+        s[n + np.flatnonzero(some)], cu[n + np.flatnonzero(some)] = word_share[of], c[of]
+        chance = np.log10(s * q + np.append(left, far_left) / (STRENGTH + cu))
+        out = []
+        for r in texts.to_pylist():
+            lengths = np.array(r["lengths"])
+            pair = risen(r["pairs"], int(lengths.sum()), np.uint32)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            known, low, high = (np.bincount(row, x[pair], len(lengths)) for x in ((cw > 0).astype(float), base(cw), chance))
+            out.append(pa.table([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held_out"], pa.bool_()), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(low), pa.array(high)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(out)
 
     return score
 
@@ -340,38 +534,25 @@ def _score(held):
 def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs (doc_id, text).
 
-    Null text is empty, one end token; a null doc_id counts as empty text in the fold.  Equal rows are scored once and
-    returned as often as they occur.  An empty table gives an empty result.
+    Null text is empty, one end token; a null doc_id counts as empty text in the fold.  Equal rows are scored alike and
+    each returned.  An empty table gives an empty result.  A task holds a chunk, which one long text may be by itself, or
+    a part, about fifty bytes a token of either.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"), fold.alias("held_out"))
-    model, _, _, _, unseen = trained(keyed.where(~F.col("held_out")).select("text"), scratch)
-    chances, stats = model.chances, model.stats
-    del model.chances, model.stats
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    read = scratch.keep(keyed.mapInArrow(_score(held), SCORED), "read")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold.alias("held_out"))
+    model, asked, parts = trained(keyed, scratch)
+    seats = model.seats.select("part", F.when(F.col("near"), 0).otherwise(1).alias("which"), "key", "kind", "other", "c", F.col("tables").alias("x"), F.lit(1.0).alias("share"))
+    rare = model.rare.select(F.pmod("word", F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("which"), F.col("word").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), "c", F.col("parent").alias("x"), "share")
+    lists = asked.where("part >= 0").drop("pairs", "doc_ids", "held_out", "lengths")
+    replies = lists.groupBy("part").cogroup(seats.unionByName(rare).groupBy("part")).applyInArrow(_reply(model.unseen), REPLIES)
+    replies = scratch.keep(replies, "replies")
     scratch.free()
-    total, kinds = model.total, model.kinds
-    base = lambda c: F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
-    near = read.select("row", F.explode("near").alias("x")).select("row", "x.*").join(chances, "key", "left").select(
-        "row", base(F.col("cw")).alias("base"), (F.col("n") * F.log10(F.coalesce("p", "low"))).alias("own"), F.when(F.col("cw").isNotNull(), F.col("n")).alias("known")
+    sent = docs.sparkSession.sparkContext.broadcast((model.counts, model.parent, model.share, model.total, model.kinds))
+    texts = asked.where("part < 0").select("chunk", "pairs", "doc_ids", "held_out", "lengths")
+    out = texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(sent), SCORED)
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )
-    often = total / (1 << WORD_BITS)
-    far = read.select("row", F.explode("far").alias("x")).select("row", "x.*").join(chances.select("key", "p"), "key", "left")
-    far = far.join(stats.select(F.col("key").alias("u"), "share"), "u", "left").join(stats.select(F.col("key").alias("w"), "c", "parent"), "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    chance = F.coalesce("p", F.coalesce("share", F.lit(1.0)) * F.coalesce("parent", F.lit(float(unseen))))
-    far = far.select("row", F.when(c < often, base(c)).alias("base"), (F.col("n") * F.log10(chance)).alias("own"), F.when((c > 0) & (c < often), F.col("n")).alias("known"))
-    sums = near.unionByName(far).groupBy("row").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("base", "own", "known")))
-    rest = scratch.keep(sums, "rest")
-    each = read.groupBy("row", "doc_id", "held_out", "n_tokens").agg(F.count("*").alias("rows"), F.max("n_known").alias("n_known"), F.max("base_score").alias("base_score"), F.max("score").alias("score"))
-    each = scratch.keep(each, "each")
-    zero = lambda name: F.coalesce(F.col(name) / F.col("rows"), F.lit(0.0))
-    both = each.join(rest, "row", "left").withColumn("score", F.col("score") + zero("own"))
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("base")).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_k")
-    ).drop("_k")
 
 
 def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ with it beyond the text itself and, for words, four numbers a word.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -194,26 +195,31 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, shape: Shape = BYTES) -> D
     """
     runs = scratch.keep(keyed(docs).mapInArrow(_sample(shape), RUNS), "runs")
     spans, left = interleaved(runs, scratch, shape.length, False)
+    found = [spans]
     scratch.drop(runs)
     wanted = left.groupBy("doc_id", "content").agg(F.collect_list(F.struct("at", "low", "high")).alias("runs"))
     wanted = scratch.keep(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_content"), "wanted")
-    found = keyed(docs).join(wanted.hint("merge"), F.expr("doc_id <=> _id and content = _content")).select("doc_id", "content", "text", "runs")
-    snippets = scratch.keep(found.mapInArrow(_snippets(shape), "doc_id long, content long, at long, low int, high int, snippet binary"), "snippets")
+    texts = keyed(docs).join(wanted.hint("merge"), F.expr("doc_id <=> _id and content = _content")).select("doc_id", "content", "text", "runs")
+    snippets = scratch.keep(texts.mapInArrow(_snippets(shape), "doc_id long, content long, at long, low int, high int, snippet binary"), "snippets")
     scratch.drop(wanted, left)
     scratch.free()
     width = 8 if shape.words else 1
     for step in shape.steps:
         finer = scratch.keep(snippets.mapInArrow(_refine(step, shape), RUNS), "runs")
         more, left = interleaved(finer, scratch, shape.length, step == shape.steps[-1])
-        spans = spans.unionByName(more)
+        found.append(more)
         scratch.drop(finer)
         if left is not None:
             cut = left.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("at").alias("_at"), F.col("low").alias("_low"), F.col("high").alias("_high"))
             near = snippets.join(cut, F.expr("doc_id <=> _id and content = _content and at = _at and _low >= low and _high <= high"))
             piece = F.expr(f"substring(snippet, (high - _high) * {width} + 1, (_high - _low + {shape.length}) * {width})")
-            snippets = scratch.keep(near.select("doc_id", "content", "at", F.col("_low").alias("low"), F.col("_high").alias("high"), piece.alias("snippet")), "snippets")
-    merged = spans.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "end")).alias("_dt_spans"))
-    return scratch.keep(merged.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "merged")
+            wide, snippets = snippets, scratch.keep(near.select("doc_id", "content", "at", F.col("_low").alias("low"), F.col("_high").alias("high"), piece.alias("snippet")), "snippets")
+            scratch.drop(wide, left)
+    merged = functools.reduce(DataFrame.unionByName, found).groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "end")).alias("_dt_spans"))
+    merged = scratch.keep(merged.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "merged")
+    scratch.drop(snippets, *found)
+    scratch.free()
+    return merged
 
 
 def maximal(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -278,7 +284,6 @@ def with_spans(docs: DataFrame, scratch: Scratch, passages: bool = False) -> Dat
     spans = repeated_spans(docs, scratch)
     added = ["_dt_spans"]
     if passages:
-        scratch.free()
         other = repeated_spans(docs, scratch, WORDS).withColumnRenamed("_dt_spans", "_dt_passages")
         both = spans.unionByName(other, allowMissingColumns=True).groupBy("_dt_id", "_dt_content").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_dt_spans", "_dt_passages")))
         spans = scratch.keep(both, "found")

@@ -307,17 +307,66 @@ def test_lm_scores(spark, docs, scratch):
     assert all(r["score"] <= 0 for r in got) and sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
-def test_lm_probabilities_sum_to_one(spark, scratch):
-    docs = spark.createDataFrame([(corpus.text(i % 7, 40),) for i in range(30)], "text string")
-    model, _, _, _, unseen = lm.trained(docs, scratch)
-    assert abs(model.parent.sum() + unseen - 1) < 1e-9
-    for u in range(len(model.contexts)):
-        mine = (model.pairs >> (lm.CONTEXT_BITS + 1)) == u
-        assert abs(model.own[mine].sum() + model.back[u] - 1) < 1e-9
+def lm_plain(model):
+    """Counts, parents, shares and seats of a trained model by word, as dictionaries."""
+    held = {int(w): (c, p, x) for w, c, p, x in zip(model.words, model.counts, model.parent, model.share, strict=True)}
+    held |= {r["word"]: (r["c"], r["parent"], r["share"]) for r in model.rare.collect()}
+    seats, half = {}, (1 << lm.WORD_BITS) - 1
+    for r in model.seats.collect():
+        if r["near"]:
+            u, w = int(model.words[r["key"] >> lm.WORD_BITS]), int(model.words[r["key"] & half])
+        elif r["kind"] == lm.BOTH:
+            u, w = r["other"], r["key"]
+        else:
+            u, w = (int(model.words[r["other"]]), r["key"]) if r["kind"] == lm.TOKEN else (r["key"], int(model.words[r["other"]]))
+        seats[u, w] = r["c"], r["tables"]
+    return held, seats
+
+
+def lm_pairs(text):
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    _, tokens, before = lm.token_stream(raw, np.array([0, len(raw)]))
+    return list(zip(before.view(np.int64).tolist(), tokens.view(np.int64).tolist(), strict=True))
+
+
+def lm_keyed(docs):
+    return docs.selectExpr("doc_id", "coalesce(text, '') as text", "crc32(coalesce(cast(doc_id as string), '')) % 5 = 1 as held_out")
+
+
+@pytest.mark.parametrize("bits", [20, 5])
+def test_lm_scores_follow_from_the_seats(spark, docs, scratch, monkeypatch, bits):
+    """Probabilities after each context sum to one, and scores are those of plain loops over the seats of all pairs."""
+    monkeypatch.setattr(lm, "WORD_BITS", bits)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 700)
+    monkeypatch.setattr(lm, "PART_TOKENS", 1_500)
+    model, _, parts = lm.trained(lm_keyed(docs), scratch)
+    held, seats = lm_plain(model)
+    assert parts > 3 and (bits == 20 or len(model.words) <= 32 < len(held)) and len(held) == model.kinds
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    pairs = collections.Counter(x for r in corpus.rows() if not fold(r[0]) for x in lm_pairs(r[1]))
+    counts = collections.Counter(w for (_, w), n in pairs.items() for _ in range(n))
+    assert {w: c for w, (c, _, _) in held.items()} == counts
+    assert {k: c for k, (c, _) in seats.items()} == {k: c for k, c in pairs.items() if c > 1}
+    assert all(1 <= t <= c for c, t in seats.values())
+    seats |= {k: (1, 1.0) for k, c in pairs.items() if c == 1}
+    assert abs(sum(p for _, p, _ in held.values()) + model.unseen - 1) < 1e-9
+    own = collections.Counter()
+    for (u, _), (c, t) in seats.items():
+        own[u] += (c - lm.CONTEXT_DISCOUNT * t) / (lm.STRENGTH + counts[u])
+    assert all(abs(held[u][2] + own[u] - 1) < 1e-9 for u in own)
+
+    def chance(u, w):
+        c, t = seats.get((u, w), (0, 0.0))
+        cu, share = (held[u][0], held[u][2]) if u in held else (0, 1.0)
+        return share * (held[w][1] if w in held else model.unseen) + (c - lm.CONTEXT_DISCOUNT * t) / (lm.STRENGTH + cu)
+
+    want = sorted((r[0], sum(math.log10(chance(u, w)) for u, w in lm_pairs(r[1]))) for r in corpus.rows())
+    got = sorted((r["doc_id"], r["score"]) for r in lm.scored(docs, scratch).collect())
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5) for a, b in zip(got, want, strict=True))
 
 
 def test_lm_head_is_only_a_shortcut(spark, docs, scratch, monkeypatch):
-    """Every pair is seated and scored alike, whether the head has all words and pairs or next to none."""
+    """Every pair is seated and scored alike, whether the head has all words or next to none."""
 
     def score():
         got = lm.scored(docs, scratch).collect()
@@ -325,12 +374,33 @@ def test_lm_head_is_only_a_shortcut(spark, docs, scratch, monkeypatch):
 
     whole, total = score()
     monkeypatch.setattr(lm, "WORD_BITS", 5)
-    monkeypatch.setattr(lm, "CONTEXT_BITS", 4)
-    monkeypatch.setattr(lm, "PAIR_BITS", 6)
     less, again = score()
     assert less == whole and abs(again - total) < 0.002 * abs(total)
 
 
+def test_seating_follows_the_restaurant():
+    """Mean tables of many dishes against a sampler that seats every customer by itself."""
+    r = np.random.default_rng(8)
+    for customers, rate in ((2, 0.3), (5, 2.0), (40, 0.5), (400, 3.0), (3_000, 40.0)):
+        n = 3_000 if customers < 100 else 400
+        got = lm.seated(np.full(n, customers), np.full(n, rate), 0.75, r.integers(1 << 62, size=n).astype(np.uint64), 7)
+        tables = np.ones(n)
+        for k in range(1, customers):
+            tables += r.random(n) < rate / (rate + k - 0.75 * tables)
+        error = 4 * (got.std() + tables.std()) / n**0.5 + 0.02 * tables.mean()
+        assert abs(got.mean() - tables.mean()) < error + 1e-9, (customers, got.mean(), tables.mean())
+
+
+def test_squeezed_numbers_return():
+    r = np.random.default_rng(2)
+    for kind in (np.uint32, np.uint64, np.int64, np.float32):
+        for n in (0, 1, 1_000):
+            x = r.integers(0, 1 << 31, n).astype(kind)
+            assert np.array_equal(lm.unsqueezed(lm.squeezed(x), n, kind), x)
+            if kind != np.float32:
+                assert np.array_equal(lm.risen(lm.rising(x), n, kind), x)
+
+
 def test_seating_stays_within_bounds():
     customers = np.array([1, 2, 50, 300, 5_000, 200_000])
     t = lm.seated(customers, np.full(6, 0.5), 0.75, np.arange(6, dtype=np.uint64), 1)
