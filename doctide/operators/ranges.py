@@ -12,14 +12,14 @@ def tiles(low: Column, high: Column, size: int) -> Column:
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], size: int = 64) -> DataFrame:
-    """Pairs of a point (x, y) strictly inside a box (bx0, by0, bx1, by1), joined on keys and the column of tiles at x.
+    """Pairs of a point (x, y) strictly inside a box (bx0, by0, bx1, by1), joined on keys and the tile of the page.
 
     A box is repeated for each tile it touches, so a tile's rows stay near its share of the page.
     """
-    left = points.withColumn("_tile", F.floor(F.col("x") / size))
-    right = boxes.withColumn("_tile", tiles(F.col("bx0"), F.col("bx1"), size))
+    left = points.withColumns({"_tile": F.floor(F.col("x") / size), "_row": F.floor(F.col("y") / size)})
+    right = boxes.withColumn("_tile", tiles(F.col("bx0"), F.col("bx1"), size)).withColumn("_row", tiles(F.col("by0"), F.col("by1"), size))
     inside = (F.col("x") > F.col("bx0")) & (F.col("x") < F.col("bx1")) & (F.col("y") > F.col("by0")) & (F.col("y") < F.col("by1"))
-    return left.join(right, [*keys, "_tile"]).where(inside).drop("_tile")
+    return left.join(right, [*keys, "_tile", "_row"]).where(inside).drop("_tile", "_row")
 
 
 def merged_stretches(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:

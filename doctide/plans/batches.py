@@ -58,12 +58,12 @@ def glossary_limits(spark, sf_dir):
 
 
 @P.query("""WITH n AS (SELECT o_custkey AS k, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders),
-            d AS (SELECT *, CASE WHEN c <= 4 THEN 0 WHEN c <= 8 THEN 1 WHEN c <= 16 THEN 2 WHEN c <= 32 THEN 3 ELSE 4 END AS depth FROM n) SELECT k, id, CAST(depth AS INTEGER) AS depth, CAST(i * (1 << depth) // c AS BIGINT) AS leaf FROM d""")
+            d AS (SELECT *, CASE WHEN c <= 4 THEN 0 ELSE CAST(ceil(log2(c / 4)) AS INTEGER) END AS depth FROM n) SELECT k, id, CAST(depth AS INTEGER) AS depth, CAST(i * (1 << depth) // c AS BIGINT) AS leaf FROM d""")
 def halving(spark, sf_dir):
     """Requests too large (over four) halved until they fit: the depth and the part of each member."""
     n = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"))
     n = n.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).withColumn("c", F.count("*").over(Window.partitionBy("k")))
-    depth = F.when(F.col("c") <= 4, 0).when(F.col("c") <= 8, 1).when(F.col("c") <= 16, 2).when(F.col("c") <= 32, 3).otherwise(4)
+    depth = F.when(F.col("c") <= 4, 0).otherwise(F.length(F.bin(F.ceil(F.col("c") / 4) - 1)))  # halvings until four are left
     return n.withColumn("depth", depth).select("k", "id", "depth", F.floor(F.col("i") * F.pow(F.lit(2), F.col("depth")) / F.col("c")).alias("leaf"))
 
 

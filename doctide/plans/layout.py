@@ -28,14 +28,13 @@ ITEMS = """items AS (SELECT l_orderkey * 10 + l_linenumber AS gid, max(l_suppkey
 
 
 def boxes(spark, sf_dir):
-    """Link boxes: one for each supplier's page and part size."""
-    p = table(spark, sf_dir, "part")
-    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"))
-    few = F.broadcast(p.where("p_partkey < 12").select(F.col("p_partkey").alias("link"), (F.col("p_size") * 10).cast("double").alias("bx0"), (F.col("p_partkey") * 60).cast("double").alias("by0")))
-    return n.join(few, F.lit(True)).select("page", "link", "bx0", (F.col("bx0") + 90).alias("bx1"), "by0", (F.col("by0") + 70).alias("by1"))
+    """Link boxes: one for each part that a supplier's page has, as large as its size and number make it."""
+    on = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("link")).distinct()
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("link"), (F.col("p_size") * 10).cast("double").alias("bx0"), (F.col("p_partkey") % 12 * 60).cast("double").alias("by0"))
+    return on.join(p, "link").select("page", "link", "bx0", (F.col("bx0") + 90).alias("bx1"), "by0", (F.col("by0") + 70).alias("by1"))
 
 
-BOXES = "boxes AS (SELECT s_suppkey AS page, p_partkey AS link, CAST(p_size * 10 AS DOUBLE) AS bx0, p_size * 10 + 90.0::DOUBLE AS bx1, CAST(p_partkey * 60 AS DOUBLE) AS by0, p_partkey * 60 + 70.0::DOUBLE AS by1 FROM supplier, part WHERE p_partkey < 12)"
+BOXES = "boxes AS (SELECT page, link, CAST(p_size * 10 AS DOUBLE) AS bx0, p_size * 10 + 90.0::DOUBLE AS bx1, CAST(link % 12 * 60 AS DOUBLE) AS by0, link % 12 * 60 + 70.0::DOUBLE AS by1 FROM (SELECT DISTINCT l_suppkey AS page, l_partkey AS link FROM lineitem) JOIN part ON p_partkey = link)"
 WITH = f"WITH {ITEMS}, {BOXES}"
 _IN = "i.page = b.page AND i.x0 > b.bx0 AND i.x0 < b.bx1 AND i.y > b.by0 AND i.y < b.by1"
 

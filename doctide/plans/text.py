@@ -207,8 +207,11 @@ def identifiers(spark, sf_dir):
     return w.groupBy("doc_id", F.col("word").alias("identifier")).agg(F.count("*").alias("n"))
 
 
-@P.query(r"""WITH n AS (SELECT p_partkey, p_partkey + 1 AS v FROM part), a AS (SELECT p_partkey, CASE WHEN v > 702 THEN chr(97 + CAST(((v - 1) // 26 - 1) // 26 - 1 AS INTEGER) % 26) ELSE '' END AS x, CASE WHEN v > 26 THEN chr(97 + CAST(((v - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END AS y, chr(97 + CAST((v - 1) % 26 AS INTEGER)) AS z FROM n WHERE v <= 18278)
-              SELECT p_partkey, concat(x, y, z) AS alpha FROM a""")
+#: The letter of weight 26^i in SQL; numbers from (26^(i + 1) - 1) / 25 up have it.
+_LETTER = "CASE WHEN p_partkey + 1 >= {first} THEN chr(97 + CAST((p_partkey + 1 - {first}) // {weight} % 26 AS INTEGER)) ELSE '' END"
+
+
+@P.query(f"SELECT p_partkey, concat({', '.join(_LETTER.format(first=(26 ** (i + 1) - 1) // 25, weight=26**i) for i in range(13, -1, -1))}) AS alpha FROM part")
 def alpha_ids(spark, sf_dir):
     """Numbers from 1 as letters, bijective in base 26; a long has 14 letters at most."""
     n, letters = "p_partkey + 1", []
