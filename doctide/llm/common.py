@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -66,9 +67,15 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def free(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps now: it does so when their plans are garbage-collected."""
+        """Lets Spark delete the shuffle files of finished steps now: it does so once their plans are garbage-collected.
+
+        The scheduler holds on to its last job until the next, so an empty one goes first.  Executors delete in the
+        background; a step that started at once would write beside what is still there.
+        """
+        self.spark.range(1).count()
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,6 +20,7 @@ pairs of frequent words are dealt by pair.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix, signed, table, text_chunks, words_of
 
 WORD_BITS = 20
-CHUNK_TOKENS, PART_TOKENS = 3 << 20, 1 << 19
+CHUNK_TOKENS, PART_TOKENS = 1 << 20, 1 << 19
 SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
 CONTEXT_DISCOUNT = 0.75
@@ -69,7 +70,7 @@ def _tallied(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.nda
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of tokens, flushed whenever they pass four million entries."""
+    """A task's counts of tokens, flushed whenever they pass a million entries."""
     held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, raw, offsets in text_chunks(batch.column("text")):
             _, tokens, _ = token_stream(raw, offsets)
             held.append(_tallied([tokens], np.ones(len(tokens), np.int64)))
-        if sum(len(n) for _, n in held) > 4_000_000:
+        if sum(len(n) for _, n in held) > 1_000_000:
             yield from rows()
             held.clear()
     if held:
@@ -179,7 +180,7 @@ class Chunk:
         self.kind.append(np.where(b >= 0, CONTEXT, np.where(a >= 0, TOKEN, BOTH))[far].astype(np.uint64))
         self.rare.append(np.where(b >= 0, before, tokens)[far])
         self.other.append(np.where(b >= 0, b.astype(np.uint64), np.where(a >= 0, a.astype(np.uint64), before))[far])
-        self.row.append(row + len(self.ids))
+        self.row.append((row + len(self.ids)).astype(np.uint32))
         self.learned.append(~held_out[row])
         self.lengths.append(np.bincount(row, minlength=len(ids)))
         self.ids += ids
@@ -188,6 +189,7 @@ class Chunk:
 
     def rows(self, number: int, parts: int) -> list[dict]:
         near, rare, kind, other, row, learned = (np.concatenate(x) for x in (self.near, self.rare, self.kind, self.other, self.row, self.learned))
+        self.near = self.rare = self.kind = self.other = self.row = self.learned = None
         place = np.empty(len(near), np.uint32)
         at = np.flatnonzero(near >= 0)
         keys, of = np.unique(near[at], return_inverse=True)
@@ -228,9 +230,7 @@ def _ask(held, parts: int):
         chunk = Chunk()
 
         def flushed() -> pa.RecordBatch:
-            kinds = {"chunk": pa.int64(), "part": pa.int32(), "near_n": pa.int32(), "far_n": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())}
-            names = [c.split()[0] for c in ASKED.split(", ")]
-            return pa.RecordBatch.from_pylist(chunk.rows(number, parts), schema=pa.schema([(c, kinds.get(c, pa.binary())) for c in names]))
+            return pa.RecordBatch.from_pylist(chunk.rows(number, parts), schema=_schema_of(ASKED))
 
         for batch in batches:
             for first, end, raw, offsets in text_chunks(batch.column("text")):
@@ -265,62 +265,94 @@ class Asked:
         return of.ravel(), np.bincount(of.ravel(), counts, size).astype(np.int64)
 
 
-COUNTED = "part int, near boolean, key long, kind int, other long, c long"
+PAIRS = "part int, near_n int, near_keys binary, near_c binary, near_t binary, near_tables binary, far_n int, far_rare binary, far_kind binary, far_other binary, far_c binary"
 
 
 def _counted(group: pa.Table) -> pa.Table:
-    """Pairs of one part that training has more than once; key is the number of a pair of frequent words, else the rare word."""
+    """Pairs of one part that training has more than once, each on a table of its own."""
     asked = Asked(group.to_pylist())
-    a, b = asked.near_c > 1, asked.far_c > 1
-    n, m = int(a.sum()), int(b.sum())
-    part = group.column("part")[0].as_py()
-    return pa.table(
-        [
-            pa.array(np.full(n + m, part, np.int32)), pa.array(np.arange(n + m) < n), pa.array(np.append(asked.near[a], signed(asked.rare[b]))),
-            pa.array(np.append(np.zeros(n, np.int32), asked.kind[b].astype(np.int32))), pa.array(np.append(np.zeros(n, np.int64), signed(asked.other[b]))), pa.array(np.append(asked.near_c[a], asked.far_c[b])),
-        ],
-        names=["part", "near", "key", "kind", "other", "c"],
-    )
+    a, b = asked.near_c > 1, np.flatnonzero(asked.far_c > 1)
+    b = b[np.argsort(asked.rare[b])]
+    n, c = int(a.sum()), asked.near_c[a]
+    row = {
+        "part": group.column("part")[0].as_py(), "near_n": n, "near_keys": rising(asked.near[a]), "near_c": squeezed(c), "near_t": squeezed(c.astype(np.float64)), "near_tables": squeezed(np.zeros(n)),
+        "far_n": len(b), "far_rare": rising(asked.rare[b]), "far_kind": squeezed(asked.kind[b]), "far_other": squeezed(asked.other[b]), "far_c": squeezed(asked.far_c[b]),
+    }
+    return pa.Table.from_pylist([row], schema=_schema_of(PAIRS))
+
+
+def _schema_of(names: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in names.split(", "))])
+
+
+NEAR = PAIRS.split(", far_n")[0]
+FAR = "part int, key long, kind int, other long, c long"
+
+
+def _far_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            n = r["far_n"]
+            yield _batch(part=np.full(n, r["part"], np.int32), key=risen(r["far_rare"], n, np.uint64), kind=unsqueezed(r["far_kind"], n, np.uint64).astype(np.int32), other=unsqueezed(r["far_other"], n, np.uint64), c=unsqueezed(r["far_c"], n, np.int64))
 
 
 SUMS = "place int, word long, joined double, tables double, customers double"
 
 
-def _summed(size: int, value: str):
-    """What pairs add to words: customers that joined a table, to the token; tables and customers, to the context.
+def _sums(place: np.ndarray, word: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return _batch(**dict(zip(("place", "word", "joined", "tables", "customers"), (place.astype(np.int32), word, *sums), strict=True)))
 
-    place is that of a frequent word, -1 for others.
-    """
 
-    def rows(place: np.ndarray, word: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
-        return _batch(**dict(zip(("place", "word", "joined", "tables", "customers"), (place.astype(np.int32), word, *sums), strict=True)))
+def _near_sums(size: int, value: str):
+    """What pairs of frequent words add to words: customers that joined a table, to the token; tables and customers, to the
+    context.  place is that of a frequent word, -1 for others."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros((3, size))
         for batch in batches:
-            near, key, other, c, t = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("near", "key", "other", "c", value))
-            near, kind = near.astype(bool), batch.column("kind").to_numpy()
-            context, token = near | (kind == TOKEN), near | (kind == CONTEXT)
-            w = np.where(near, key & ((1 << WORD_BITS) - 1), other)
-            u = np.where(near, key >> WORD_BITS, other)
-            head[0] += np.bincount(w[token], (c - t)[token], size)
-            head[1] += np.bincount(u[context], t[context], size)
-            head[2] += np.bincount(u[context], c[context], size)
-            yield rows(np.full((~token).sum(), -1), key[~token], (c - t)[~token], *(np.zeros((~token).sum()),) * 2)
-            word = np.where(kind == BOTH, other, key)[~context]
-            yield rows(np.full(len(word), -1), word, np.zeros(len(word)), t[~context], c[~context].astype(float))
+            for r in batch.to_pylist():
+                key, c, t = risen(r["near_keys"], r["near_n"], np.int64), unsqueezed(r["near_c"], r["near_n"], np.int64), unsqueezed(r[value], r["near_n"], np.float64)
+                head[0] += np.bincount(key & ((1 << WORD_BITS) - 1), c - t, size)
+                head[1] += np.bincount(key >> WORD_BITS, t, size)
+                head[2] += np.bincount(key >> WORD_BITS, c, size)
         some = np.flatnonzero(head.any(axis=0))
-        yield rows(some, np.zeros(len(some), np.int64), *head[:, some])
+        yield _sums(some, np.zeros(len(some), np.int64), head[:, some])
 
     return add
 
 
-SEATS = "part int, near boolean, key long, kind int, other long, c long, c_key long, c_other long, t double, tables double"
+def _far_sums(size: int, value: str):
+    """The same of pairs with a rarer word, added up for each batch."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros((3, size))
+        for batch in batches:
+            key, kind, other, c, t = (batch.column(x).to_numpy() for x in ("key", "kind", "other", "c", value))
+            context, token = kind == TOKEN, kind == CONTEXT  # frequent
+            head[0] += np.bincount(other[token], (c - t)[token], size)
+            head[1] += np.bincount(other[context], t[context], size)
+            head[2] += np.bincount(other[context], c[context], size)
+            word, of = np.unique(np.concatenate([key[~token], np.where(kind == BOTH, other, key)[~context]]), return_inverse=True)
+            of, n = of.ravel(), int((~token).sum())
+            sums = np.zeros((3, len(word)))
+            sums[0] = np.bincount(of[:n], (c - t)[~token], len(word))
+            sums[1] = np.bincount(of[n:], t[~context], len(word))
+            sums[2] = np.bincount(of[n:], c[~context], len(word))
+            yield _sums(np.full(len(word), -1), word, sums)
+        some = np.flatnonzero(head.any(axis=0))
+        yield _sums(some, np.zeros(len(some), np.int64), head[:, some])
+
+    return add
+
+
+FAR_SEATS = "part int, key long, kind int, other long, c long, c_key long, c_other long, t double, tables double"
 
 
 class Model:
     """What training leaves: counts, parent probabilities and shares of frequent words as arrays, of others in the table
-    `rare` (word, c, parent, share), the table `seats` of pairs seen more than once, and what words never seen share."""
+    `rare` (word, c, parent, share), the tables `near` and `far` of the seats of pairs seen more than once, and what words never
+    seen share."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int):
         self.words, self.counts, self.total, self.kinds = words, counts, total, kinds
@@ -336,58 +368,69 @@ def _head(sums: DataFrame, size: int) -> np.ndarray:
 
 
 def seat_all(pairs: DataFrame, model: Model, words: DataFrame, discount: float, scratch: Scratch) -> None:
-    """Gibbs sweeps over pairs (COUNTED); leaves seats, parents and shares in the model."""
-    spark, inner = pairs.sparkSession, CONTEXT_DISCOUNT
+    """Gibbs sweeps over pairs (PAIRS); leaves seats, parents and shares in the model."""
+    spark, inner, size = pairs.sparkSession, CONTEXT_DISCOUNT, len(model.words)
     count_of = lambda name: words.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}"))
-    far = pairs.where("not near").join(count_of("key"), "key")
-    both = far.where(F.col("kind") == BOTH).join(count_of("other"), "other")
-    none = F.lit(None).cast("long")
-    state = pairs.where("near").withColumns({"c_key": none, "c_other": none}).unionByName(far.where(F.col("kind") < BOTH).withColumn("c_other", none)).unionByName(both)
-    state = scratch.keep(state.withColumns({"t": F.col("c").cast("double"), "tables": F.lit(0.0)}), "seats")
-    size = len(model.words)
-    total_of = lambda df, value: df.mapInArrow(_summed(size, value), SUMS).groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in ("joined", "tables", "customers")))
+    near = pairs.select(*(c.split()[0] for c in NEAR.split(", ")))
+    each = scratch.keep(pairs.select("part", "far_n", "far_rare", "far_kind", "far_other", "far_c").mapInArrow(_far_rows, FAR), "far").join(count_of("key"), "key")
+    both = each.where(F.col("kind") == BOTH).join(count_of("other"), "other")
+    far = each.where(F.col("kind") < BOTH).withColumn("c_other", F.lit(None).cast("long")).unionByName(both)
+    far = scratch.keep(far.withColumns({"t": F.col("c").cast("double"), "tables": F.lit(0.0)}), "far")
+
+    def totals(value: str) -> DataFrame:
+        each = near.mapInArrow(_near_sums(size, f"near_{value}"), SUMS).unionByName(far.mapInArrow(_far_sums(size, value), SUMS))
+        return scratch.keep(each.groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in ("joined", "tables", "customers"))), "sums")
+
     rare_joined = []
     for sweep in range(SWEEPS):
-        sums = scratch.keep(total_of(state, "t"), "sums")
+        sums = totals("t")
         mass = model.total - (sums.agg(F.sum("joined")).first()[0] or 0.0)
         head = _head(sums, size)
         kept = (sweep >= BURN_IN) / (SWEEPS - BURN_IN)
         model.inverse += kept / (STRENGTH + mass)
         model.joined += kept / (STRENGTH + mass) * head[0]
-        if kept:
-            rare_joined.append(sums.where("place < 0").select(F.col("word").alias("key"), (F.col("joined") * (kept / (STRENGTH + mass))).alias("joined")))
-        sent = spark.sparkContext.broadcast((model.counts, head))
+        sent = spark.sparkContext.broadcast((model.counts - head[0], model.counts + head[1] - head[2]))
 
-        def seat(batches: Iterator[pa.RecordBatch], sweep: int = sweep, mass: float = mass, kept: float = kept, sent=sent) -> Iterator[pa.RecordBatch]:
-            counts, (joined, tables, customers) = sent.value
-            free = counts + tables - customers
+        def again(c, open_, free, key, sweep=sweep, mass=mass):
+            """Tables of pairs: open_ is the token's count without customers that joined a table, free the context's tables."""
+            parent = (open_ - discount).clip(1e-9) / (STRENGTH + mass)
+            return seated(c, (STRENGTH + inner * free) * parent, inner, key, sweep)
+
+        def seat_near(batches: Iterator[pa.RecordBatch], kept: float = kept, sent=sent, again=again) -> Iterator[pa.RecordBatch]:
+            open_, free = sent.value
+            for batch in batches:
+                rows = batch.to_pylist()
+                for r in rows:
+                    n = r["near_n"]
+                    key, c = risen(r["near_keys"], n, np.int64), unsqueezed(r["near_c"], n, np.int64)
+                    t = again(c, open_[key & ((1 << WORD_BITS) - 1)], free[key >> WORD_BITS], mix(key.view(np.uint64)))
+                    r["near_t"], r["near_tables"] = squeezed(t), squeezed(unsqueezed(r["near_tables"], n, np.float64) + kept * t)
+                yield pa.RecordBatch.from_pylist(rows, schema=_schema_of(NEAR))
+
+        def seat_far(batches: Iterator[pa.RecordBatch], kept: float = kept, sent=sent, again=again) -> Iterator[pa.RecordBatch]:
+            head_open, head_free = sent.value
             for batch in batches:
                 x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-                near, kind = x["near"].astype(bool), x["kind"]
-                u, w = np.where(near, x["key"] >> WORD_BITS, x["other"]), np.where(near, x["key"] & ((1 << WORD_BITS) - 1), x["other"])
-                context, token = near | (kind == TOKEN), near | (kind == CONTEXT)
-                cw, tu = np.empty(len(near)), np.empty(len(near))
-                cw[token] = counts[w[token]] - joined[w[token]]
-                tu[context] = free[u[context]]
-                if "joined" in x:
-                    cw[~token] = (x["c_key"] - x["joined"])[~token]
-                    tu[~context] = x["free"][~context]
-                parent = (cw - discount).clip(1e-9) / (STRENGTH + mass)
-                key = mix(mix(x["key"].view(np.uint64) + kind.astype(np.uint64)) + x["other"].view(np.uint64))
-                t = seated(x["c"], (STRENGTH + inner * tu) * parent, inner, key, sweep)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "near", "key", "kind", "other", "c", "c_key", "c_other")), pa.array(t), pa.array(x["tables"] + kept * t)], ["part", "near", "key", "kind", "other", "c", "c_key", "c_other", "t", "tables"])
+                kind, other = x["kind"], x["other"]
+                open_, free = (x["c_key"] - x["joined"]).astype(float), x["free"].copy()
+                open_[kind == CONTEXT] = head_open[other[kind == CONTEXT]]
+                free[kind == TOKEN] = head_free[other[kind == TOKEN]]
+                t = again(x["c"], open_, free, mix(mix(x["key"].view(np.uint64) + kind.astype(np.uint64)) + other.view(np.uint64)))
+                names = [c.split()[0] for c in FAR_SEATS.split(", ")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(t), pa.array(x["tables"] + kept * t)], names)
 
         rare = sums.where("place < 0")
-        of_key = state.where("not near").join(rare.select(F.col("word").alias("key"), "joined", (F.col("tables") - F.col("customers")).alias("free")), "key")
-        of_other = of_key.where(F.col("kind") == BOTH).drop("free").join(rare.select(F.col("word").alias("other"), (F.col("tables") - F.col("customers")).alias("free")), "other")
-        far = of_key.where(F.col("kind") < BOTH).withColumn("free", F.col("c_key") + F.col("free")).unionByName(of_other.withColumn("free", F.col("c_other") + F.col("free")))
-        now = scratch.keep(state.where("near").mapInArrow(seat, SEATS).unionByName(far.mapInArrow(seat, SEATS)), "seats")
-        scratch.drop(state)
-        if not kept:
-            scratch.drop(sums)
+        apart = F.col("tables") - F.col("customers")
+        one = far.where(F.col("kind") < BOTH).join(rare.select(F.col("word").alias("key"), "joined", apart.alias("free")), "key").withColumn("free", F.col("c_key") + F.col("free"))
+        two = far.where(F.col("kind") == BOTH).join(rare.select(F.col("word").alias("key"), "joined"), "key").join(rare.select(F.col("word").alias("other"), apart.alias("free")), "other").withColumn("free", F.col("c_other") + F.col("free"))
+        was = near, far
+        near, far = scratch.keep(near.mapInArrow(seat_near, NEAR), "near"), scratch.keep(one.unionByName(two).mapInArrow(seat_far, FAR_SEATS), "far")
+        if kept:
+            rare_joined.append(scratch.keep(rare.select(F.col("word").alias("key"), (F.col("joined") * (kept / (STRENGTH + mass))).alias("joined")), "joined"))
+        scratch.drop(sums, was[1], *(was[:1] if sweep else []))
+        del one, two, rare, was, sums
         scratch.free()
-        state = now
-    sums = scratch.keep(total_of(state, "tables"), "sums")
+    sums = totals("tables")
     _, tables, customers = _head(sums, size)
     model.parent = (model.counts - discount) * model.inverse - model.joined
     model.share = (STRENGTH + inner * (model.counts + tables - customers)) / (STRENGTH + model.counts)
@@ -401,7 +444,8 @@ def seat_all(pairs: DataFrame, model: Model, words: DataFrame, discount: float,
     model.rare = scratch.keep(
         few.select(F.col("key").alias("word"), "c", ((F.col("c") - discount) * model.inverse - zero("joined")).alias("parent"), ((STRENGTH + inner * (F.col("c") + zero("less"))) / (STRENGTH + F.col("c"))).alias("share")), "rare"
     )
-    model.seats = state.select("part", "near", "key", "kind", "other", "c", "tables")
+    scratch.drop(sums, *rare_joined)
+    model.near, model.far = near, far
     model.unseen = (STRENGTH + discount * model.kinds) * model.inverse
 
 
@@ -417,7 +461,8 @@ def trained(keyed: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
     parts = max(1, math.ceil(total / PART_TOKENS))
     asked = scratch.keep(keyed.mapInArrow(_ask(spark.sparkContext.broadcast((model.words,)), parts), ASKED), "asked")
     lists = asked.where("part >= 0").select("part", *(f"{a}_{b}" for a, names in (("near", ("n", "keys", "counts")), ("far", ("n", "rare", "kind", "other", "counts"))) for b in names))
-    pairs = scratch.keep(lists.groupBy("part").applyInArrow(_counted, COUNTED), "pairs")
+    pairs = scratch.keep(lists.groupBy("part").applyInArrow(_counted, PAIRS), "pairs")
+    del lists
     scratch.free()
     seat_all(pairs, model, words, discount, scratch)
     scratch.drop(words, pairs)
@@ -425,8 +470,8 @@ def trained(keyed: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
     return model, asked, parts
 
 
-REPLIES = "chunk long, part int, near_n int, near_keys binary, near_left binary, far_n int, far_rare binary, far_kind binary, far_other binary, far_left binary, words_c binary, words_parent binary, words_share binary"
-HELD = "part int, which int, key long, kind int, other long, c long, x double, share double"
+REPLIES = "chunk long, part int, near_left binary, far_left binary, words_c binary, words_parent binary, words_share binary"
+HELD = "part int, near_n int, near_keys binary, near_tables binary, which int, key long, kind int, other long, c long, x double, share double"
 
 
 def _reply(unseen: float):
@@ -441,15 +486,17 @@ def _reply(unseen: float):
     def reply(lists: pa.Table, held: pa.Table) -> pa.Table:
         rows = lists.to_pylist()
         if not rows:
-            return pa.table([pa.array([], f.type) for f in _reply_schema()], schema=_reply_schema())
+            return pa.Table.from_pylist([], schema=_schema_of(REPLIES))
         asked = Asked(rows)
         which, key, kind, other, c, x, share = (held.column(n).to_numpy() for n in ("which", "key", "kind", "other", "c", "x", "share"))
-        near, far, word = (np.flatnonzero(which == k) for k in (0, 1, 2))
-        near = near[np.argsort(key[near])]
+        far, word = (np.flatnonzero(which == k) for k in (1, 2))
         own = mix(mix(key[far].view(np.uint64) + kind[far].astype(np.uint64)) + other[far].view(np.uint64))
         far, own = far[np.argsort(own)], np.sort(own)
         word = word[np.argsort(key[word].view(np.uint64))]
-        near_left = left_of(asked.near_c, find(key[near], asked.near), x[near])
+        near, tables = np.zeros(0, np.int64), np.zeros(0)
+        for r in held.filter(pa.array(which == 0)).to_pylist():
+            near, tables = risen(r["near_keys"], r["near_n"], np.int64), unsqueezed(r["near_tables"], r["near_n"], np.float64)
+        near_left = left_of(asked.near_c, find(near, asked.near), tables)
         far_left = left_of(asked.far_c, find(own, asked.key), x[far])
         out = []
         for k, row in enumerate(rows):
@@ -462,30 +509,27 @@ def _reply(unseen: float):
             for into, column in zip(got, (c, x, share), strict=True):
                 into[known] = column[word[at[known]]]
             out.append(
-                {n: row[n] for n in ("chunk", "part", "near_n", "near_keys", "far_n", "far_rare", "far_kind", "far_other")}
-                | {"near_left": squeezed(near_left[asked.near_of[a:b]]), "far_left": squeezed(far_left[asked.far_of[d:e]]), "words_c": squeezed(got[0]), "words_parent": squeezed(got[1].astype(np.float32)), "words_share": squeezed(got[2].astype(np.float32))}
+                {"chunk": row["chunk"], "part": row["part"], "near_left": squeezed(near_left[asked.near_of[a:b]]), "far_left": squeezed(far_left[asked.far_of[d:e]])}
+                | {"words_c": squeezed(got[0]), "words_parent": squeezed(got[1].astype(np.float32)), "words_share": squeezed(got[2].astype(np.float32))}
             )
-        return pa.Table.from_pylist(out, schema=_reply_schema())
+        return pa.Table.from_pylist(out, schema=_schema_of(REPLIES))
 
     return reply
 
 
-def _reply_schema() -> pa.Schema:
-    kinds = {"chunk": pa.int64(), "part": pa.int32(), "near_n": pa.int32(), "far_n": pa.int32()}
-    return pa.schema([(n, kinds.get(n, pa.binary())) for n in (c.split()[0] for c in REPLIES.split(", "))])
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(sent):
     """Scores of a chunk's texts from its answers."""
 
-    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(asked: pa.Table, replies: pa.Table) -> pa.Table:
         counts, parent, share, total, kinds = sent.value
         base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
         near, left, far, far_left, words = [], [], [], [], []
-        for r in sorted(replies.to_pylist(), key=lambda r: r["part"]):
+        replied, lists = {r["part"]: r for r in replies.to_pylist()}, sorted(asked.to_pylist(), key=lambda r: r["part"])
+        for r in lists[1:]:
+            r |= replied.pop(r["part"])
             near.append(risen(r["near_keys"], r["near_n"], np.int64))
             left.append(unsqueezed(r["near_left"], r["near_n"], np.float32))
             rare = risen(r["far_rare"], r["far_n"], np.uint64)
@@ -519,14 +563,12 @@ def _score(sent):
         of = find(word, other[some])
         s[n + np.flatnonzero(some)], cu[n + np.flatnonzero(some)] = word_share[of], c[of]
         chance = np.log10(s * q + np.append(left, far_left) / (STRENGTH + cu))
-        out = []
-        for r in texts.to_pylist():
-            lengths = np.array(r["lengths"])
-            pair = risen(r["pairs"], int(lengths.sum()), np.uint32)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            known, low, high = (np.bincount(row, x[pair], len(lengths)) for x in ((cw > 0).astype(float), base(cw), chance))
-            out.append(pa.table([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held_out"], pa.bool_()), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(low), pa.array(high)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
-        return pa.concat_tables(out)
+        texts = lists[0]
+        lengths = np.array(texts["lengths"])
+        pair = risen(texts["pairs"], int(lengths.sum()), np.uint32)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        known, low, high = (np.bincount(row, x[pair], len(lengths)) for x in ((cw > 0).astype(float), base(cw), chance))
+        return pa.table([pa.array(texts["doc_ids"], pa.int64()), pa.array(texts["held_out"], pa.bool_()), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(low), pa.array(high)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
@@ -541,15 +583,20 @@ def scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold.alias("held_out"))
     model, asked, parts = trained(keyed, scratch)
-    seats = model.seats.select("part", F.when(F.col("near"), 0).otherwise(1).alias("which"), "key", "kind", "other", "c", F.col("tables").alias("x"), F.lit(1.0).alias("share"))
-    rare = model.rare.select(F.pmod("word", F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("which"), F.col("word").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), "c", F.col("parent").alias("x"), "share")
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in HELD.split(", ")}
+    held = [
+        model.near.select("part", "near_n", "near_keys", "near_tables", F.lit(0).alias("which"), *(F.lit(0).cast(t).alias(n) for n, t in (c.split() for c in HELD.split(", ")[5:]))),
+        model.far.select("part", F.lit(1).alias("which"), "key", "kind", "other", "c", F.col("tables").alias("x"), F.lit(1.0).alias("share")),
+        model.rare.select(F.pmod("word", F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("which"), F.col("word").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), "c", F.col("parent").alias("x"), "share"),
+    ]
+    held = functools.reduce(DataFrame.unionByName, [h.withColumns({n: c for n, c in none.items() if n not in h.columns}).select(*none) for h in held])
     lists = asked.where("part >= 0").drop("pairs", "doc_ids", "held_out", "lengths")
-    replies = lists.groupBy("part").cogroup(seats.unionByName(rare).groupBy("part")).applyInArrow(_reply(model.unseen), REPLIES)
-    replies = scratch.keep(replies, "replies")
+    replies = scratch.keep(lists.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(_reply(model.unseen), REPLIES), "replies")
+    scratch.drop(model.near, model.far, model.rare)
+    del lists, held
     scratch.free()
     sent = docs.sparkSession.sparkContext.broadcast((model.counts, model.parent, model.share, model.total, model.kinds))
-    texts = asked.where("part < 0").select("chunk", "pairs", "doc_ids", "held_out", "lengths")
-    out = texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(sent), SCORED)
+    out = asked.drop("near_counts", "far_counts").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(sent), SCORED)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )

@@ -312,10 +312,11 @@ def lm_plain(model):
     held = {int(w): (c, p, x) for w, c, p, x in zip(model.words, model.counts, model.parent, model.share, strict=True)}
     held |= {r["word"]: (r["c"], r["parent"], r["share"]) for r in model.rare.collect()}
     seats, half = {}, (1 << lm.WORD_BITS) - 1
-    for r in model.seats.collect():
-        if r["near"]:
-            u, w = int(model.words[r["key"] >> lm.WORD_BITS]), int(model.words[r["key"] & half])
-        elif r["kind"] == lm.BOTH:
+    for r in model.near.collect():
+        key, c, t = (f(r[n], r["near_n"], k) for f, n, k in ((lm.risen, "near_keys", np.int64), (lm.unsqueezed, "near_c", np.int64), (lm.unsqueezed, "near_tables", float)))
+        seats |= {(int(model.words[x >> lm.WORD_BITS]), int(model.words[x & half])): (int(n), y) for x, n, y in zip(key, c, t, strict=True)}
+    for r in model.far.collect():
+        if r["kind"] == lm.BOTH:
             u, w = r["other"], r["key"]
         else:
             u, w = (int(model.words[r["other"]]), r["key"]) if r["kind"] == lm.TOKEN else (r["key"], int(model.words[r["other"]]))
