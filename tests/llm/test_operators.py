@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -86,6 +87,67 @@ def test_gray_index_finds_every_link(spark, scratch):
     assert np.array_equal(simhash._merge(np.arange(len(codes)), a, b), root)
 
 
+def test_wide_forest_is_that_of_all_pairs():
+    """A ball of codes within reach of each other, random ones and a chain; connected alike at every radius."""
+    r = np.random.default_rng(4)
+    centre = r.integers(1 << 63, size=2).astype(np.uint64)
+    flip = lambda x, n: x ^ np.packbits(np.bincount(r.choice(128, n, replace=False), minlength=128).astype(np.uint8)).view(np.uint64)
+    codes = [flip(centre, int(n)) for n in r.integers(1, 20, 300)] + [r.integers(1 << 63, size=2).astype(np.uint64) for _ in range(300)]
+    for _ in range(60):
+        codes.append(flip(codes[-1], 9))
+    words = np.unique(np.array(codes), axis=0)
+    words = words[np.argsort(simhash.gray_rank(words[:, 0]), kind="stable")]
+    a, b = simhash.wide_forest(words, np.zeros(len(words), np.int64), 28)
+    assert len(a) < len(words)
+    d = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2, dtype=np.int64)
+    own = d[a, b]
+    for radius in (4, 9, 12, 20, 28):
+        i, j = np.nonzero(np.triu(d <= radius, 1))
+        want = simhash._merge(np.arange(len(words)), i, j)
+        got = simhash._merge(np.arange(len(words)), a[own <= radius], b[own <= radius])
+        assert np.array_equal(want, got)
+
+
+def test_similar_duplicates(spark, scratch):
+    """Copies with words changed, cut off or added, on both sides of likeness 0.8, against exact likeness."""
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        base = corpus.text(1_000 + i, r.randint(60, 400)).split()
+        rows.append((10 * i, " ".join(base)))
+        kind, n = i % 4, len(base)
+        if kind == 0:
+            other = [w if r.random() > 0.012 else w + "x" for w in base]
+        elif kind == 1:
+            other = base[: n - n // r.choice((8, 12, 3))]
+        elif kind == 2:
+            other = base + corpus.text(9_000 + i, n // r.choice((7, 10, 2))).split()
+        else:
+            other = [w.upper() for w in base]
+        rows.append((10 * i + 1, "  ".join(other)))
+    rows += [(5_000 + i, corpus.text(77, 200)) for i in range(40)] + [(6_000, None), (6_001, ""), (6_002, "One two"), (6_003, "one  TWO"), (None, "one two"), (6_002, "One two")]
+    sets = []
+    for _, t in rows:
+        ws = words(t)
+        sets.append(frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset())
+    root = list(range(len(rows)))
+    for _ in range(3):
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+    first = collections.defaultdict(lambda: 1 << 60)
+    for (d, _), x in zip(rows, root, strict=True):
+        first[x] = min(first[x], d if d is not None else 1 << 60)
+    want = collections.Counter((d, first[x]) for (d, _), x in zip(rows, root, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((x["doc_id"], x["component_id"]) for x in simhash.similar_duplicates(df, scratch).collect())
+    assert sum(got.values()) == len(rows)
+    joined = lambda c: {d for d, x in c if d != x}
+    assert joined(got) <= joined(want) and len(joined(want) - joined(got)) <= 2 and len(joined(want)) > 100
+    kept = simhash.drop_near_duplicates(df, scratch, simhash.similar_duplicates)
+    assert sorted(x["doc_id"] or 0 for x in kept.collect() if x["doc_id"]) == sorted({x for d, x in got if d == x and d})
+
+
 def test_repeated_bytes(spark, docs, scratch):
     rows = corpus.rows()
     raws = [(r[1] or "").encode() for r in rows]
@@ -438,6 +500,7 @@ def test_empty_tables(spark, scratch):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert minhash.fingerprinted(none, 4).count() == 0
     assert simhash.near_duplicates(none, scratch).count() == simhash.drop_near_duplicates(none, scratch).count() == 0
+    assert simhash.similar_duplicates(none, scratch).count() == 0
     assert repeats.strip_repeats(none, scratch).count() == 0
     assert mixing.mixed(none, scratch).count() == mixing.mix_copies(none, scratch).count() == 0
     assert packing.packed(none, scratch).count() == 0

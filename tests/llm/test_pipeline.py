@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 
 import corpus_pipeline
 from doctide.llm import mixing, packing, quality
@@ -69,28 +68,27 @@ def test_quality(stages, spark):
 
 
 def test_near_dedup(stages):
+    """Groups by all pairs' exact likeness of five-word shingle sets: none joined below 0.8, and nearly all from 0.8 up."""
     before, after = stages[1]
-    codes = []
+    before = before.sort_values("doc_id")
+    sets = []
     for text in before["text"]:
         ws = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
-        grams = [b" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))] if ws else []
-        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-        codes.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0)
-    root = list(range(len(codes)))
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    order = np.argsort(before["doc_id"].to_numpy())
-    codes = [codes[i] for i in order]
-    for i, j in itertools.combinations(range(len(codes)), 2):
-        if (codes[i] ^ codes[j]).bit_count() <= 3:
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
-    want = {int(before["doc_id"].iloc[order[x]]) for x in range(len(codes)) if find(x) == x}
-    assert set(after["doc_id"]) == want and len(after) == len(want)
+    want = {int(before["doc_id"].iloc[x]) for x in range(len(sets)) if find(x) == x}
+    assert set(after["doc_id"]) >= want and len(after) == len(set(after["doc_id"]))
+    assert len(set(after["doc_id"]) - want) <= 0.02 * (len(before) - len(want)) and len(want) < len(before)
 
 
 def test_repeats(stages):
@@ -151,3 +149,18 @@ def test_run_gives_the_same_rows(spark, stages):
     got = corpus_pipeline.run(spark, SF).toPandas()
     key = ["doc_id", "piece", "n_words"]
     assert sorted(map(tuple, got[key].to_numpy().tolist())) == sorted(map(tuple, stages[4][1][key].to_numpy().tolist()))
+
+
+def test_awkward_rows_pass_all_stages(spark):
+    """Nulls, empty texts, ties, repeated rows and clashing columns, and no rows at all, with labels that fit none."""
+    from . import corpus
+
+    for df in (corpus.documents(spark, extra=True), corpus.empty(spark)):
+        n = df.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns or k == 4, name
+            left = out.count()
+            assert (left > 0) == (n > 0) and (left <= n or k > 2), name
+            if k < 3:
+                df = out
