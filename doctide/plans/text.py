@@ -43,7 +43,9 @@ _KIND = rf"CASE WHEN {_BARE} = '' THEN 'symbol' WHEN regexp_matches({_BARE}, '^[
 
 @P.query(f"WITH {WORDS} SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM words GROUP BY ALL")
 def token_kind(spark, sf_dir):
-    return words(spark, sf_dir).groupBy("doc_id", T.token_kind(F.col("word")).alias("kind")).agg(F.count("*").alias("n"))
+    """Kinds of each document's words.  Each distinct word of a document is classified once."""
+    w = words(spark, sf_dir).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return w.groupBy("doc_id", T.token_kind(F.col("word")).alias("kind")).agg(F.sum("n").alias("n"))
 
 
 @P.query(f"WITH {WORDS} SELECT doc_id, pos, bool_and(({_KIND}) <> 'word') AS kept FROM words GROUP BY ALL")
@@ -157,9 +159,14 @@ def json_shape(spark, sf_dir):
              AND NOT EXISTS (SELECT 1 FROM words l WHERE l.doc_id = w.doc_id AND l.word = lower(w.word))""")
 def paper_names(spark, sf_dir):
     """Words that stand capitalised within a line and never in lower case in their document."""
-    w = words(spark, sf_dir).select("doc_id", "ord", "word")
-    capital = w.where((F.col("ord") > 0) & F.col("word").rlike(r"^\p{Lu}\p{Ll}+$")).select("doc_id", "word", F.lower("word").alias("low")).distinct()
-    return capital.join(w.select("doc_id", F.col("word").alias("low")).distinct(), ["doc_id", "low"], "left_anti").select("doc_id", "word")
+    in_lines = F.transform(F.split("text", "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))
+    inner = F.flatten(F.transform(in_lines, lambda ws: F.slice(ws, 2, F.greatest(F.size(ws), F.lit(0)))))
+    capital = F.array_distinct(F.filter(inner, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$")))
+    # words in lower case that some name has when lowered; few, so a name seeks a short list
+    lowered = F.transform(capital, F.lower)
+    found = F.array_intersect(lowered, F.flatten(in_lines))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", capital.alias("names"), found.alias("found"))
+    return d.select("doc_id", F.explode(F.filter("names", lambda w: ~F.array_contains("found", F.lower(w)))).alias("word")).distinct()
 
 
 @P.query(f"""WITH {WORDS} SELECT lower(word) AS word FROM words WHERE regexp_matches(word, '^\\p{{Lu}}\\p{{L}}*$') EXCEPT SELECT word FROM words WHERE regexp_matches(word, '^\\p{{Ll}}+$')""")
