@@ -255,6 +255,24 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want) and 300 not in held and 320 not in held and 340 not in held
 
 
+def test_top_k_repeats_and_lengths(spark, monkeypatch):
+    """Repeated ids and queries, vectors of any length, tied scores and unused columns, over many blocks and passes."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 4)
+    monkeypatch.setattr(topk, "PASS_QUERIES", 3)
+    r = random.Random(5)
+    rows = [(i // 2, [r.randint(-300, 300) for _ in range(r.randint(0, 6))], "x") for i in range(60)]
+    rows += [(20, [1, 2, 3], "x")] * 30 + [(40 + i, [7], "x") for i in range(30)] + [(50, [], "x"), (60, [2**40, -(2**40)], "x")]
+    asked = [x for x in rows if x[0] % 10 == 0]
+    df, queries = (spark.createDataFrame(x, "vec_id long, v array<long>, rank string") for x in (rows, asked))
+    got = topk.sliced_top_k(df, queries, 5, len(rows), len(asked)).collect()
+    want = []
+    for q in {x[0] for x in asked}:
+        scores = [(-sum(a * b for a, b in zip(v, w, strict=False)), i) for j, v, _ in asked if j == q for i, w, _ in rows if i != q]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_url_rules(spark, scratch):
     cases = {
         "http://A.example.ORG/es/1?q": ("a.example.org", "/es/1", "example.org/es/", "block"),
