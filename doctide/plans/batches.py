@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from doctide.operators.batches import batched
+from doctide.operators.batches import batched, debounced, first_fit
 from doctide.operators.walks import reached
 from doctide.plans.layout import ITEMS, items
 from doctide.plans.register import Plans
-from doctide.sources.tables import LINES, WORDS, lines, table, words
+from doctide.sources.tables import LINES, WORDS, epoch_ms, lines, table, words
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -41,12 +41,16 @@ def unit_windows(spark, sf_dir):
     return batched(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 3 * F.length("text"), 1_800, 1_000_000)
 
 
-@P.query(fold_sql(f"{ITEMS}, src AS (SELECT unit, gid, x1 - x0 AS s FROM items)", "unit", "gid", "s", "60", 3) + " SELECT k AS unit, b AS batch, count(*) AS n, CAST(sum(s) AS BIGINT) AS size FROM f GROUP BY ALL")
+@P.query(f"""WITH RECURSIVE {ITEMS}, m AS (SELECT unit, gid, CAST(x1 - x0 AS BIGINT) AS s, row_number() OVER (PARTITION BY unit ORDER BY face, gid) AS rn FROM items),
+ f AS (SELECT unit, rn, s, [s] AS held, [1] AS n, CAST(1 AS BIGINT) AS place FROM m WHERE rn = 1
+       UNION ALL SELECT unit, rn, s, CASE WHEN p IS NULL THEN list_append(held, s) ELSE list_transform(held, lambda x, i: CASE WHEN i = p THEN x + s ELSE x END) END,
+                        CASE WHEN p IS NULL THEN list_append(n, 1) ELSE list_transform(n, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END) END, coalesce(p, len(held) + 1)
+       FROM (SELECT m.unit, m.rn, m.s, f.held, f.n, (SELECT min(i) FROM (SELECT unnest(f.held) AS h, unnest(f.n) AS k, unnest(range(1, len(f.held) + 1)) AS i) WHERE h + m.s <= 60 AND k < 3) AS p FROM f JOIN m ON m.unit = f.unit AND m.rn = f.rn + 1))
+ SELECT unit, CAST(place - 1 AS INTEGER) AS batch, count(*) AS n, CAST(sum(s) AS BIGINT) AS size FROM f GROUP BY ALL""")
 def pack_requests(spark, sf_dir):
-    """Requests by unit: at most three items and 60 wide, an oversize item alone."""
-    i = items(spark, sf_dir).withColumn("s", (F.col("x1") - F.col("x0")).cast("long"))
-    b = batched(i, ["unit"], ["gid"], F.col("s"), 60, 3)
-    return b.join(i.select("gid", "s"), "gid").groupBy("unit", "batch").agg(F.count("*").alias("n"), F.sum("s").alias("size"))
+    """Requests by unit, most urgent first: at most three items and 60 wide, what is too wide passed over, an oversize item alone."""
+    b = first_fit(items(spark, sf_dir), ["unit"], ["face", "gid"], F.col("x1") - F.col("x0"), 60, 3)
+    return b.groupBy("unit", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
 @P.query("""WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, sum(length(p_name)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS s FROM part WHERE length(p_name) > 8) SELECT p_partkey FROM r WHERE n <= 60 AND s <= 600""")
@@ -222,25 +226,21 @@ def reachability(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("node")).join(walk.withColumn("hit", F.lit(True)), "node", "left").select("node", F.col("hit").isNull().alias("dead"))
 
 
-@P.query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 1800000 THEN 1 ELSE 0 END AS s FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
-            k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM g), m AS (SELECT *, min(t) OVER (PARTITION BY user_id, burst) AS t0 FROM k)
-            SELECT user_id, CAST(burst AS BIGINT) AS burst, CAST((t - t0) // 3600000 AS BIGINT) AS part, count(*) AS n, max(t) AS fires FROM m GROUP BY ALL""")
+@P.query("""WITH RECURSIVE s AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM (SELECT *, epoch_us(ts) // 1000 AS t FROM events)),
+            f AS (SELECT user_id, event_type, t, rn, t AS first FROM s WHERE rn = 1 UNION ALL
+                  SELECT s.user_id, s.event_type, s.t, s.rn, CASE WHEN s.t >= least(f.t + 1800000, f.first + 3600000) THEN s.t ELSE f.first END FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1)
+            SELECT user_id, first, count(*) AS n, least(max(t) + 1800000, first + 3600000) AS fires, CASE WHEN bool_or(event_type = 'error') THEN 'full' ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS items FROM f GROUP BY user_id, first""")
 def coalesce_sessions(spark, sf_dir):
-    """Bursts of events half an hour apart at most, handed over after an hour at the latest."""
-    from doctide.sources.tables import epoch_ms
-
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    s = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_ms("ts").alias("t"))
-    s = s.withColumn("p", F.lag("t").over(w)).withColumn("burst", F.sum(F.when(F.col("p").isNull() | (F.col("t") - F.col("p") > 1_800_000), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("t0", F.min("t").over(Window.partitionBy("user_id", "burst")))
-    return s.groupBy("user_id", "burst", F.floor((F.col("t") - F.col("t0")) / 3_600_000).alias("part")).agg(F.count("*").alias("n"), F.max("t").alias("fires"))
+    """Bursts of events that fire half an hour after the last, an hour after the first at the latest: their kinds, or `full` if an error asks for all."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", epoch_ms("ts").alias("t"))
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), ",")
+    g = debounced(e, "user_id", "t", "event_id", 1_800_000, 3_600_000).groupBy("user_id", "first", "fires")
+    return g.agg(F.count("*").alias("n"), F.when(F.bool_or(F.col("event_type") == "error"), "full").otherwise(kinds).alias("items"))
 
 
 @P.query("""WITH r AS (SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS t FROM events) SELECT a.event_id, min(b.event_id) AS shares FROM r a JOIN r b ON a.key = b.key AND b.t <= a.t AND b.t > a.t - 600000 GROUP BY 1""")
 def inflight_share(spark, sf_dir):
     """The earliest request of the same key that still runs (ten minutes) when another arrives; its own if none does."""
-    from doctide.sources.tables import epoch_ms
-
     w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-599_999, 0)
     r = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_ms("ts").alias("t"))
     return r.select("event_id", F.min("event_id").over(w).alias("shares"))

@@ -134,11 +134,15 @@ def serialize_wire(spark, sf_dir):
 
 @P.query(f"WITH {_TOKENS} SELECT page_id, string_agg(token, '' ORDER BY ord) = any_value(html) AS same, count(*) AS pieces FROM tokens JOIN pages USING (page_id) GROUP BY page_id")
 def rehydrate(spark, sf_dir):
-    """Slots filled again from their table: whether the page comes back."""
-    t = tokens(spark, sf_dir)
+    """The wire of each page read back: slots filled from their table, text unescaped; whether the page comes back."""
     element = F.col("token").startswith("<")
-    slots = t.where(element).select("page_id", "ord", F.col("token").alias("held"))
-    filled = t.withColumn("wire", F.when(~element, F.col("token"))).drop("token").join(slots, ["page_id", "ord"], "left").withColumn("piece", F.coalesce("held", "wire"))
+    slots = tokens(spark, sf_dir).where(element).select("page_id", "token", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")).alias("slot"))
+    read = serialize_wire(spark, sf_dir).select("page_id", F.posexplode(F.regexp_extract_all("wire", F.lit("<[0-9]+/>|[^<]+"), F.lit(0))).alias("ord", "piece"))
+    read = read.withColumn("slot", F.regexp_extract("piece", "^<([0-9]+)/>", 1).try_cast("int"))
+    text = F.col("piece")
+    for name, mark in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(mark))
+    filled = read.join(slots, ["page_id", "slot"], "left").withColumn("piece", F.when(F.col("slot").isNull(), text).otherwise(F.col("token")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
     whole = filled.groupBy("page_id").agg(F.array_join(parts, "").alias("back"), F.count("*").alias("pieces"))
     return whole.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", (F.col("back") == F.col("html")).alias("same"), "pieces")

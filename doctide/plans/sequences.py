@@ -85,7 +85,7 @@ def cut_lines(spark, sf_dir):
 @P.query()
 def breaker_states(spark, sf_dir):
     """The circuit of each service after each outcome."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("service"), epoch_ms("ts").alias("t"), "event_id", F.col("event_type").isin("error", "view", "signup").alias("failed"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), epoch_ms("ts").alias("t"), "event_id", F.col("event_type").isin("error", "view", "signup").alias("failed"))
     return S.breaker_states(e, "service", "t", "event_id", "failed")
 
 

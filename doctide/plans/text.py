@@ -369,16 +369,24 @@ def sentence_pairs(spark, sf_dir):
     return c.select("conv_id", "turn", "role", F.col("text").alias("source"), "reply", F.length("text").cast("long").alias("n"), F.length("reply").cast("long").alias("m"))
 
 
-_ACCEPT = """CASE WHEN abs(len(regexp_extract_all(text, '\\n')) - len(regexp_extract_all(nxt, '\\n'))) > 3 THEN 'spans' WHEN NOT regexp_matches(nxt, '\\p{L}') THEN 'empty' WHEN 4 * length(nxt) < length(text) THEN 'short' END"""
+#: Characters that no reply may bring along: controls but for white space, and the mark that stands for an element.
+_FOREIGN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFC}]"
+_ACCEPT = rf"""CASE WHEN regexp_matches(nxt, '{_FOREIGN}') THEN 'foreign' WHEN abs(len(regexp_extract_all(text, '\n')) - len(regexp_extract_all(nxt, '\n'))) > 3 THEN 'spans'
+ WHEN regexp_matches(text, '\p{{L}}') AND NOT regexp_matches(nxt, '[\p{{L}}\p{{N}}]') THEN 'empty' WHEN length(text) >= 200 AND 5 * length(nxt) < length(text) THEN 'short' END"""
 
 
 @P.query(f"SELECT conv_id, turn, ({_ACCEPT}) IS NULL AS ok, {_ACCEPT} AS why FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL")
 def accept_rule(spark, sf_dir):
-    """The first refusal of a reply: breaks that do not match, no letter, or under a quarter of the length."""
+    """The first refusal of a reply: foreign characters, breaks that do not match, nothing said, or too short.
+
+    Words may become a number, so letters or digits count as said.  From 200 characters up a reply has at least a fifth of them.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
     breaks = lambda x: F.regexp_count(x, F.lit("\n"))
-    why = F.when(F.abs(breaks("text") - breaks("nxt")) > 3, "spans").when(~T.has_letter("nxt"), "empty").when(4 * F.length("nxt") < F.length("text"), "short")
+    said = ~T.has_letter("text") | F.col("nxt").rlike(r"[\p{L}\p{N}]")
+    short = (F.length("text") >= 200) & (5 * F.length("nxt") < F.length("text"))
+    why = F.when(F.col("nxt").rlike(_FOREIGN), "foreign").when(F.abs(breaks("text") - breaks("nxt")) > 3, "spans").when(~said, "empty").when(short, "short")
     return c.select("conv_id", "turn", why.isNull().alias("ok"), why.alias("why"))
 
 
