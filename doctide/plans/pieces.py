@@ -99,16 +99,30 @@ def opens_after(spark, sf_dir):
     return line.select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^.]{1,60}\.\s+)\p{Lu}", 1)).cast("long").alias("opens"))
 
 
-@P.query(f"WITH {LINES} " + r"SELECT doc_id, pos, length(regexp_extract(line, '^([^\p{L}\p{N}]*)', 1)) AS start FROM lines WHERE regexp_matches(line, '[\p{L}\p{N}]')")
+@P.query(f"WITH {LINES}, " + r"""p AS (SELECT doc_id, pos, unnest(range(len(ps))) AS sentence, unnest(ps) AS piece FROM (SELECT doc_id, pos, regexp_extract_all(line, '(?s).+?(?:[.!?]+\s+|\z)') AS ps FROM lines)),
+             q AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, pos ORDER BY sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, bool_and(regexp_matches(piece, '[\p{L}\p{N}]')) OVER (PARTITION BY doc_id, pos) AS ok FROM p)
+             SELECT doc_id, pos, CAST(sentence AS INTEGER) AS sentence, CAST(base + length(regexp_extract(piece, '(?s)^(.*?)[\p{Ps}\p{Pi}]*[\p{L}\p{N}]', 1)) AS BIGINT) AS start FROM q WHERE ok""")
 def starts_in_projection(spark, sf_dir):
-    """The first letter or digit of each line."""
-    return lines(spark, sf_dir).where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "pos", F.length(F.regexp_extract("line", r"^([^\p{L}\p{N}]*)", 1)).cast("long").alias("start"))
+    """Where each sentence of a line starts: at its first letter or digit, or the opening marks set against it.
 
+    All or nothing: a line with a sentence that has neither gives no row.
+    """
+    pieces = F.regexp_extract_all("line", F.lit(r"(?s).+?(?:[.!?]+\s+|\z)"), F.lit(0))
+    p = lines(spark, sf_dir).select("doc_id", "pos", pieces.alias("ps")).where(F.forall("ps", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    start = F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<bigint>").alias("out"))
+    before = lambda x: F.length(F.regexp_extract(x, r"(?s)^(.*?)[\p{Ps}\p{Pi}]*[\p{L}\p{N}]", 1))
+    fold = F.aggregate("ps", start, lambda s, x: F.struct((s["base"] + F.length(x)).alias("base"), F.concat(s["out"], F.array(s["base"] + before(x))).alias("out")), lambda s: s["out"])
+    return p.select("doc_id", "pos", F.posexplode(fold).alias("sentence", "start"))
 
-@P.query(f"WITH {LINES} SELECT doc_id, pos, len(regexp_extract_all(line, '[^.,;:!?]+')) AS parts FROM lines")
+
+_APART = r"regexp_replace({}, '(\p{{P}})(\p{{P}})', concat('\1', chr(1), '\2'), 'g')"
+
+
+@P.query(f"WITH {LINES}, c AS (SELECT doc_id, pos, string_split({_APART.format(_APART.format('line'))}, chr(1)) AS parts FROM lines) SELECT doc_id, pos, CAST(unnest(range(len(parts))) AS INTEGER) AS part, unnest(parts) AS run FROM c")
 def split_punct(spark, sf_dir):
-    """Stretches between punctuation marks."""
-    return lines(spark, sf_dir).select("doc_id", "pos", F.regexp_count("line", F.lit("[^.,;:!?]+")).cast("long").alias("parts"))
+    """Runs of each line, parted wherever one punctuation mark follows another."""
+    apart = F.regexp_replace("line", r"(\p{P})(?=\p{P})", "$1\x01")
+    return lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split(apart, "\x01")).alias("part", "run"))
 
 
 @P.query(f"WITH {LINES} " + r"SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '[{}$\\]', '', 'g')) AS plain FROM lines")
