@@ -6,7 +6,7 @@ their residual space, each with one bitmap of its sources and one of its cluster
 tightest bin that has room, and where that conflicts the search goes on to the next tighter residual until a compatible
 bin is found, else a new bin opens.
 
-Pieces are dealt by hash into shards of about SHARD_ROWS, each packed by one task; the part of a shard is independent of
+Pieces are dealt by hash into shards of about SHARD_ROWS pieces, however long their texts, each packed by one task; the part of a shard is independent of
 its texts, so a source or cluster with a third of all rows is spread over all shards.  Whole pieces of CAPACITY words fill
 a bin alone and need no search.
 """
@@ -91,7 +91,7 @@ def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pieces = copies.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / CAPACITY) - 1, F.lit(0)).cast("int"))).alias("piece"))
     size = F.least(F.lit(CAPACITY), F.col("words") - F.col("piece") * CAPACITY)
     pieces = pieces.select("doc_id", "source", "cluster", "content", "copy", "piece", (F.col("piece").cast("long") * CAPACITY).alias("first_word"), size.alias("n_words"))
-    rows = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = each.agg(F.coalesce(F.sum(F.col("n") * F.greatest(F.ceil(F.col("words") / CAPACITY), F.lit(1))), F.lit(0))).first()[0]
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "content", "copy", "piece"), F.lit(max(1, math.ceil(rows / SHARD_ROWS)))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -305,6 +305,40 @@ def test_url_regression_learns(spark, scratch):
     assert all((r["verdict"] == "block") == ("casino" in r["url"]) for r in got)
 
 
+def test_url_odd_tables(spark, scratch):
+    """Repeated rows, clashing extra columns, very long and unclean urls: one row each, equal urls judged alike."""
+    long = "http://a.net/" + "x" * 50_000
+    rows = [(1, "http://a.net/casino/1", "h", "p")] * 3 + [(2, long, "h", "p"), (3, "http://é.net/%00?\n", None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, grams string, y string")
+    labelled = spark.createDataFrame([("http://b.net/casino/2", 1), ("http://b.net/library/2", 0), (None, None), (None, 1)] * 5, "url string, y int")
+    got = urls.judged(df, labelled, scratch).select("page_id", "url", "host", "path", "verdict").collect()
+    assert collections.Counter((r["page_id"], r["url"]) for r in got) == collections.Counter((r[0], r[1]) for r in rows)
+    assert len({tuple(r) for r in got if r["page_id"] == 1}) == 1
+    assert {r["path"] for r in got if r["page_id"] == 2} == {long[len("http://a.net") :]}
+    assert [(r["host"], r["path"]) for r in got if r["url"] is None] == [("", "")]
+
+
+def test_best_fit_takes_the_tightest_bin():
+    """Every choice against a search of all open bins: the least room left among those without a conflict, a new bin only if none."""
+    r = random.Random(11)
+    for _ in range(30):
+        n = r.randrange(1, 120)
+        sizes = sorted((r.choice([0, 1, 40, 700, r.randrange(packing.CAPACITY + 1)]) for _ in range(n)), reverse=True)
+        sources, clusters = [r.choice([None, *"abcdef"]) for _ in range(n)], [r.randrange(n) for _ in range(n)]
+        room, held = [], []
+        for size, source, cluster, bin_ in zip(sizes, sources, clusters, packing.best_fit(sizes, sources, clusters), strict=True):
+            fit = [room[b] for b in range(len(room)) if room[b] >= size and room[b] > 0 and not any(cluster == c or (source and source == s) for s, c in held[b])]
+            if bin_ == len(room):
+                assert not fit
+                room.append(packing.CAPACITY)
+                held.append([])
+            else:
+                assert fit and room[bin_] == min(fit)
+            assert not any(cluster == c or (source and source == s) for s, c in held[bin_])
+            room[bin_] -= size
+            held[bin_].append((source, cluster))
+
+
 def test_mixing(spark, docs, scratch):
     out = mixing.mixed(docs, scratch).collect()
     rows = corpus.rows()
