@@ -11,36 +11,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def longest_common(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence; of several the one that matches earliest in a.
+#: Cells of the table of lengths that one piece of an alignment may fill.
+MOST_CELLS = 1 << 22
 
-    Equal ends are taken off first.  The rest goes row by row through the lengths for all suffixes, kept as one array of
-    small integers, so memory is the product of the parts that differ.
+
+def longest_common(a: list, b: list, cells: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, always the same of several.
+
+    Equal ends are taken off first.  Where the rest's table of lengths would pass `cells`, a is halved and b parted where
+    the halves' lengths add up to most, so memory stays in proportion to a and b; the time is the product of what differs.
     """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
     codes: dict = {}
-    x = np.array([codes.setdefault(v, len(codes)) for v in a[head : len(a) - tail]], np.int64)
-    y = np.array([codes.setdefault(v, len(codes)) for v in b[head : len(b) - tail]], np.int64)
+    x, y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
+            pairs.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            pairs.append((a1, b1))
+        if a1 - a0 > 1 and (a1 - a0) * (b1 - b0) > cells:
+            middle = (a0 + a1) // 2
+            before, after = _lengths(x[a0:middle], y[b0:b1]), _lengths(x[middle:a1][::-1], y[b0:b1][::-1])[::-1]
+            cut = b0 + int(np.argmax(before + after))
+            todo += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+        else:
+            pairs += [(a0 + i, b0 + j) for i, j in _by_table(x[a0:a1], y[b0:b1])]
+    return sorted(pairs)
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of x and each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _by_table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence from the lengths for all suffixes."""
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(len(x) - 1, -1, -1):
         match = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
         best[i, :-1] = np.maximum.accumulate(match[::-1])[::-1]
-    pairs = [(k, k) for k in range(head)]
-    i = j = 0
+    pairs, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            pairs.append((head + i, head + j))
+            pairs.append((i, j))
             i, j = i + 1, j + 1
         elif best[i, j] == best[i, j + 1]:
             j += 1
         else:
             i += 1
-    return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return pairs
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str, order: str, value: str) -> DataFrame:

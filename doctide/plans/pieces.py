@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doctide.functions.text import escape_text, token_kind
+from doctide.operators.hyphens import break_points, syllable_patterns
 from doctide.operators.ranges import islands
 from doctide.plans.layout import ITEMS, items
 from doctide.plans.register import Plans
@@ -272,12 +273,41 @@ def join_accents(spark, sf_dir):
     return d.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
-@P.query(f"WITH {LINES}, c AS (SELECT doc_id, pos, line, unnest(generate_series(1, CAST(floor(length(line) / 60) AS BIGINT))) * 60 AS cut FROM lines WHERE length(line) >= 60) SELECT doc_id, pos, count(*) AS cuts, bool_and(contains(substr(line, cut - 3, 7), '. ')) AS snapped FROM c GROUP BY doc_id, pos")
+#: A sentence's end, with what closes after it; how far a cut may move to one.
+_END, _SNAP = r"[.!?]+[\"”’)\]]*\s*", 3
+_SNAP_SQL = rf"""settled AS (SELECT doc_id, pos, line, k * 60 AS cut, k * 60 + d AS p, d, regexp_matches(substr(line, greatest(1, k * 60 + d - 7), least(8, k * 60 + d)), '{_END}$') AS ends,
+ NOT regexp_matches(substr(line, k * 60 + d + 1, 8), '^\s*\p{{Ll}}') AS free FROM (SELECT doc_id, pos, line, unnest(generate_series(1, CAST(floor((length(line) - 1) / 60) AS BIGINT))) AS k FROM lines WHERE length(line) > 60),
+ (SELECT unnest(generate_series(-{_SNAP}, {_SNAP})) AS d)),
+near AS (SELECT doc_id, pos, line, cut, bool_or(d = 0 AND ends) AS stays, min(abs(d)) FILTER (d < 0 AND ends AND free) AS back, min(d) FILTER (d > 0 AND ends AND free AND p < length(line)) AS ahead FROM settled GROUP BY ALL),
+moved AS (SELECT doc_id, pos, line, cut, CASE WHEN stays OR (back IS NULL AND ahead IS NULL) THEN cut WHEN back = ahead THEN NULL WHEN ahead IS NULL OR back < ahead THEN cut - back ELSE cut + ahead END AS at_ FROM near),
+parts AS (SELECT *, substr(line, coalesce(lag(at_) OVER w, 0) + 1, at_ - coalesce(lag(at_) OVER w, 0)) AS part, CASE WHEN lead(cut) OVER w IS NULL THEN substr(line, at_ + 1) ELSE 'x' END AS rest FROM moved WINDOW w AS (PARTITION BY doc_id, pos ORDER BY cut))"""
+
+
+@P.query(rf"WITH {LINES}, {_SNAP_SQL} SELECT doc_id, pos, coalesce(bool_and(at_ IS NOT NULL AND regexp_matches(part, '\S') AND regexp_matches(rest, '\S')), FALSE) AS ok, count(*) AS cuts, count(*) FILTER (at_ <> cut) AS near_, string_agg(CAST(CASE WHEN whole THEN at_ ELSE cut END AS VARCHAR), ',' ORDER BY cut) AS at_ FROM (SELECT *, coalesce(bool_and(at_ IS NOT NULL AND regexp_matches(part, '\S') AND regexp_matches(rest, '\S')) OVER (PARTITION BY doc_id, pos), FALSE) AS whole FROM parts) GROUP BY doc_id, pos")
 def snap_cuts(spark, sf_dir):
-    """Cuts every 60 characters: whether all of them have a sentence's end within three characters."""
-    cuts = F.sequence(F.lit(1), F.floor(F.length("line") / 60).cast("int"))
-    near = F.forall(cuts, lambda k: F.contains(F.substring("line", k * 60 - 3, F.lit(7)), F.lit(". ")))
-    return lines(spark, sf_dir).where(F.length("line") >= 60).select("doc_id", "pos", F.size(cuts).cast("long").alias("cuts"), near.alias("snapped"))
+    """Cuts every 60 characters moved onto a sentence's end that each missed by up to three characters.
+
+    A cut at a sentence's end stays, and no cut moves to where the text goes on in lower case.  All or nothing: a cut with
+    ends on both sides at one distance, or a part with nothing to see, leaves every cut of the line as it was.
+    """
+    at = lambda p: F.substring("line", p, F.lit(8))
+    ends = lambda p: F.substring("line", F.greatest(F.lit(1), p - 7), F.least(F.lit(8), p)).rlike(_END + r"\z")
+    free = lambda p: ends(p) & ~at(p + 1).rlike(r"^\s*\p{Ll}")
+
+    def moved(cut):
+        out = F.when(ends(cut), cut)
+        for d in range(1, _SNAP + 1):
+            back, ahead = free(cut - d), free(cut + d) & (cut + d < F.length("line"))
+            out = out.when(back & ahead, F.lit(None)).when(back, cut - d).when(ahead, cut + d)
+        return out.otherwise(cut)
+
+    cuts = F.transform(F.sequence(F.lit(1), F.floor((F.length("line") - 1) / 60).cast("int")), lambda k: k * 60)
+    c = lines(spark, sf_dir).where(F.length("line") > 60).select("doc_id", "pos", "line", cuts.alias("cuts")).withColumn("to", F.transform("cuts", moved))
+    edges = F.concat(F.array(F.lit(0)), "to", F.array(F.length("line")))
+    seen = F.transform(F.sequence(F.lit(1), F.size("to") + 1), lambda i: F.substring("line", F.get(edges, i - 1) + 1, F.get(edges, i) - F.get(edges, i - 1)).rlike(r"\S"))
+    ok = F.coalesce(F.forall("to", lambda x: x.isNotNull()) & F.forall(seen, lambda x: x), F.lit(False))
+    near = F.size(F.filter(F.arrays_zip("cuts", "to"), lambda x: x["cuts"] != x["to"])).cast("long")
+    return c.select("doc_id", "pos", ok.alias("ok"), F.size("cuts").cast("long").alias("cuts"), near.alias("near_"), F.array_join(F.when(ok, F.col("to")).otherwise(F.col("cuts")).cast("array<string>"), ",").alias("at_"))
 
 
 @P.query(f"WITH {_TOKENS}, n AS (SELECT page_id, ord, token, lag(token) OVER (PARTITION BY page_id ORDER BY ord) AS p, lead(token) OVER (PARTITION BY page_id ORDER BY ord) AS q FROM tokens) SELECT page_id, ord, token FROM n WHERE token LIKE '<%' AND regexp_matches(p, '[\\p{{L}}\\p{{N}}]$') AND p NOT LIKE '<%' AND regexp_matches(q, '^[\\p{{L}}\\p{{N}}]') AND q NOT LIKE '<%'")
@@ -289,18 +319,38 @@ def whole_words(spark, sf_dir):
     return n.where(F.col("token").startswith("<") & cut).select("page_id", "ord", "token")
 
 
-_SHINGLES = """w AS (SELECT conv_id, turn, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM conversations), s AS (SELECT conv_id, turn, unnest(generate_series(1, len(ws) - 2)) AS at_, ws FROM w WHERE len(ws) >= 3),
- g AS (SELECT conv_id, turn, concat_ws(' ', ws[at_], ws[at_ + 1], ws[at_ + 2]) AS run, count(*) AS n FROM s GROUP BY ALL)"""
+#: Every word of a text between spaces of its own, so that neighbouring runs share none.
+_SPACED = "list_aggregate(list_transform(list_filter(regexp_split_to_array({}, '[ \\n]'), lambda w: w <> ''), lambda w: concat(' ', w, ' ')), 'string_agg', '')"
+_RUNS = rf"""t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+ p AS (SELECT conv_id, turn, {_SPACED.format("before")} AS pool, string_split_regex(text, '[.!?\n]+') AS parts FROM t),
+ s AS (SELECT conv_id, turn, pool, unnest(generate_series(1, len(parts))) AS ord, unnest(parts) AS part FROM p WHERE pool <> ''),
+ m AS (SELECT conv_id, turn, pool, ord, {_SPACED.format("part")} AS run FROM s),
+ r AS (SELECT conv_id, turn, instr(pool, run) AS at_, length(run) AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(run) DESC, ord) AS k FROM m WHERE run <> '' AND length(pool) - length(replace(pool, run, '')) = length(run)),
+ g AS (SELECT DISTINCT conv_id, turn, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS taken FROM r
+  UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN len(list_filter(taken, lambda x: x.a < at_ + n AND at_ < x.b)) > 0 THEN taken ELSE list_append(taken, {{'a': CAST(at_ AS BIGINT), 'b': CAST(at_ + n AS BIGINT)}}) END
+  FROM g JOIN r ON r.conv_id = g.conv_id AND r.turn = g.turn AND r.k = g.k + 1)"""
 
 
-@P.query(f"WITH {_SHINGLES} SELECT a.conv_id, a.turn, count(*) AS runs FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.run = b.run AND a.n = 1 AND b.n = 1 GROUP BY ALL")
+@P.query(f"WITH RECURSIVE {_RUNS} SELECT conv_id, turn, CAST(len(max_by(taken, k)) AS BIGINT) AS runs, CAST(list_sum(list_transform(max_by(taken, k), lambda x: x.b - x.a)) AS BIGINT) AS size FROM g GROUP BY conv_id, turn")
 def run_match(spark, sf_dir):
-    """Runs of three words that occur exactly once in a turn and exactly once in the next."""
-    ws = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ws.alias("ws")).where(F.size("ws") >= 3)
-    runs = F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " "))
-    once = c.select("conv_id", "turn", F.explode(runs).alias("run")).groupBy("conv_id", "turn", "run").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return once.join(once.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn", "run"]).groupBy("conv_id", "turn").agg(F.count("*").alias("runs"))
+    """Sentences of a turn that stand exactly once in the turn before, word for word, longest first.
+
+    A sentence whose place holds a word that a longer one has taken is not matched.
+    """
+    spaced = lambda c: F.array_join(F.transform(F.filter(F.split(c, r"[ \n]"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", spaced(before).alias("pool"))
+    run = c.select("conv_id", "turn", "pool", F.posexplode(F.split("text", r"[.!?\n]+")).alias("ord", "part")).withColumn("run", spaced(F.col("part"))).where("run <> ''")
+    once = run.where(F.length("pool") - F.length(F.replace("pool", F.col("run"))) == F.length("run"))
+    first = F.instr("pool", F.col("run")).cast("long")
+    sized = once.select("conv_id", "turn", F.struct((-F.length("run")).alias("n"), "ord", first.alias("a"), (first + F.length("run")).alias("b")).alias("r"))
+
+    def step(taken, r):
+        return F.when(F.exists(taken, lambda x: (x["a"] < r["b"]) & (r["a"] < x["b"])), taken).otherwise(F.concat(taken, F.array(F.struct(r["a"].alias("a"), r["b"].alias("b")))))
+
+    taken = F.aggregate(F.array_sort(F.collect_list("r")), F.array().cast("array<struct<a:bigint,b:bigint>>"), step)
+    g = sized.groupBy("conv_id", "turn").agg(taken.alias("taken"))
+    return g.select("conv_id", "turn", F.size("taken").cast("long").alias("runs"), F.aggregate("taken", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]).alias("size"))
 
 
 @P.query("WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) SELECT a.o_custkey AS scope, a.o_orderkey AS lost, b.o_orderkey AS place FROM f a JOIN f b ON a.o_custkey = b.o_custkey AND a.k = b.k AND a.n = b.n AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")
@@ -310,3 +360,22 @@ def place_groups(spark, sf_dir):
     f = table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w.orderBy("o_orderkey"))).withColumn("n", F.count("*").over(w))
     a, b = (f.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("scope"), "k", "n", F.col("o_orderkey").alias(name)) for s, name in (("F", "lost"), ("O", "place")))
     return a.join(b, ["scope", "k", "n"]).select("scope", "lost", "place")
+
+
+_VOTES = "v AS (SELECT regexp_replace(pattern, '[0-9]', '', 'g') AS part, unnest(generate_series(0, len(d) - 1)) AS k, CAST(unnest(d) AS INTEGER) AS vote FROM (SELECT pattern, list_transform(regexp_extract_all(concat(pattern, ' '), '([0-9]?)[^0-9]', 1), lambda x: CASE WHEN x = '' THEN '0' ELSE x END) AS d FROM (SELECT unnest([{}]) AS pattern)))"
+_VOTES = _VOTES.format(", ".join(f"'{p}'" for p in syllable_patterns()))
+
+
+@P.query(f"""WITH {WORDS}, {_VOTES}, w AS (SELECT DISTINCT lower(word) AS word FROM words WHERE regexp_matches(word, '^\\p{{L}}{{5,}}$')),
+ s AS (SELECT word, at_, substr(concat('.', word, '.'), at_ + 1, n) AS part FROM (SELECT word, unnest(generate_series(0, length(word) + 1)) AS at_ FROM w), (SELECT unnest(generate_series(1, 2)) AS n)),
+ b AS (SELECT word, at_ + k - 1 AS o, max(vote) AS vote FROM s JOIN v USING (part) GROUP BY ALL),
+ f AS (SELECT word, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS breaks FROM b WHERE vote % 2 = 1 AND o >= 2 AND o <= length(word) - 3 GROUP BY word)
+ SELECT w.word, coalesce(f.breaks, '') AS breaks FROM w LEFT JOIN f USING (word)""")
+def hyphenate(spark, sf_dir):
+    """Where each distinct word of the documents may break, by patterns that one rule of syllables makes.
+
+    Patterns of a language are data and come as a table of their own.
+    """
+    patterns = spark.createDataFrame([(p,) for p in syllable_patterns()], "pattern string")
+    w = words(spark, sf_dir).where(F.col("word").rlike(r"^\p{L}{5,}\z")).select(F.lower("word").alias("word"))
+    return break_points(w, patterns)

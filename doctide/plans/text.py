@@ -351,11 +351,11 @@ _PLAIN = "concat(' ', translate(lower({}), concat('.,', chr(10)), '   '), ' ')"
 def glossary_match(spark, sf_dir):
     """Benchmark openings (up to the first full stop) that a document contains as whole words.
 
-    The first word is an equi-join key, so only documents that have it are searched for the whole term.
+    The longest word is an equi-join key, so only documents that have it are searched for the whole term.
     """
     plain = lambda c: F.concat(F.lit(" "), F.translate(F.lower(c), ".,\n", "   "), F.lit(" "))
     b = table(spark, sf_dir, "benchmark").select("item_id", plain(F.split_part("text", F.lit("."), F.lit(1))).alias("term"))
-    seek = b.select("item_id", "term", F.get(F.filter(F.split("term", " "), lambda w: w != ""), F.lit(0)).alias("w"))
+    seek = b.select("item_id", "term", F.array_max(F.transform(F.filter(F.split("term", " "), lambda w: w != ""), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", plain(F.col("text")).alias("low"))
     near = d.select("doc_id", F.explode(F.array_distinct(F.split("low", " "))).alias("w")).join(seek, "w").select("item_id", "doc_id", "term")
     return near.join(d, "doc_id").where(F.contains("low", "term")).select("item_id", "doc_id").distinct()
@@ -390,7 +390,7 @@ def accept_rule(spark, sf_dir):
     return c.select("conv_id", "turn", why.isNull().alias("ok"), why.alias("why"))
 
 
-#: Fixed: abbreviations after which a stop does not end a sentence, in the languages of the documents.
+#: Abbreviations after which a stop does not end a sentence, in the languages of the documents.
 _ABBREVIATIONS = r"\b(e\.g|i\.e|cf|etc|Fig|Figs|Eq|Eqs|Sec|Ref|vs|Dr|Mr|Mrs|Prof|St|No|Nr|bzw|usw|z\.B|p\.ex|Sr|Sra|[A-Z])\."
 _CUT = r"[.!?][\"'”’)\]]*\s+[^\p{Ll}\s]"
 _CUT_SQL = _CUT.replace("'", "''")

@@ -4,7 +4,8 @@ import itertools
 import random
 
 from doctide.operators.batches import batched
-from doctide.operators.sequences import Breaker, aligned, longest_common, merge_boxes
+from doctide.operators.sequences import Breaker, aligned, cut_lines, gaps, longest_common, merge_boxes
+from doctide.plans import sequences as plans
 from doctide.sources.html import html_nodes
 
 
@@ -50,3 +51,37 @@ def test_html_nodes(spark):
         (0, 7, -1, 0, "div", "a", None), (1, 5, 0, 1, "p", None, None), (2, 3, 1, 2, "#text", None, "One"), (3, 4, 1, 2, "br", None, None), (4, 5, 1, 2, "#text", None, "two"),
         (5, 7, 0, 1, "script", None, None), (6, 7, 5, 2, "#text", None, "x='</p>'"),
     ]
+
+
+def test_halved_alignment_is_as_long_as_the_whole():
+    r = random.Random(11)
+    for _ in range(100):
+        a, b = ([r.randrange(5) for _ in range(r.randrange(60))] for _ in range(2))
+        pairs = longest_common(a, b, cells=8)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+        assert len(pairs) == len(longest_common(a, b))
+
+
+def test_gaps_between_pairs(spark):
+    pairs = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 4, 2), (1, 5, 6), (2, 3, 3)], "page int, a_pos int, b_pos int")
+    assert sorted(map(tuple, gaps(pairs, "page").collect())) == [(1, 2, 4, 2, 2), (1, 5, 5, 3, 6)]
+
+
+def test_lines_follow_an_evolving_baseline(spark):
+    glyphs = [(1, i, y, 10) for i, y in enumerate([100.0, 103.0, 106.0, 108.0, 120.0, 121.0, 60.0])] + [(2, 0, 5.0, 10)]
+    got = sorted(map(tuple, cut_lines(spark.createDataFrame(glyphs, "page int, gid int, y double, size int"), "page", "gid").collect()))
+    assert got == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 2), (1, 5, 2), (1, 6, 3), (2, 0, 0)]
+
+
+def test_page_text_blocks_and_title_words(spark, tmp_path):
+    page = "<title>Old tales</title><h1>The old tales</h1><p>One <b>two</b><script>no()</script></p><li>1</li>"
+    spark.createDataFrame([(7, page), (8, None), (9, "")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = lambda q: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
+    assert [r[2] for r in rows(plans.html_text)] == ["Old tales", "The old tales", "One ", "two", "1"]
+    assert {r[2]: r[3] for r in rows(plans.words_on_page)} == {"tales": 8}
+
+
+def test_turns_are_aligned_word_by_word(spark, tmp_path):
+    turns = [(1, 0, "u", "a b c d"), (1, 1, "a", "b x d"), (1, 2, "u", None), (1, 3, "a", "b"), (2, 0, "u", "b")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(map(tuple, plans.doc_align(spark, str(tmp_path)).collect())) == [("1/1", 2)]
