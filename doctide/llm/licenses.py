@@ -3,8 +3,9 @@
 Templates are cut into tokens (runs of letters and digits, lower case), and all their token triples are hashed, or pairs if
 they have fewer than SHORT tokens: a template that keeps COVERAGE of its tokens keeps one of these whole.  They make an
 inverted index from hash to (template, place).  A document looks all its pairs and triples up; hits of one template on
-neighbouring diagonals make a candidate, and a banded alignment of template and document around these diagonals tells which tokens match, what part of the template they
-cover and the span they take.  Everything happens where a text is read: the index is a table of templates, checked to be
+neighbouring diagonals make a candidate.  If enough of the template's tokens stand there at all, a banded alignment of
+template and document around these diagonals tells which tokens match, what part of the template they cover and the span
+they take.  So a long template costs little where a text only shares a phrase with it.  Everything happens where a text is read: the index is a table of templates, checked to be
 small, and nothing is shuffled.
 """
 
@@ -154,8 +155,10 @@ def matches(index: TemplateIndex, texts: pa.Array) -> list[tuple[int, str, int,
                 low, high = low - band, high + band
                 lo, hi = max(0, low), max(0, high + len(index.tokens[t]))
                 end = int(np.searchsorted(row, r, "right"))
-                around = tokens[b + lo : min(b + hi, end)].tolist()
-                n, f, e = aligned(index.tokens[t].tolist(), around, low - lo, high - lo)
+                around = tokens[b + lo : min(b + hi, end)]
+                if np.isin(index.tokens[t], around).sum() < COVERAGE * len(index.tokens[t]):
+                    continue  # no alignment matches tokens that are not there
+                n, f, e = aligned(index.tokens[t].tolist(), around.tolist(), low - lo, high - lo)
                 if n and n >= COVERAGE * len(index.tokens[t]) and lo + f > last:
                     last = lo + e
                     out.append((at + r, index.names[t], n, n / len(index.tokens[t]), int(starts[b + lo + f] - offsets[r]), int(ends[b + lo + e] - offsets[r])))
