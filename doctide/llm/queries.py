@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "lines", "lm", "minhash", "mixing", "packing", "quality", "repeats", "simhash", "topk", "urls")
+MODULES = ("divergence", "licenses", "lines", "lm", "manifest", "minhash", "mixing", "packing", "quality", "repeats", "simhash", "topk", "urls")
 
 
 def load() -> tuple[dict, dict]:
