@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,8 @@ def series(n: int, seed: int) -> np.ndarray:
 BYTE_VALUES = series(256, 1)
 OTHER_BYTE_VALUES = series(256, 3)
 STEP = series(64, 2) | np.uint64(1)
+#: The lowest 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def powers(n: int, which: str = "up") -> np.ndarray:
@@ -167,9 +170,27 @@ def _words(raw: np.ndarray, edges: np.ndarray, lower: bool, apart: np.ndarray) -
         last[edges - 1] = True
     starts = np.flatnonzero(fresh & ~space)
     ends = np.flatnonzero(last & ~space) + 1
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[LOWER[raw] if lower else raw] * powers(len(raw)), out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * powers(len(raw) + 1, "down")[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, word_hashes(LOWER[raw] if lower else raw, starts, ends)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings [start:end]: 8 bytes after another, each mixed into what those before gave.
+
+    A sum of bytes times powers, as the rolling hashes use it, has pairs of long words that collide for every base; here a
+    word of up to 8 bytes is told apart by its own bytes, and a longer one by a chain.  The few over 512 bytes take XXH64.
+    """
+    held = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(raw) + 1, "<u8", held, strides=(1,))
+    size = ends - starts
+    out = mix(eight[starts] & MASKS[np.minimum(size, 8)])
+    which, done = np.flatnonzero(size > 8), 8
+    while len(which) and done < 512:
+        out[which] = mix(out[which] * STEP[0] ^ eight[starts[which] + done] & MASKS[np.minimum(size[which] - done, 8)])
+        done += 8
+        which = which[size[which] > done]
+    for i in which.tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return mix(out + size.astype(np.uint64) * STEP[1])
 
 
 def shingles_of(row: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

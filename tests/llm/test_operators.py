@@ -205,6 +205,36 @@ def test_long_texts_are_worked_on_in_windows(spark, scratch, monkeypatch):
     assert spans() == want
 
 
+def test_word_hashes_tell_words_apart():
+    """Words that sums of powers cannot tell apart, of every length around the 8-byte blocks, and with zero bytes."""
+    swap = str.maketrans("ab", "ba")
+    thue = "a"
+    while len(thue) < 2_048:
+        thue += thue.translate(swap)
+    held = [thue[:n] for n in (256, 1_024, 2_048)]
+    held += [x.translate(swap) for x in held]
+    held += ["x" * n for n in range(1, 40)] + ["x" * n + "\x00" for n in range(1, 40)] + ["y" * n for n in (511, 512, 513, 520, 5_000)] + ["\x00" * n for n in range(1, 20)]
+    held += ["A" + "b" * 600, "É" * 300]
+    raw = " ".join(held).encode()
+    starts, ends, _, hashes = common.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [raw[a:b].decode() for a, b in zip(starts, ends, strict=True)] == held
+    assert len(set(hashes.tolist())) == len(held)
+    again = " ".join(x.translate(str.maketrans("xyA", "XYa")) for x in reversed(held)).encode()
+    assert common.words_of(np.frombuffer(again, np.uint8), np.array([0, len(again)]))[3].tolist() == hashes.tolist()[::-1]
+
+
+def test_pitman_yor_knows_a_long_word_from_its_complement(spark, scratch):
+    """A word of 1,024 letters in training, and its Thue-Morse complement in a held-out text."""
+    thue = "a"
+    while len(thue) < 1_024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    held = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    other = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 5 != 1)
+    docs = spark.createDataFrame([(other, thue), (held, thue.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in lm.scored(docs, scratch).collect()}
+    assert got == {other: 2, held: 1}
+
+
 def test_spans_shrink_to_characters():
     raw = "aéb".encode()
     assert repeats.whole_characters(raw, [(2, 4)]) == [(3, 4)] and repeats.whole_characters(raw, [(0, 2)]) == [(0, 1)]
