@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doctide.functions import text as T
+from doctide.operators import sentences as S
 from doctide.plans.register import Plans
 from doctide.sources.tables import LINES, WORDS, lines, table, words
 
@@ -390,22 +391,43 @@ def accept_rule(spark, sf_dir):
     return c.select("conv_id", "turn", why.isNull().alias("ok"), why.alias("why"))
 
 
-#: Abbreviations after which a stop does not end a sentence, in the languages of the documents.
-_ABBREVIATIONS = r"\b(e\.g|i\.e|cf|etc|Fig|Figs|Eq|Eqs|Sec|Ref|vs|Dr|Mr|Mrs|Prof|St|No|Nr|bzw|usw|z\.B|p\.ex|Sr|Sra|[A-Z])\."
-_CUT = r"[.!?][\"'”’)\]]*\s+[^\p{Ll}\s]"
-_CUT_SQL = _CUT.replace("'", "''")
-
-
-@P.query(sql(rf"SELECT doc_id, pos, CAST(len(regexp_extract_all(regexp_replace(line, '{_ABBREVIATIONS}', '\1', 'g'), '{_CUT_SQL}')) AS INTEGER) AS cuts, CAST(length(regexp_extract(regexp_replace(line, '{_ABBREVIATIONS}', '\1', 'g'), '^(.*?[.!?][\"''”’)\]]*)\s+[^\p{{Ll}}\s]', 1)) AS INTEGER) AS first_end FROM lines"))
+def _class_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '[{inside.replace(chr(39), chr(39) * 2)}]') THEN '{name}'" for name, inside in S.CLASSES.items()) + " ELSE 'X' END"
+
+
+def _rule_sql(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_CUTS = rf"""
+WITH {LINES}, signs AS (
+  SELECT doc_id, pos, line, place, {_class_sql("c")} AS class FROM (SELECT doc_id, pos, line, unnest(string_split(line, '')) AS c, unnest(range(length(line))) AS place FROM (SELECT doc_id, pos, replace(line, chr(65532), ' ') AS line FROM lines) WHERE line <> '')
+), spelled AS (
+  SELECT doc_id, pos, line, string_agg(class, '' ORDER BY place) AS classes, list(place ORDER BY place) AS places FROM signs WHERE class <> 'E' GROUP BY ALL
+), candidates AS (
+  SELECT doc_id, pos, line, places, k, left(classes, k) AS before, substr(classes, k + 1) AS rest FROM (SELECT *, unnest(range(1, length(classes))) AS k FROM spelled)
+  WHERE classes[k] IN ('A', 'T', 'C', 'S', 'P')
+), ends AS (
+  SELECT doc_id, pos, line, places[k + 1] AS cut FROM candidates
+  WHERE regexp_matches(before, 'P$') OR regexp_matches(before, '[AT]C*S*$') AND NOT (
+    regexp_matches(before, 'A$') AND regexp_matches(rest, '^N') OR regexp_matches(before, '[UL]A$') AND regexp_matches(rest, '^U')
+    OR regexp_matches(before, 'AC*S*$') AND regexp_matches(rest, '^[^OULPAT]*L') OR regexp_matches(rest, '^[KAT]')
+    OR regexp_matches(before, '[AT]C*$') AND regexp_matches(rest, '^[CSP]') OR regexp_matches(before, '[AT]C*S+$') AND regexp_matches(rest, '^[SP]'))
+), pieces AS (
+  SELECT doc_id, pos, cut, substr(line, coalesce(lag(cut) OVER w, 0) + 1, cut - coalesce(lag(cut) OVER w, 0)) AS piece,
+    substr(line, cut + 1, coalesce(lead(cut) OVER w, length(line)) - cut) AS following FROM ends WINDOW w AS (PARTITION BY doc_id, pos ORDER BY cut)
+), tails AS (SELECT *, regexp_replace(piece, '[\s\x{{A0}}]+$', '') AS tail FROM pieces)
+SELECT doc_id, pos, (row_number() OVER (PARTITION BY doc_id, pos ORDER BY cut) - 1)::INTEGER AS ord, cut::INTEGER AS cut FROM tails
+WHERE NOT ({_rule_sql("tail", S.ABBREVIATED)} AND (NOT {_rule_sql("tail", S.MAY_END)} OR {_rule_sql("following", S.GOES_ON)}))
+  AND NOT {_rule_sql("tail", S.CASE)} AND NOT ({_rule_sql("tail", S.NUMBERED_PART)} AND {_rule_sql("following", S.ITS_NUMBER)})
+  AND NOT ({_rule_sql("tail", S.MONTH)} AND {_rule_sql("following", S.ITS_DATE)}) AND NOT ({_rule_sql("tail", S.LABEL)} AND {_rule_sql("following", S.NUMBERED)})
+"""
+
+
+@P.query(_CUTS)
 def sentence_cuts(spark, sf_dir):
-    """Sentence cuts of each line: how many, and the length of the first sentence without its abbreviations' stops.
-
-    A cut lies after closing punctuation and white space unless an abbreviation or initial ends there or the next word
-    goes on in lower case.
-    """
-    line = F.regexp_replace("line", _ABBREVIATIONS, "$1")
-    first = F.regexp_extract(line, r"^(.*?[.!?][\"'”’)\]]*)\s+[^\p{Ll}\s]", 1)
-    return lines(spark, sf_dir).select("doc_id", "pos", F.regexp_count(line, F.lit(_CUT)).alias("cuts"), F.length(first).alias("first_end"))
+    """Where each sentence of a line after the first begins, by break classes and the rules that join pieces."""
+    return S.sentence_cuts(lines(spark, sf_dir).withColumn("line", F.translate("line", S.ELEMENT, " ")), ["doc_id", "pos"], "line")
 
 
 @P.query(sql("SELECT doc_id, bool_and(length(line) >= 0) AND sum(length(line) + 1) - 1 = max(n) AS valid FROM (SELECT l.*, length(d.text) AS n FROM lines l JOIN documents d USING (doc_id)) GROUP BY doc_id"))
