@@ -11,44 +11,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Cells of the table of lengths that one piece of an alignment may fill.
-MOST_CELLS = 1 << 22
+#: Cells of the table of lengths that one piece of an alignment may fill; beyond, waves from both ends part it.
+MOST_CELLS = 1 << 10
+#: Members compared at once when a wave follows equal members.
+STRIDE = 32
 
 
-def longest_common(a: list, b: list, cells: int = MOST_CELLS) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence, always the same of several.
+class Common:
+    """A longest common subsequence of two lists, always the same of several: `pairs` of places, `steps`, `stopped`.
 
-    Equal ends are taken off first.  Where the rest's table of lengths would pass `cells`, a is halved and b parted where
-    the halves' lengths add up to most, so memory stays in proportion to a and b; the time is the product of what differs.
+    Equal ends are taken off.  What is left is parted where waves of furthest places, one edit more each time, meet from
+    both ends, so time goes with what differs and memory with the lists.  `steps` counts the places that waves reach and
+    the members they pass; past `work` of them the search ends, `stopped` says so, and the pairs found until then stand.
     """
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
-    pairs: list[tuple[int, int]] = []
-    todo = [(0, len(x), 0, len(y))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
-            pairs.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            pairs.append((a1, b1))
-        if a1 - a0 > 1 and (a1 - a0) * (b1 - b0) > cells:
-            middle = (a0 + a1) // 2
-            before, after = _lengths(x[a0:middle], y[b0:b1]), _lengths(x[middle:a1][::-1], y[b0:b1][::-1])[::-1]
-            cut = b0 + int(np.argmax(before + after))
-            todo += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
-        else:
-            pairs += [(a0 + i, b0 + j) for i, j in _by_table(x[a0:a1], y[b0:b1])]
-    return sorted(pairs)
 
+    def __init__(self, a: list, b: list, work: int | None = None, cells: int = MOST_CELLS):
+        codes: dict = {}
+        self.x, self.y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
+        self.work, self.steps, self.stopped = work, 0, False
+        self.pairs: list[tuple[int, int]] = []
+        todo = [(0, len(self.x), 0, len(self.y))]
+        while todo and not self.stopped:
+            a0, a1, b0, b1 = self._trimmed(*todo.pop())
+            if a0 == a1 or b0 == b1:
+                continue
+            if (a1 - a0) * (b1 - b0) <= cells:
+                self.steps += (a1 - a0) * (b1 - b0)
+                self.pairs += [(a0 + i, b0 + j) for i, j in _by_table(self.x[a0:a1], self.y[b0:b1])]
+            else:
+                met = self._meeting(self.x[a0:a1], self.y[b0:b1])
+                if met:
+                    todo += [(a0 + met[0], a1, b0 + met[1], b1), (a0, a0 + met[0], b0, b0 + met[1])]
+            self.stopped |= work is not None and self.steps > work
+        self.pairs.sort()
+
+    def _trimmed(self, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
+        """Without the equal members at both ends, which are paired."""
+        n = min(a1 - a0, b1 - b0)
+        front = int(np.argmin(np.append(self.x[a0 : a0 + n] == self.y[b0 : b0 + n], False)))
+        n -= front
+        back = int(np.argmin(np.append(self.x[a1 - n : a1][::-1] == self.y[b1 - n : b1][::-1], False))) if n else 0
+        self.steps += front + back
+        self.pairs += [(a0 + i, b0 + i) for i in range(front)] + [(a1 - 1 - i, b1 - 1 - i) for i in range(back)]
+        return a0 + front, a1 - back, b0 + front, b1 - back
+
+    def _meeting(self, x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+        """Where a path of fewest edits passes about its middle; None past the work."""
+        ahead, behind = _Wave(x, y), _Wave(x[::-1], y[::-1])
+        while True:
+            for wave, other in ((ahead, behind), (behind, ahead)):
+                self.steps += wave.advance()
+                if self.work is not None and self.steps > self.work:
+                    self.stopped = True
+                    return None
+                at = wave.meets(other)
+                if at is not None:
+                    return at if wave is ahead else (len(x) - at[0], len(y) - at[1])
+
+
+class _Wave:
+    """The furthest place in x on each diagonal (place in x less place in y) that so many edits reach."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        end = np.full(STRIDE, -1, np.int64)
+        self.n, self.m, self.edits = len(x), len(y), -1
+        self.x, self.y = np.append(x, end), np.append(y, end - 1)
+        self.far = np.full(self.n + self.m + 3, -1, np.int64)  # diagonal k at k + m + 1; -1 is not reached
+        self.now = np.zeros(0, np.int64)
+
+    def advance(self) -> int:
+        self.edits += 1
+        d = self.edits
+        low, high = max(-d, -self.m + (d + self.m) % 2), min(d, self.n - (d + self.n) % 2)
+        k = np.arange(low, high + 1, 2)
+        slot = k + self.m + 1
+        before, after = self.far[slot - 1], self.far[slot + 1]
+        i = np.maximum(np.where(before >= 0, before + 1, -1), after) if d else np.zeros(1, np.int64)
+        i[(i > self.n) | (i - k > self.m)] = -1
+        steps, going = len(k), np.flatnonzero(i >= 0)
+        span = np.arange(STRIDE)
+        while len(going):
+            at = i[going]
+            same = self.x[at[:, None] + span] == self.y[(at - k[going])[:, None] + span]
+            run = np.where(same.all(axis=1), STRIDE, same.argmin(axis=1))
+            i[going] += run
+            steps += int(run.sum())
+            going = going[run == STRIDE]
+        self.far[slot] = i
+        self.now = k
+        return steps
+
+    def meets(self, other: _Wave) -> tuple[int, int] | None:
+        """The first place of this wave that the one from the other end has passed."""
+        own, theirs = self.far[self.now + self.m + 1], other.far[self.n - self.m - self.now + self.m + 1]
+        hit = np.flatnonzero((own >= 0) & (theirs >= 0) & (own + theirs >= self.n))
+        if not len(hit):
+            return None
+        return int(own[hit[0]]), int(own[hit[0]] - self.now[hit[0]])
 
-def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of x and each beginning of y."""
-    row = np.zeros(len(y) + 1, np.int64)
-    for v in x:
-        row[1:] = np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]))
-    return row
+
+def longest_common(a: list, b: list, cells: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; see Common."""
+    return Common(a, b, cells=cells).pairs
 
 
 def _by_table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -69,20 +133,28 @@ def _by_table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-def aligned(a: DataFrame, b: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, a_pos, b_pos) of the members of two ordered streams that a longest common subsequence pairs, by key."""
+def aligned(a: DataFrame, b: DataFrame, key: str, order: str, value: str, work: int | None = None) -> DataFrame:
+    """(key, a_pos, b_pos) of the members of two ordered streams that a longest common subsequence pairs, by key.
+
+    With `work`, a bound on the steps of a key, there is `stopped` too: whether it was reached, in each row of the key, and
+    in a row without places if no pair was found by then.
+    """
 
     def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({key: np.zeros(0, object), "a_pos": np.zeros(0, int), "b_pos": np.zeros(0, int)})
         left, right = left.sort_values(order), right.sort_values(order)
-        pairs = longest_common(left[value].tolist(), right[value].tolist())
-        i, j = (np.array(p, int) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        return pd.DataFrame({key: np.full(len(i), left[key].iloc[0], object), "a_pos": left[order].to_numpy()[i], "b_pos": right[order].to_numpy()[j]})
+        found = Common(left[value].tolist(), right[value].tolist(), work)
+        i, j = np.array(found.pairs, int).reshape(-1, 2).T
+        rows = pd.DataFrame({key: np.full(len(i), left[key].iloc[0] if len(left) else None, object), "a_pos": left[order].to_numpy()[i], "b_pos": right[order].to_numpy()[j]})
+        if work is not None:
+            rows["stopped"] = found.stopped
+            if found.stopped and not len(rows):
+                rows = pd.DataFrame({key: [left[key].iloc[0]], "a_pos": [None], "b_pos": [None], "stopped": [True]})
+        return rows
 
     kind = dict(a.dtypes)
     a, b = a.select(key, order, value), b.select(*(F.col(c).alias(c) for c in (key, order, value)))  # of its own, also if both are of one table
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(align, f"{key} {kind[key]}, a_pos {kind[order]}, b_pos {kind[order]}")
+    more = ", stopped boolean" if work is not None else ""
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(align, f"{key} {kind[key]}, a_pos {kind[order]}, b_pos {kind[order]}{more}")
 
 
 class Breaker:

@@ -12,6 +12,8 @@ from doctide.sources.tables import epoch_ms, table
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
+#: Steps of the alignment of one page; what is left past them stays unpaired and is told by `stopped`.
+MOST_STEPS = 1 << 26
 
 
 @P.query()
@@ -47,9 +49,9 @@ def _streams(spark, sf_dir):
 
 @P.query()
 def lcs_align(spark, sf_dir):
-    """Two streams of items of each page aligned by a longest common subsequence."""
+    """Two streams of items of each page aligned by a longest common subsequence, and whether its bound of work stopped it."""
     a, b = _streams(spark, sf_dir)
-    return S.aligned(a, b, "page", "gid", "code")
+    return S.aligned(a, b, "page", "gid", "code", MOST_STEPS)
 
 
 @P.query()

@@ -4,7 +4,7 @@ import itertools
 import random
 
 from doctide.operators.batches import batched
-from doctide.operators.sequences import Breaker, aligned, cut_lines, gaps, longest_common, merge_boxes
+from doctide.operators.sequences import Breaker, Common, aligned, cut_lines, gaps, longest_common, merge_boxes
 from doctide.plans import sequences as plans
 from doctide.sources.html import html_nodes
 
@@ -85,3 +85,41 @@ def test_turns_are_aligned_word_by_word(spark, tmp_path):
     turns = [(1, 0, "u", "a b c d"), (1, 1, "a", "b x d"), (1, 2, "u", None), (1, 3, "a", "b"), (2, 0, "u", "b")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted(map(tuple, plans.doc_align(spark, str(tmp_path)).collect())) == [("1/1", 2)]
+
+
+def test_waves_meet_on_a_shortest_path():
+    """As long as the table of lengths says, for every size and alphabet, without the table for small pieces."""
+    r = random.Random(5)
+    for _ in range(1_000):
+        k = r.randint(1, 5)
+        a, b = ([r.randrange(k) for _ in range(r.randrange(40))] for _ in range(2))
+        pairs = Common(a, b, cells=0).pairs
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+        assert pairs == Common(a, b, cells=0).pairs
+
+
+def test_alignment_takes_time_with_the_difference():
+    """200,000 members with 40 edits take a few steps a member; what differs altogether stops at its bound."""
+    r = random.Random(6)
+    a = [r.randrange(1_000) for _ in range(200_000)]
+    b = list(a)
+    for _ in range(20):
+        b[r.randrange(len(b))] = -1
+        del b[r.randrange(len(b))]
+    found = Common(a, b)
+    assert len(found.pairs) == len(a) - 40 and found.steps < 10 * len(a) and not found.stopped
+    bound = Common([i % 7 for i in range(400)], [3 * i % 11 for i in range(400)], 10)
+    assert bound.stopped and len(bound.pairs) < 400
+    apart = Common(list(range(50_000)), list(range(50_000, 100_000)), 100_000)
+    assert apart.stopped and apart.steps < 110_000
+
+
+def test_stopped_is_a_column(spark):
+    a = spark.createDataFrame([(k, i, i % 7) for k in (1, 2) for i in range(200 if k == 1 else 5)], "k int, pos int, v int")
+    b = spark.createDataFrame([(k, i, 3 * i % 11) for k in (1, 2) for i in range(200 if k == 1 else 5)], "k int, pos int, v int")
+    got = aligned(a, b, "k", "pos", "v", 100).collect()
+    assert {r["k"] for r in got if r["stopped"]} == {1} and {r["k"] for r in got if not r["stopped"]} == {2}
