@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doctide.operators import sequences as S
+from doctide.operators.blocks import Rule, extracted
 from doctide.plans.layout import items
 from doctide.plans.register import Plans
 from doctide.sources.html import html_nodes as nodes
@@ -30,16 +31,18 @@ def html_text(spark, sf_dir):
     return n.where("tag = '#text'").join(parents, ["page_id", "parent"], "left_anti").select("page_id", "pos", "text")
 
 
+#: How the given pages are read: what is skipped, what makes a block, and what a block holds whole.
+PAGE_RULES = [
+    Rule("script", "skip", tag="script"), Rule("style", "skip", tag="style"), Rule("table", "table", tag="table"), Rule("title", "unit", tag="title"), Rule("heading", "unit", tag="h1"),
+    Rule("paragraph", "unit", tag="p"), Rule("item", "unit", tag="li"), Rule("footer", "unit", tag="footer"), Rule("note", "unit", tag="div", cls="ad", yields=True),
+    Rule("code", "protect", tag="pre"), Rule("picture", "protect", tag="svg", descend=True, closed=True),
+]
+
+
 @P.query()
 def extract_blocks(spark, sf_dir):
-    """Blocks of text by the nearest element that makes one, in document order: their tag and whole own text."""
-    n = nodes(table(spark, sf_dir, "pages"))
-    block = n.where(F.col("tag").isin("p", "h1", "li", "title", "footer")).select("page_id", F.col("pos").alias("block"), "end", "tag")
-    text = n.where("tag = '#text'").select("page_id", "pos", "text")
-    over = text.join(block, "page_id").where("pos > block and pos < end")
-    inner = over.groupBy("page_id", "pos", "text").agg(F.max(F.struct("block", "tag")).alias("b"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "")
-    return inner.groupBy("page_id", "b.block", "b.tag").agg(whole.alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    """Blocks of each page in document order, with what each rule skips, closes or gives way."""
+    return extracted(nodes(table(spark, sf_dir, "pages")), PAGE_RULES)
 
 
 def _streams(spark, sf_dir):
