@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from doctide.functions.text import escape_text, token_kind
 from doctide.operators.hyphens import break_points, syllable_patterns
+from doctide.operators.mentions import mentions
 from doctide.operators.ranges import islands
 from doctide.plans.layout import ITEMS, items
 from doctide.plans.register import Plans
@@ -78,12 +79,25 @@ def name_test(spark, sf_dir):
     return both.groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.bool_and(ok).alias("name")).where("n <= 3").select("doc_id", "pos", "name")
 
 
-@P.query(f"WITH {WORDS}, d AS (SELECT DISTINCT word FROM words WHERE pos = 0 AND ord = 0 AND regexp_matches(word, '^\\p{{Lu}}\\p{{Ll}}{{5,}}$')) SELECT w.doc_id, w.word AS name, count(*) AS n FROM words w JOIN d USING (word) WHERE w.ord > 0 GROUP BY ALL")
+_NAME = r"^(\p{Lu}\p{Ll}{3,}(?: \p{L}+){0,2})\.?$"
+_NAMES_SQL = rf"""
+WITH {LINES}, names AS (SELECT DISTINCT regexp_extract(line, '{_NAME}', 1) AS name FROM lines WHERE pos = 0 AND regexp_matches(line, '{_NAME}')),
+t AS (SELECT doc_id, pos, regexp_replace(line, '[\s\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', ' ', 'g') AS s FROM lines WHERE pos > 0),
+n AS (SELECT doc_id, pos, s, name, unnest(range(length(s) - length(name) + 1)) AS k FROM t JOIN names ON contains(s, name)),
+h AS (SELECT doc_id, pos, k, length(name) AS n, name FROM n WHERE substr(s, k + 1, length(name)) = name
+  AND NOT regexp_matches(substr(s, k, CASE WHEN k = 0 THEN 0 ELSE 1 END), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(s, k + length(name) + 1, 1), '[\p{{L}}\p{{N}}]')),
+g AS (SELECT doc_id, pos, list_reduce(list([{{'name': name, 'k': k, 'n': n}}] ORDER BY n DESC, k, name),
+  lambda taken, x: CASE WHEN len(list_filter(taken, lambda y: y.k < x[1].k + x[1].n AND x[1].k < y.k + y.n)) = 0 THEN taken || x ELSE taken END) AS taken FROM h GROUP BY ALL)
+SELECT doc_id, pos, t.name, t.k::INTEGER AS at, t.n::INTEGER AS n FROM (SELECT doc_id, pos, unnest(taken) AS t FROM g)
+"""
+
+
+@P.query(_NAMES_SQL)
 def name_mentions(spark, sf_dir):
-    """Names that open a document, where they occur within lines of any."""
-    w = words(spark, sf_dir)
-    d = w.where((F.col("pos") == 0) & (F.col("ord") == 0) & F.col("word").rlike(r"^\p{Lu}\p{Ll}{5,}$")).select("word").distinct()
-    return w.where("ord > 0").join(d, "word").groupBy("doc_id", F.col("word").alias("name")).agg(F.count("*").alias("n"))
+    """Names of up to three words that are a document's first line, where they occur in later lines of any, the longest first."""
+    line = lines(spark, sf_dir)
+    first = line.where(F.col("pos") == 0).select(F.regexp_extract("line", _NAME, 1).alias("name")).where("name <> ''").distinct()
+    return mentions(line.where("pos > 0").select("doc_id", "pos", "line"), ["doc_id", "pos"], "line", first)
 
 
 @P.query("SELECT doc_id, replace(translate(replace(text, concat(chr(10), chr(10)), concat(chr(1), ' ')), concat(chr(10), chr(9), chr(13)), '   '), chr(1), chr(10)) AS text FROM documents")
