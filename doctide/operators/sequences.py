@@ -5,11 +5,13 @@ Each is a grouped job: Spark deals the groups over the cluster and these functio
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 #: Cells of the table of lengths that one piece of an alignment may fill; beyond, waves from both ends part it.
 MOST_CELLS = 1 << 10
@@ -238,10 +240,41 @@ def cut_lines(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.select(key, order, "y", "size").groupBy(key).applyInPandas(cut, f"{key} {kind[key]}, {order} {kind[order]}, line long")
 
 
+#: What may end a line in the middle of a word.
+HYPHENS = "-\u2010\u00ad"
+
+
+@F.pandas_udf(T.StringType())
+def decomposed(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD) without white space."""
+    return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKD", t).split()))
+
+
+def hunks(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, hunk, a_n, b_n, class): what stands between neighbouring pairs of an alignment, and at both ends.
+
+    a and b: (key, order, unit, line_end); pairs: (key, a_pos, b_pos).  Both sides of a hunk are spelled out, decomposed and
+    without white space.  hyphen: alike without hyphens that end a line; aonly, bonly: the other side is empty; font: alike
+    with them; char: anything else.  The number of pairs before a member tells its hunk, so each stream is swept once; keys
+    in neither stream have none.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def side(stream: DataFrame, at: str, name: str) -> DataFrame:
+        own = stream.join(pairs.select(key, F.col(at).alias(order), F.lit(1).alias("_met")), [key, order], "left")
+        apart = own.withColumn("hunk", F.coalesce(F.sum("_met").over(w), F.lit(0))).where("_met is null")
+        kept = F.when(F.col("unit").isin(*HYPHENS) & F.col("line_end"), "").otherwise(F.col("unit"))
+        spelled = lambda unit: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, unit.alias("u")))), lambda x: x["u"]), "")
+        return apart.groupBy(key, "hunk").agg(F.count("*").alias(f"{name}_n"), spelled(kept).alias(f"_{name}"), spelled(F.col("unit")).alias(f"_{name}_all"))
+
+    both = side(a, "a_pos", "a").join(side(b, "b_pos", "b"), [key, "hunk"], "full").na.fill(0, ["a_n", "b_n"]).na.fill("", ["_a", "_b", "_a_all", "_b_all"])
+    plain = both.select(key, "hunk", "a_n", "b_n", *(decomposed(c).alias(c) for c in ("_a", "_b", "_a_all", "_b_all")))
+    kind = F.when(F.col("_a") == F.col("_b"), "hyphen").when(F.col("b_n") == 0, "aonly").when(F.col("a_n") == 0, "bonly").when(F.col("_a_all") == F.col("_b_all"), "font").otherwise("char")
+    return plain.select(key, "hunk", "a_n", "b_n", kind.alias("class"))
+
+
 def gaps(pairs: DataFrame, key: str) -> DataFrame:
     """(key, a_from, a_to, b_from, b_to): what lies unmatched between neighbouring pairs of an alignment."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("a_pos")
     before = pairs.withColumn("a_from", F.lag("a_pos").over(w) + 1).withColumn("b_from", F.lag("b_pos").over(w) + 1)
     found = before.where("a_from is not null and (a_from < a_pos or b_from < b_pos)")

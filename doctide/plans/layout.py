@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doctide.operators.ranges import islands, merged_stretches, points_in_boxes
+from doctide.operators.ties import tied
 from doctide.plans.register import Plans
 from doctide.sources.tables import table
 
@@ -172,11 +173,28 @@ def clamped_median(spark, sf_dir):
     return g.where("n >= 2").select("page", F.least(F.greatest("m", F.lit(24.0)), F.lit(27.0)).alias("lead"))
 
 
-@P.query(f"{WITH} SELECT gid, greatest(min(x1 - x0) OVER (PARTITION BY unit), CAST(size AS DOUBLE)) AS cap FROM items")
+_TIES = f"""WITH RECURSIVE {ITEMS}, t AS (SELECT 'unit ' || unit AS tie, gid FROM items UNION ALL SELECT 'row ' || page || ' ' || y::BIGINT, gid FROM items),
+ties AS MATERIALIZED (SELECT tie, gid FROM t QUALIFY count(*) OVER (PARTITION BY tie) > 1),
+m AS MATERIALIZED (SELECT gid, x1 - x0 AS own, size::DOUBLE AS floor_, page AS first_ FROM items),
+r AS (
+  SELECT gid, own AS scale, 0 AS round FROM m
+  UNION ALL
+  SELECT gid, min(least(scale, cap)), round + 1 FROM (
+    SELECT gid, scale, round, CASE WHEN tie IS NULL THEN scale ELSE greatest(floor_, least(min(scale) OVER w, min(CASE WHEN later THEN own END) OVER (PARTITION BY tie, round ORDER BY first_ RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))) END AS cap
+    FROM (SELECT r.*, own, floor_, first_, tie, true AS later FROM r JOIN m USING (gid) LEFT JOIN ties USING (gid)) WINDOW w AS (PARTITION BY tie, round ORDER BY first_ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  ) WHERE round < 40 GROUP BY gid, round
+) SELECT gid, scale AS cap FROM r WHERE round = 40"""
+
+
+@P.query(_TIES)
 def tie_caps(spark, sf_dir):
-    """Sizes tied within a unit: the smallest of all, not below each member's own floor."""
-    w = Window.partitionBy("unit")
-    return items(spark, sf_dir).select("gid", F.greatest(F.min(F.col("x1") - F.col("x0")).over(w), F.col("size").cast("double")).alias("cap"))
+    """Widths of items tied within their unit and within their row of a page, lowered until nothing changes."""
+    i = items(spark, sf_dir)
+    m = i.select(F.col("gid").alias("member"), (F.col("x1") - F.col("x0")).alias("own"), F.col("size").cast("double").alias("floor"), F.col("page").alias("first"))
+    unit = F.concat(F.lit("unit "), F.col("unit").cast("string"))
+    row = F.concat_ws(" ", F.lit("row"), F.col("page").cast("string"), F.col("y").cast("long").cast("string"))
+    t = i.select(F.explode(F.array(unit, row)).alias("tie"), F.col("gid").alias("member"))
+    return tied(m, t).select(F.col("member").alias("gid"), F.col("scale").alias("cap"))
 
 
 @P.query(f"{WITH} SELECT face, style, count(*) AS n FROM items WHERE x1 > 600 OR y > 790 GROUP BY ALL")

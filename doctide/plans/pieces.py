@@ -226,15 +226,6 @@ def glyph_runs(spark, sf_dir):
     return islands(marked, ["page", "y"], ["x0", "gid"], F.col("_b")).groupBy("page", "y", "run").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("_b"), F.col("_sp")).otherwise(0)).alias("spaces"))
 
 
-@P.query(f"WITH {ITEMS}, m AS (SELECT page, gid, face, style, sum(CASE WHEN face = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY gid) AS hunk FROM items) SELECT page, CAST(hunk AS BIGINT) AS hunk, count(*) AS n, CASE WHEN count(*) = 1 THEN 'char' WHEN bool_and(style = 'F') THEN 'aonly' WHEN bool_and(style = 'O') THEN 'bonly' ELSE 'font' END AS class FROM m WHERE face <> 'N' GROUP BY ALL")
-def hunk_class(spark, sf_dir):
-    """What lies between consecutive matches, by kind."""
-    w = Window.partitionBy("page").orderBy("gid")
-    m = items(spark, sf_dir).withColumn("hunk", F.sum(F.when(F.col("face") == "N", 1).otherwise(0)).over(w)).where("face <> 'N'")
-    cls = F.when(F.count("*") == 1, "char").when(F.bool_and(F.col("style") == "F"), "aonly").when(F.bool_and(F.col("style") == "O"), "bonly").otherwise("font")
-    return m.groupBy("page", "hunk").agg(F.count("*").alias("n"), cls.alias("class"))
-
-
 @P.query(f"WITH {ITEMS}, g AS (SELECT page, x1, lag(x1) OVER (PARTITION BY page ORDER BY x1 DESC, gid) AS p FROM items), e AS (SELECT page, max(x1) AS right_ FROM g WHERE p - x1 <= 0.2 GROUP BY page) SELECT page, min(x0) AS left_, any_value(right_) AS right_ FROM items LEFT JOIN e USING (page) GROUP BY page")
 def column_edges(spark, sf_dir):
     """Leftmost start of each page, and the furthest end that two of its lines share."""

@@ -74,6 +74,19 @@ def doc_align(spark, sf_dir):
     return S.aligned(a, b, "key", "pos", "word").groupBy("key").agg(F.count("*").alias("matched"))
 
 
+@P.query()
+def hunk_class(spark, sf_dir):
+    """What an alignment of a turn with the turn before leaves between matched words, by how both sides are spelled."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    # a hyphen at a line's end is a unit of its own
+    units = F.regexp_extract_all("text", F.lit(r"[-\u2010\u00ad](?=\n)|(?:(?![-\u2010\u00ad]\n)\S)+"), F.lit(0))
+    w = c.select("conv_id", "turn", F.posexplode(units).alias("pos", "unit")).withColumn("line_end", F.col("unit").isin(*S.HYPHENS))
+    beside = lambda n: w.join(c.select("conv_id", (F.col("turn") + n).alias("turn")), ["conv_id", "turn"], "left_semi")
+    a, b = beside(1).select(F.concat_ws("/", "conv_id", "turn").alias("key"), "pos", "unit", "line_end"), beside(-1)
+    b = b.select(F.concat_ws("/", "conv_id", (F.col("turn") + 1).alias("turn")).alias("key"), "pos", "unit", "line_end")
+    return S.hunks(S.aligned(a, b, "key", "pos", "unit"), a, b, "key", "pos")
+
+
 @P.query()
 def merge_boxes(spark, sf_dir):
     """Lines of each page merged into boxes."""

@@ -4,7 +4,7 @@ import itertools
 import random
 
 from doctide.operators.batches import batched
-from doctide.operators.sequences import Breaker, Common, aligned, cut_lines, gaps, longest_common, merge_boxes
+from doctide.operators.sequences import Breaker, Common, aligned, cut_lines, gaps, hunks, longest_common, merge_boxes
 from doctide.plans import sequences as plans
 from doctide.sources.html import html_nodes
 
@@ -123,3 +123,24 @@ def test_stopped_is_a_column(spark):
     b = spark.createDataFrame([(k, i, 3 * i % 11) for k in (1, 2) for i in range(200 if k == 1 else 5)], "k int, pos int, v int")
     got = aligned(a, b, "k", "pos", "v", 100).collect()
     assert {r["k"] for r in got if r["stopped"]} == {1} and {r["k"] for r in got if not r["stopped"]} == {2}
+
+
+def test_hunks_by_spelling(spark):
+    """All classes: pairs are on equal codes, and what lies between is spelled."""
+
+    def stream(rows):
+        return spark.createDataFrame([(k, i, u, c, e) for k, text in rows for i, (u, c, e) in enumerate(text)], "k int, pos int, unit string, code string, line_end boolean")
+
+    glyphs = lambda s, shift="": [(u, u + shift, False) for u in s]
+    a = stream([
+        (1, glyphs("para") + [("-", "-", True)] + glyphs("graph")), (2, glyphs("the brown fox")), (3, glyphs("the fox")), (4, glyphs("a") + glyphs("ﬁ", "1") + [("-", "-", True)] + glyphs("z")),
+        (5, glyphs("xaz")), (6, glyphs("only")), (8, glyphs("oné") + glyphs("!")),
+    ])
+    b = stream([
+        (1, glyphs("paragraph")), (2, glyphs("the fox")), (3, glyphs("the brown fox")), (4, glyphs("a") + glyphs("fi", "2") + [("-", "-2", False)] + glyphs("z")),
+        (5, glyphs("xbz")), (7, glyphs("other")), (8, glyphs("on") + glyphs("e\u0301", "2") + glyphs("!")),
+    ])
+    pairs = aligned(a, b, "k", "pos", "code")
+    got = sorted(map(tuple, hunks(pairs, a, b, "k", "pos").collect()))
+    assert [(k, n, m, c) for k, _, n, m, c in got] == [(1, 1, 0, "hyphen"), (2, 6, 0, "aonly"), (3, 0, 6, "bonly"), (4, 2, 3, "font"), (5, 1, 1, "char"), (6, 4, 0, "aonly"), (7, 0, 5, "bonly"), (8, 1, 2, "hyphen")]
+    assert {h for k, h, *_ in got if k in (6, 7)} == {0}
