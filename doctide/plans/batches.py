@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from doctide.functions import nested as N
 from doctide.operators.batches import batched, debounced, first_fit
 from doctide.operators.walks import reached
 from doctide.plans.layout import ITEMS, items
@@ -147,10 +148,27 @@ def can_draw(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", F.col("line").rlike(r"^[\x20-\x7EÀ-ſ]*$").alias("can"))
 
 
-@P.query(f"WITH {LINES} " + r"SELECT doc_id, pos, regexp_extract(line, '([^\p{L}\p{N}\s]*)\s*$', 1) AS mark FROM lines")
+def _held_sql(t: str, from_end: bool) -> str:
+    """Whether the bracket at an edge of t has its pair: some stretch from that edge holds as many of both."""
+    part = f"substr({t}, k)" if from_end else f"left({t}, k)"
+    edge = f"right({t}, 1)" if from_end else f"left({t}, 1)"
+    equal = lambda a, b: f"({edge} = '{b if from_end else a}' AND len(list_filter(range(1, length({t}) + 1), lambda k: length(replace({part}, '{a}', '')) = length(replace({part}, '{b}', '')) AND contains({part}, '{a}'))) > 0)"
+    return "(" + " OR ".join(equal(a, b) for a, b in N.PAIRS) + ")"
+
+
+_EDGE_SQL = rf"""WITH RECURSIVE {WORDS}, d AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+e AS (SELECT word, word AS t, 0 AS step, true AS more FROM d UNION ALL
+  SELECT word, CASE WHEN m THEN left(t, length(t) - 1) ELSE t END, step + 1, m FROM (SELECT *, t <> '' AND (regexp_matches(right(t, 1), '[.,;:!?''"`\p{{Pf}}]') OR regexp_matches(right(t, 1), '\p{{Pe}}') AND NOT {_held_sql("t", True)}) AS m FROM e WHERE more)),
+s AS (SELECT word, min_by(t, length(t)) AS t, 0 AS step, true AS more FROM e GROUP BY word UNION ALL
+  SELECT word, CASE WHEN m THEN substr(t, 2) ELSE t END, step + 1, m FROM (SELECT *, t <> '' AND (regexp_matches(left(t, 1), '[''"`\p{{Pi}}]') OR regexp_matches(left(t, 1), '\p{{Ps}}') AND NOT {_held_sql("t", False)}) AS m FROM s WHERE more))
+SELECT word, n, min_by(t, length(t)) AS bare FROM s JOIN d USING (word) GROUP BY word, n"""
+
+
+@P.query(_EDGE_SQL)
 def edge_mark(spark, sf_dir):
-    """Punctuation at the end of each line."""
-    return lines(spark, sf_dir).select("doc_id", "pos", F.regexp_extract("line", r"([^\p{L}\p{N}\s]*)\s*$", 1).alias("mark"))
+    """Each distinct word without the marks at its edges, how often it stands; brackets with their pair inside stay."""
+    w = words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    return w.select("word", "n", N.bare(F.col("word")).alias("bare"))
 
 
 @P.query("SELECT user_id % 20 AS site, event_type AS doc, count(*) AS n, min_by(props, event_id) AS reason FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doctide.functions import nested as N
 from doctide.functions.text import escape_text, token_kind
 from doctide.operators.hyphens import break_points, syllable_patterns
 from doctide.operators.mentions import mentions
@@ -140,11 +141,16 @@ def split_punct(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split(apart, "\x01")).alias("part", "run"))
 
 
-@P.query(f"WITH {LINES} " + r"SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '[{}$\\]', '', 'g')) AS plain FROM lines")
+def _swapped(column: str, rules) -> str:
+    for pattern, new in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return column
+
+
+@P.query(f"WITH {LINES} SELECT doc_id, pos, trim({_swapped('t', N.TEX_AFTER)}) AS plain FROM (SELECT doc_id, pos, list_reduce(list_prepend({_swapped('line', N.TEX_BEFORE)}, list_transform(string_split(regexp_replace(line, '[^{{]', '', 'g'), ''), lambda c: c)), lambda t, c: {_swapped('t', N.TEX_INNER)}) AS t FROM lines)")
 def tex_plain(spark, sf_dir):
-    """Commands of one argument unwrapped, braces and dollars dropped."""
-    bare = F.regexp_replace(F.regexp_replace("line", r"\\[a-zA-Z]+\{([^}]*)\}", "$1"), r"[{}$\\]", "")
-    return lines(spark, sf_dir).select("doc_id", "pos", F.trim(bare).alias("plain"))
+    """Each line read as TeX: groups from the innermost out, scripts and fractions spelled, commands dropped."""
+    return lines(spark, sf_dir).select("doc_id", "pos", N.tex_plain(F.col("line")).alias("plain"))
 
 
 _ESC = "replace(replace(replace(replace(token, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"

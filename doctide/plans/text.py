@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from doctide.functions import nested as N
 from doctide.functions import text as T
 from doctide.operators import sentences as S
 from doctide.plans.register import Plans
@@ -243,14 +244,41 @@ def tokenize_wire(spark, sf_dir):
     return tokens(spark, sf_dir).select("page_id", "ord", kind.alias("kind"), F.lower(F.regexp_extract("token", "^</?([A-Za-z0-9]+)", 1)).alias("tag"))
 
 
-@P.query(f"""WITH {_TOKENS}, k AS (SELECT page_id, ord, lower(regexp_extract(token, '^</?([A-Za-z0-9]+)', 1)) AS tag, CASE WHEN token LIKE '</%' THEN -1 ELSE 1 END AS d FROM tokens WHERE token LIKE '<%'),
-             b AS (SELECT page_id, tag, sum(d) AS left_open, count(*) AS n FROM k WHERE tag IN ('a', 'b', 'p', 'li', 'div') GROUP BY ALL)
-             SELECT page_id, tag, n, CASE WHEN left_open = 0 THEN 'ok' WHEN left_open > 0 THEN 'missing' ELSE 'unknown' END AS why FROM b""")
+_WIRE = f"""WITH {_TOKENS}, k AS (SELECT page_id, ord, lower(regexp_extract(token, '^</?([A-Za-z0-9]+)', 1)) AS tag, token LIKE '</%' AS closes FROM tokens WHERE token LIKE '<%'),
+t AS (SELECT page_id, ord, CASE WHEN closes THEN 'close' WHEN tag = 'br' THEN 'void' ELSE 'open' END AS kind, CASE WHEN NOT closes THEN count(*) FILTER (WHERE NOT closes) OVER (PARTITION BY page_id ORDER BY ord) END AS id
+  FROM k WHERE tag IN ('a', 'b', 'p', 'li', 'div', 'br')),
+p AS (SELECT page_id, coalesce(lag(page_id) OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id), page_id) AS source FROM pages),
+e AS (SELECT page_id, source, t.* EXCLUDE page_id FROM p JOIN t USING (page_id)),
+f AS (SELECT e.page_id, e.source, e.ord, e.kind, e.id, s.kind AS wanted, coalesce(sum(CASE e.kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY e.page_id ORDER BY e.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
+  FROM e LEFT JOIN t s ON s.page_id = e.source AND s.id = e.id),
+g AS (SELECT *, CASE WHEN kind = 'close' THEN CASE WHEN depth <= 0 THEN 'unbalanced' END WHEN wanted IS NULL THEN 'unknown' WHEN kind <> wanted THEN 'kind-mismatch' END AS why FROM f),
+first_ AS (SELECT page_id, min_by(why, ord) AS why FROM g WHERE why IS NOT NULL GROUP BY page_id),
+ends AS (SELECT page_id, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) AS depth, max(id) AS ids FROM e GROUP BY page_id)
+SELECT p.page_id, p.source, coalesce(first_.why, CASE WHEN ends.depth > 0 THEN 'unbalanced' WHEN coalesce(ends.ids, 0) < coalesce(s.ids, 0) THEN 'missing' ELSE 'ok' END) AS why
+FROM p LEFT JOIN first_ USING (page_id) LEFT JOIN ends USING (page_id) LEFT JOIN (SELECT page_id AS source, ids FROM ends) s USING (source)"""
+
+
+@P.query(_WIRE)
 def validate_wire(spark, sf_dir):
-    """Placeholders of each kind: balanced, missing a close, or closed without an open."""
-    t = tokens(spark, sf_dir).where(F.col("token").startswith("<")).withColumn("tag", F.lower(F.regexp_extract("token", "^</?([A-Za-z0-9]+)", 1)))
-    b = t.where(F.col("tag").isin("a", "b", "p", "li", "div")).groupBy("page_id", "tag").agg(F.sum(F.when(F.col("token").startswith("</"), -1).otherwise(1)).alias("d"), F.count("*").alias("n"))
-    return b.select("page_id", "tag", "n", F.when(F.col("d") == 0, "ok").when(F.col("d") > 0, "missing").otherwise("unknown").alias("why"))
+    """The first fault of each page's placeholders, read as a reply to the page before it of its site.
+
+    Elements are numbered in order; br is void, the others come in pairs.  A site's first page is held against itself.
+    """
+    tags = F.transform(F.regexp_extract_all("html", F.lit("<[^>]+>"), F.lit(0)), lambda t: F.struct(F.lower(F.regexp_extract(t, "^</?([A-Za-z0-9]+)", 1)).alias("tag"), t.startswith("</").alias("closes")))
+    kept = F.filter(tags, lambda t: t["tag"].isin("a", "b", "p", "li", "div", "br"))
+    kind = lambda t: F.when(t["closes"], "close").when(t["tag"] == "br", "void").otherwise("open")
+    numbered = F.aggregate(
+        F.transform(kept, kind), F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<kind:string,id:int>>").alias("all")),
+        lambda s, k: F.struct((s["n"] + (k != "close").cast("int")).alias("n"), F.array_append(s["all"], F.struct(k.alias("kind"), F.when(k != "close", s["n"] + 1).alias("id"))).alias("all")),
+    )["all"]
+    p = table(spark, sf_dir, "pages")
+    wires = p.select("page_id", F.coalesce(numbered, F.array().cast("array<struct<kind:string,id:int>>")).alias("tokens"))
+    before = F.lag("page_id").over(Window.partitionBy(F.split_part("url", F.lit("/"), F.lit(3))).orderBy("page_id"))
+    asked = p.select("page_id", F.coalesce(before, "page_id").alias("source"))
+    ids = lambda keep: F.transform(F.filter("tokens", keep), lambda t: t["id"])
+    slots = wires.select(F.col("page_id").alias("source"), ids(lambda t: t["kind"] != "close").alias("slots"), ids(lambda t: t["kind"] == "open").alias("paired"))
+    met = asked.join(wires, "page_id").join(slots, "source")
+    return met.select("page_id", "source", F.coalesce(N.integrity(F.col("tokens"), F.col("slots"), F.col("paired"))["why"], F.lit("ok")).alias("why"))
 
 
 @P.query(f"WITH {_TOKENS} SELECT page_id, string_agg(CASE WHEN token LIKE '<%' THEN chr(65532) ELSE token END, '' ORDER BY ord) AS projection FROM tokens GROUP BY page_id")
