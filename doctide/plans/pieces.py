@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doctide.functions import nested as N
 from doctide.functions.text import escape_text, token_kind
+from doctide.operators.glyphs import compositions, joined_accents, placed_cells
 from doctide.operators.hyphens import break_points, syllable_patterns
 from doctide.operators.mentions import mentions
 from doctide.operators.ranges import islands
@@ -271,17 +268,33 @@ def table_grid(spark, sf_dir):
     return cells.select("doc_id", "row", (F.col("col") + 1).alias("col"), "cell", (F.col("row") == 1).alias("header"))
 
 
-@F.pandas_udf(T.StringType())
-def composed(s: pd.Series) -> pd.Series:
-    """Accents joined to their letters (NFC)."""
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-@P.query("SELECT doc_id, length(nfc_normalize(text)) AS n, sha256(nfc_normalize(text)) AS digest FROM documents")
+@P.query(f"WITH {LINES} SELECT doc_id, pos, line AS text FROM lines WHERE line <> ''")
 def join_accents(spark, sf_dir):
-    """Texts with every accent joined to its letter."""
-    d = table(spark, sf_dir, "documents").select("doc_id", composed("text").alias("text"))
-    return d.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+    """Each line set as glyphs, its accents apart from their letters as fonts set them, and read back by where glyphs lie.
+
+    Every other sign advances by itself, so accents that stand alone in a text stay alone.
+    """
+    signs = lines(spark, sf_dir).where("line <> ''").select("doc_id", "pos", F.posexplode(F.split("line", "")).alias("at", "sign"))
+    # the first spacing form of each accent, over a dotless letter where there is one
+    forms = compositions(spark).groupBy("composed").agg(F.max_by(F.struct("letter", "accent"), F.struct("letter", "accent")).alias("form"))
+    met = signs.join(F.broadcast(forms), F.col("sign") == F.col("composed"), "left")
+    upper = F.col("form.letter").rlike(r"^\p{Lu}$").cast("double") * 2
+    glyph = lambda ord_, u, y: F.struct(ord_.alias("ord"), u.alias("u"), F.lit("f").alias("font"), F.lit(10.0).alias("size"), (F.col("at") * 5.0).alias("x0"), (F.col("at") * 5.0 + 5).alias("x1"), y.alias("y"), (y + 7).alias("top"))
+    pair = F.array(glyph(F.col("at") * 2, F.col("form.accent"), upper), glyph(F.col("at") * 2 + 1, F.col("form.letter"), F.lit(0.0)))
+    one = F.array(glyph(F.col("at") * 2, F.col("sign"), F.lit(0.0)))
+    glyphs = met.select("doc_id", "pos", F.explode(F.when(F.col("form").isNotNull(), pair).otherwise(one)).alias("g")).select("doc_id", "pos", "g.*")
+    read = joined_accents(glyphs, ["doc_id", "pos"]).groupBy("doc_id", "pos")
+    return read.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@P.query()
+def span_grid(spark, sf_dir):
+    """Items of each page as cells of a table, a row for each height: each takes as many rows and columns as its size and place give."""
+    i = items(spark, sf_dir)
+    row = F.dense_rank().over(Window.partitionBy("page").orderBy("y")) - 1
+    ord_ = F.row_number().over(Window.partitionBy("page", "y").orderBy("x0", "gid")) - 1
+    cells = i.select("page", "gid", row.alias("row"), ord_.alias("ord"), (F.col("size") - 8).alias("rowspan"), F.ceil((F.col("x1") - F.col("x0")) / 20).cast("int").alias("colspan"))
+    return placed_cells(cells, "page")
 
 
 #: A sentence's end, with what closes after it; how far a cut may move to one.
