@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctide.functions import nested as N
 from doctide.functions import text as T
+from doctide.operators import acceptance as A
 from doctide.operators import sentences as S
 from doctide.plans.register import Plans
 from doctide.sources.tables import LINES, WORDS, lines, table, words
@@ -398,25 +399,49 @@ def sentence_pairs(spark, sf_dir):
     return c.select("conv_id", "turn", "role", F.col("text").alias("source"), "reply", F.length("text").cast("long").alias("n"), F.length("reply").cast("long").alias("m"))
 
 
-#: Characters that no reply may bring along: controls but for white space, and the mark that stands for an element.
-_FOREIGN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFC}]"
-_ACCEPT = rf"""CASE WHEN regexp_matches(nxt, '{_FOREIGN}') THEN 'foreign' WHEN abs(len(regexp_extract_all(text, '\n')) - len(regexp_extract_all(nxt, '\n'))) > 3 THEN 'spans'
- WHEN regexp_matches(text, '\p{{L}}') AND NOT regexp_matches(nxt, '[\p{{L}}\p{{N}}]') THEN 'empty' WHEN length(text) >= 200 AND 5 * length(nxt) < length(text) THEN 'short' END"""
+_ACCEPT = rf"""
+WITH c AS (SELECT conv_id, turn, text, nxt FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT conv_id, turn, side, unnest(range(len(ls))) AS line, unnest(ls) AS s FROM (SELECT conv_id, turn, 'unit' AS side, string_split(text, chr(10)) AS ls FROM c UNION ALL SELECT conv_id, turn, 'reply', string_split(nxt, chr(10)) FROM c)),
+q AS (SELECT conv_id, turn, side, line, unnest(range(len(ps))) AS k, unnest(ps) AS s FROM (SELECT *, regexp_extract_all(s, '[0-9]+|[^0-9]+') AS ps FROM l)),
+el AS (SELECT *, regexp_matches(s, '^[0-9]') AS el FROM q),
+first_ AS (SELECT conv_id, turn, s AS id, min(row(line, k)) AS at_ FROM el WHERE side = 'unit' AND el GROUP BY ALL),
+held AS (SELECT conv_id, turn, id, line FROM (SELECT conv_id, turn, s AS id, min(line) AS line FROM el WHERE side = 'unit' AND el GROUP BY ALL)),
+faults AS (
+  SELECT conv_id, turn, line, 0 AS k, 'foreign' AS why FROM l WHERE side = 'reply' AND line >= (SELECT count(*) FROM l u WHERE u.side = 'unit' AND u.conv_id = l.conv_id AND u.turn = l.turn)
+  UNION ALL SELECT conv_id, turn, line, k + 1, 'foreign' FROM el WHERE side = 'reply' AND NOT el AND regexp_matches(s, '{A.FOREIGN}')
+  UNION ALL SELECT e.conv_id, e.turn, e.line, e.k + 1, CASE WHEN h.id IS NULL THEN 'foreign' ELSE 'spans' END FROM el e LEFT JOIN held h ON h.conv_id = e.conv_id AND h.turn = e.turn AND h.id = e.s
+    WHERE e.side = 'reply' AND e.el AND (h.id IS NULL OR h.line <> e.line)),
+fault AS (SELECT conv_id, turn, min_by(why, row(line, k)) AS why FROM faults GROUP BY ALL),
+lost AS (SELECT h.conv_id, h.turn, bool_or(n <> 1) AS lost FROM (SELECT h.conv_id, h.turn, h.id, count(e.s) AS n FROM held h LEFT JOIN el e ON e.side = 'reply' AND e.el AND e.conv_id = h.conv_id AND e.turn = h.turn AND e.s = h.id GROUP BY ALL) h GROUP BY ALL),
+said AS (SELECT conv_id, turn, side, coalesce(string_agg(s, '' ORDER BY line, k) FILTER (WHERE NOT el), '') AS said, bool_or(line = 0 AND NOT el AND regexp_matches(s, '\S')) AS first_line,
+  length(trim(regexp_replace(coalesce(string_agg(CASE WHEN el THEN chr(65532) ELSE s END, '' ORDER BY line, k) FILTER (WHERE side = 'reply' OR NOT el OR own), ''), '[\s\p{{Z}}]+', ' ', 'g'))) AS n FROM (SELECT el.*, f.id IS NOT NULL AS own FROM el LEFT JOIN first_ f ON f.conv_id = el.conv_id AND f.turn = el.turn AND f.id = el.s AND f.at_ = row(el.line, el.k)) GROUP BY conv_id, turn, side)
+SELECT c.conv_id, c.turn, why IS NULL AS ok, why FROM (
+  SELECT c.conv_id, c.turn, CASE WHEN fault.why IS NOT NULL THEN fault.why WHEN lost THEN 'elements' WHEN coalesce(u.first_line, false) AND NOT coalesce(r.first_line, false) THEN 'spans'
+    WHEN regexp_matches(coalesce(u.said, ''), '\p{{L}}') AND NOT regexp_matches(coalesce(r.said, ''), '[\p{{L}}\p{{N}}]') THEN 'empty' WHEN coalesce(u.n, 0) >= {A.FLOOR_FROM} AND {A.FLOOR} * coalesce(r.n, 0) < u.n THEN 'short' END AS why
+  FROM c LEFT JOIN fault USING (conv_id, turn) LEFT JOIN lost USING (conv_id, turn) LEFT JOIN said u ON u.conv_id = c.conv_id AND u.turn = c.turn AND u.side = 'unit' LEFT JOIN said r ON r.conv_id = c.conv_id AND r.turn = c.turn AND r.side = 'reply') c
+"""
 
 
-@P.query(f"SELECT conv_id, turn, ({_ACCEPT}) IS NULL AS ok, {_ACCEPT} AS why FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL")
+@P.query(_ACCEPT)
 def accept_rule(spark, sf_dir):
-    """The first refusal of a reply: foreign characters, breaks that do not match, nothing said, or too short.
-
-    Words may become a number, so letters or digits count as said.  From 200 characters up a reply has at least a fifth of them.
-    """
+    """Each turn's next one judged as its reply: lines are spans, the first of which must stay, and numbers are elements."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
-    breaks = lambda x: F.regexp_count(x, F.lit("\n"))
-    said = ~T.has_letter("text") | F.col("nxt").rlike(r"[\p{L}\p{N}]")
-    short = (F.length("text") >= 200) & (5 * F.length("nxt") < F.length("text"))
-    why = F.when(F.col("nxt").rlike(_FOREIGN), "foreign").when(F.abs(breaks("text") - breaks("nxt")) > 3, "spans").when(~said, "empty").when(short, "short")
-    return c.select("conv_id", "turn", why.isNull().alias("ok"), why.alias("why"))
+    c = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(w)).where("nxt is not null and text is not null")
+
+    def pieces(text: str):
+        line = c.select("conv_id", "turn", F.posexplode(F.split(text, "\n")).alias("line", "s"))
+        span = F.concat(F.lit("l"), F.col("line").cast("string"))
+        spans = line.select("conv_id", "turn", F.struct("line", F.lit(0).alias("k")).alias("pos"), F.lit("span").alias("t"), span.alias("id"), F.array().cast("array<string>").alias("within"), (F.col("line") == 0).alias("must"), F.lit(None).cast("string").alias("s"))
+        parts = line.select("conv_id", "turn", "line", span.alias("span"), F.posexplode(F.regexp_extract_all("s", F.lit("[0-9]+|[^0-9]+"), F.lit(0))).alias("k", "s"))
+        el = F.col("s").rlike("^[0-9]")
+        inner = parts.select("conv_id", "turn", F.struct("line", (F.col("k") + 1).alias("k")).alias("pos"), F.when(el, "el").otherwise("text").alias("t"), F.when(el, F.col("s")).alias("id"), F.array("span").alias("within"), F.lit(False).alias("must"), F.when(~el, F.col("s")).alias("s"))
+        return spans.unionByName(inner).withColumn("unit", F.struct("conv_id", "turn")).drop("conv_id", "turn")
+
+    # of a number that stands several times in a turn, the first is its element
+    first = Window.partitionBy("unit", "t", "id").orderBy("pos")
+    units = pieces("text").withColumn("_n", F.row_number().over(first)).where("t <> 'el' or _n = 1").drop("_n")
+    replies = pieces("nxt").withColumn("reply", F.col("unit")).drop("must")
+    return A.refused(units, replies).select("unit.conv_id", "unit.turn", F.col("why").isNull().alias("ok"), "why")
 
 
 def _class_sql(c: str) -> str:
