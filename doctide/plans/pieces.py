@@ -153,28 +153,54 @@ def tex_plain(spark, sf_dir):
 _ESC = "replace(replace(replace(replace(token, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@P.query(f"WITH {_TOKENS}, k AS (SELECT page_id, ord, token, sum(CASE WHEN token LIKE '<%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS slot FROM tokens) SELECT page_id, string_agg(CASE WHEN token LIKE '<%' THEN concat('<', CAST(slot AS BIGINT), '/>') ELSE {_ESC} END, '' ORDER BY ord) AS wire, CAST(max(slot) AS BIGINT) AS slots FROM k GROUP BY page_id")
-def serialize_wire(spark, sf_dir):
-    """Pages as a wire: text escaped, every element a numbered slot."""
+_TOUCHES = r"[\p{L}\p{N}\p{M}]"
+_WIRE_SQL = rf"""k AS (SELECT page_id, ord, token, token LIKE '<%' AS el, sum(CASE WHEN token LIKE '<%' THEN 1 ELSE 0 END) OVER w AS slot,
+  token LIKE '<%' AND coalesce(lag(token) OVER w NOT LIKE '<%' AND regexp_matches(lag(token) OVER w, '({_TOUCHES}|\.)$'), false) AS before, token LIKE '<%' AND coalesce(lead(token) OVER w NOT LIKE '<%' AND regexp_matches(lead(token) OVER w, '^{_TOUCHES}'), false) AS after
+  FROM tokens WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+wires AS (SELECT page_id, string_agg(CASE WHEN el THEN concat(CASE WHEN before THEN ' ' ELSE '' END, '<', CAST(slot AS BIGINT), '/>', CASE WHEN after THEN ' ' ELSE '' END) ELSE {_ESC} END, '' ORDER BY ord) AS wire,
+  CAST(max(slot) AS BIGINT) AS slots, CAST(sum(before::INT + after::INT) AS BIGINT) AS spaced FROM k GROUP BY page_id)"""
+
+
+def _slotted(spark, sf_dir):
+    """Tokens of each page with the slot of each element, and whether a space sets it apart before and after.
+
+    An element that touches a word, or stands right after a full stop, would be read as one token with it.
+    """
     w = Window.partitionBy("page_id").orderBy("ord")
     element = F.col("token").startswith("<")
-    k = tokens(spark, sf_dir).withColumn("slot", F.sum(F.when(element, 1).otherwise(0)).over(w))
-    piece = F.when(element, F.concat(F.lit("<"), F.col("slot").cast("string"), F.lit("/>"))).otherwise(escape_text(F.col("token")))
+    beside = lambda c, pattern: F.coalesce(~c.startswith("<") & c.rlike(pattern), F.lit(False))
+    return tokens(spark, sf_dir).withColumns({
+        "el": element, "slot": F.sum(F.when(element, 1).otherwise(0)).over(w),
+        "before": element & beside(F.lag("token").over(w), rf"({_TOUCHES}|\.)\z"), "after": element & beside(F.lead("token").over(w), f"^{_TOUCHES}"),
+    })
+
+
+@P.query(f"WITH {_TOKENS}, {_WIRE_SQL} SELECT * FROM wires")
+def serialize_wire(spark, sf_dir):
+    """Pages as a wire: text escaped, every element a numbered slot, set apart from words by spaces, which are counted."""
+    k = _slotted(spark, sf_dir)
+    space = lambda c: F.when(F.col(c), " ").otherwise("")
+    piece = F.when(F.col("el"), F.concat(space("before"), F.lit("<"), F.col("slot").cast("string"), F.lit("/>"), space("after"))).otherwise(escape_text(F.col("token")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("s")))), lambda x: x["s"])
-    return k.groupBy("page_id").agg(F.array_join(parts, "").alias("wire"), F.max("slot").alias("slots"))
+    return k.groupBy("page_id").agg(F.array_join(parts, "").alias("wire"), F.max("slot").alias("slots"), F.sum(F.col("before").cast("int") + F.col("after").cast("int")).alias("spaced"))
 
 
-@P.query(f"WITH {_TOKENS} SELECT page_id, string_agg(token, '' ORDER BY ord) = any_value(html) AS same, count(*) AS pieces FROM tokens JOIN pages USING (page_id) GROUP BY page_id")
+@P.query(rf"""WITH {_TOKENS}, {_WIRE_SQL}, r AS (SELECT page_id, unnest(range(len(ps))) AS n, unnest(ps) AS piece FROM (SELECT page_id, regexp_extract_all(wire, '<[0-9]+/>|[^<]+') AS ps FROM wires)),
+  s AS (SELECT r.*, k.token AS slot_token, k.before, k.after FROM r LEFT JOIN k ON k.page_id = r.page_id AND k.el AND r.piece = concat('<', CAST(k.slot AS BIGINT), '/>')),
+  t AS (SELECT page_id, n, slot_token, CASE WHEN lag(after) OVER w THEN substr(piece, 2) ELSE piece END AS piece, coalesce(lead(before) OVER w, false) AS cut FROM s WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+  u AS (SELECT page_id, n, coalesce(slot_token, replace(replace(replace(replace(CASE WHEN cut THEN left(piece, length(piece) - 1) ELSE piece END, '&quot;', '"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')) AS piece FROM t)
+  SELECT page_id, string_agg(piece, '' ORDER BY n) = any_value(html) AS same, count(*) AS pieces FROM u JOIN pages USING (page_id) GROUP BY page_id""")
 def rehydrate(spark, sf_dir):
-    """The wire of each page read back: slots filled from their table, text unescaped; whether the page comes back."""
-    element = F.col("token").startswith("<")
-    slots = tokens(spark, sf_dir).where(element).select("page_id", "token", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")).alias("slot"))
+    """The wire of each page read back: slots filled from their table, the wire's own spaces taken off, text unescaped; whether the page comes back."""
+    slots = _slotted(spark, sf_dir).where("el").select("page_id", "token", "slot", "before", "after")
     read = serialize_wire(spark, sf_dir).select("page_id", F.posexplode(F.regexp_extract_all("wire", F.lit("<[0-9]+/>|[^<]+"), F.lit(0))).alias("ord", "piece"))
-    read = read.withColumn("slot", F.regexp_extract("piece", "^<([0-9]+)/>", 1).try_cast("int"))
-    text = F.col("piece")
+    read = read.withColumn("slot", F.regexp_extract("piece", "^<([0-9]+)/>", 1).try_cast("int")).join(slots, ["page_id", "slot"], "left")
+    w = Window.partitionBy("page_id").orderBy("ord")
+    text = F.when(F.coalesce(F.lag("after").over(w), F.lit(False)), F.substring("piece", F.lit(2), F.length("piece"))).otherwise(F.col("piece"))
+    text = F.when(F.coalesce(F.lead("before").over(w), F.lit(False)), F.left(text, F.length(text) - 1)).otherwise(text)
     for name, mark in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(mark))
-    filled = read.join(slots, ["page_id", "slot"], "left").withColumn("piece", F.when(F.col("slot").isNull(), text).otherwise(F.col("token")))
+    filled = read.withColumn("piece", F.when(F.col("token").isNull(), text).otherwise(F.col("token")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
     whole = filled.groupBy("page_id").agg(F.array_join(parts, "").alias("back"), F.count("*").alias("pieces"))
     return whole.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", (F.col("back") == F.col("html")).alias("same"), "pieces")
