@@ -37,4 +37,4 @@ def tied(members: DataFrame, ties: DataFrame) -> DataFrame:
         if caps.isEmpty():
             return scales.select("member", "scale", "rounds")
         lower = scales.join(caps, "member", "left")
-        scales = cut(lower.select("member", "own", "floor", "first", F.coalesce("cap", "scale").alias("scale"), (F.col("rounds") + F.col("cap").isNotNull().cast("int")).alias("rounds")))
+        scales = cut(lower.select("member", "own", "floor", "first", F.coalesce("cap", "scale").alias("scale"), (F.col("rounds") + F.col("cap").isNotNull().cast("int")).alias("rounds")), scales, caps)

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df as a table in the folder that the cluster shares, without its lineage; then `spent`, earlier such tables, are deleted.
+
+    A table survives the loss of executors.  What is not spent is deleted when the driver's process ends.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
+    base = session.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = context._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = session.read.schema(df.schema).parquet(path)
+    out.walk_path = path
+    atexit.register(_delete, session, path)
+    for old in spent:
+        _delete(session, old.walk_path)
+    return out
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = session._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -30,9 +52,9 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     n = seen.count()
     while True:
         ahead = seen.join(stride, F.col("node") == F.col("a")).select(F.col("b").alias("node"))
-        seen = cut(seen.unionByName(ahead).distinct())
+        seen = cut(seen.unionByName(ahead).distinct(), seen)
         if (now := seen.count()) == n:
             return seen
         n = now
         on = stride.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        stride = cut(stride.join(on, "b").select("a", F.col("c").alias("b")).distinct())
+        stride = cut(stride.join(on, "b").select("a", F.col("c").alias("b")).distinct(), stride)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctide.functions import nested as N
 from doctide.operators.batches import batched, debounced, first_fit
+from doctide.operators.stores import reusable
 from doctide.operators.walks import reached
 from doctide.plans.layout import ITEMS, items
 from doctide.plans.register import Plans
@@ -209,12 +210,18 @@ def main_file(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct(score, F.col("p_size"), -F.col("p_partkey"))).alias("main"))
 
 
-@P.query("""SELECT c_custkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN p.c_nationkey % 3 = 0 THEN 'passed' ELSE 'reusable' END AS state FROM customer p LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o ON o.o_custkey = p.c_custkey""")
+@P.query("""WITH last_ AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1),
+r AS (SELECT o.o_custkey AS unit, o.o_orderstatus <> 'P' AS ok, o.o_orderpriority AS service FROM orders o JOIN last_ USING (o_custkey, o_orderkey)),
+p AS (SELECT o_custkey AS unit, o_orderpriority AS service, bool_and(o_orderstatus = 'F') AS refused FROM orders ANTI JOIN last_ USING (o_custkey, o_orderkey) GROUP BY ALL)
+SELECT unit, service AS "by", ok AND (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority AS service FROM orders) s WHERE s.service < r.service) = (SELECT count(*) FROM p WHERE p.unit = r.unit AND p.refused AND p.service < r.service) AS reusable FROM r""")
 def row_reusable(spark, sf_dir):
-    """Whether a stored row may be used again: there is one, and no earlier service was passed over for it."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o"))
-    c = table(spark, sf_dir, "customer").join(o, "c_custkey", "left")
-    return c.select("c_custkey", F.when(F.col("o").isNull(), "new").when(F.col("c_nationkey") % 3 == 0, "passed").otherwise("reusable").alias("state"))
+    """Whether the last order of each customer may be used again: priorities are services in order, earlier orders their passes."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), "o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("service"))
+    last = o.groupBy("unit").agg(F.max("o_orderkey").alias("o_orderkey"))
+    results = o.join(last, ["unit", "o_orderkey"]).select("unit", (F.col("o_orderstatus") != "P").alias("ok"), F.col("service").alias("by"))
+    passes = o.join(last, ["unit", "o_orderkey"], "left_anti").select("unit", F.lit(None).cast("string").alias("part"), "service", F.when(F.col("o_orderstatus") == "F", "refused").otherwise("unreached").alias("why"))
+    services = o.select("service").distinct().withColumn("rank", F.row_number().over(Window.orderBy("service")) - 1)
+    return reusable(results, passes, services)
 
 
 @P.query("SELECT p_partkey, coalesce(map {'ECONOMY': true, 'SMALL': false}[p_type], true) AS shown FROM part")
