@@ -63,7 +63,8 @@ def chance(weights: list[float]) -> Column:
 def _summed(labelled: DataFrame, each: Column) -> list[float]:
     """Sum of `each` over the rows that have a feature, for every feature; rounded, so that the order of adding does not show."""
     out = [0.0] * BUCKETS
-    for r in labelled.select(F.explode("grams").alias("g"), each.alias("x")).groupBy("g").agg(F.sum("x").alias("s")).collect():
+    valued = labelled.select("grams", each.alias("x"))  # once a row, before its features are exploded
+    for r in valued.select(F.explode("grams").alias("g"), "x").groupBy("g").agg(F.sum("x").alias("s")).collect():
         out[r["g"]] = round(r["s"], 9)
     return out
 
