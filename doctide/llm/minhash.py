@@ -137,7 +137,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame, parts: int) -> DataFrame:
-    """One row for each row of docs; see OUT.  Null text counts as empty; an empty table gives an empty result."""
+    """One row for each row of docs; see OUT.  Null text counts as empty; an empty table gives an empty result.
+
+    A stretch of rows is worked on up to a text of over 1 MB, so a task holds one long text, its neighbour and the
+    edited form of both, and a fixed number of 8-byte values a word of them.
+    """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], OUT)
     return with_next(docs.select("doc_id", "text"), parts).mapInArrow(_stretches, OUT)

@@ -85,7 +85,8 @@ def mixed(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (1, 2,
     row is a hash of source and text; n equal rows take `copies` each.
 
     Sources in the order of their code points, null last, take the weights in turn.  size counts words, null text has 0.
-    Equal input gives equal copies; an empty table gives an empty result.
+    Equal input gives equal copies; an empty table gives an empty result.  Words are counted in the JVM, of texts of any
+    length; what is dealt afterwards are sizes.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")

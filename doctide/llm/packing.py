@@ -81,7 +81,8 @@ def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """PACKED for every piece of docs (doc_id, source, text): its bin, its place there and the words in the bin.
 
     A duplicate cluster is the texts that are equal but for letter case, digits and white space.  Texts without words
-    make one empty piece, which takes no room.  Repeated rows are texts of one cluster.
+    make one empty piece, which takes no room.  Repeated rows are texts of one cluster.  A long text is as many pieces as
+    it fills bins; only its words are counted in the JVM, and its pieces are numbers.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\d]+", " "))

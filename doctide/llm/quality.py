@@ -179,7 +179,11 @@ def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFr
 
 
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that the draw keeps.  Weights are computed again from the model, so no text is shuffled."""
+    """The rows of docs that the draw keeps.  Weights are computed again from the model, so no text is shuffled.
+
+    Whole texts count.  Texts are worked on in runs of about 2 MB; a longer one is a run of its own and needs, beside
+    itself, a fixed number of 8-byte values a word.
+    """
     target, model, _, last = fitted(docs, labels, scratch)
     return scored(docs, target, model).where((F.col("_dt_words") > 0) & (F.col("_dt_key") >= last)).select(*docs.columns)
 

@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     component_id is the smallest doc_id that links of RADIUS or fewer differing bits reach.  Null and empty texts have
     fingerprint zero, linked like any other.  Equal fingerprints are one node, so groups of copies of any size cost one
-    row.  Rows without doc_id take part and get their component; an empty table gives an empty result.
+    row.  Rows without doc_id take part and get their component; an empty table gives an empty result.  Whole texts are
+    read, in runs of about 2 MB; a longer one is a run of its own.
     """
     coded = docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(fingerprints, "doc_id long, content long, code long")
     coded = scratch.keep(coded, "codes")

@@ -100,7 +100,8 @@ def judged(urls: DataFrame, labelled: DataFrame, scratch: Scratch, rules: tuple[
     """urls with host, path, rule, verdict and the method's score (probability of block).
 
     labelled has (url, y), y 1 for block; of more than `most_labelled` rows those with the smallest hashes are used.
-    Null and malformed urls have empty parts and are judged by the method like any other.
+    Null and malformed urls have empty parts and are judged by the method like any other.  A url is judged whole: of
+    one of n signs the distinct buckets of its n-grams are kept, at most BUCKETS.
     """
     few = with_parts(labelled.select("url", "y").where("y is not null").distinct()).orderBy(F.xxhash64("url"), "url", "y").limit(most_labelled)
     weights = train(scratch.keep(few.select(features().alias("grams"), F.col("y").cast("double").alias("y")), "labelled").coalesce(1))
