@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,6 +188,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("content"))
 
 
+def maximal_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, content, _dt_spans): the spans (first, end) of each text, those that touch as one, before they become one row.
+
+    A text of one repeated letter has a span a byte and one maximal span.  Repeated rows have equal spans, which are
+    brought to one before the spans of a text are sorted.
+    """
+    once = spans.groupBy("doc_id", "content", "first").agg(F.max("end").alias("end"))
+    order = Window.partitionBy("doc_id", "content").orderBy("first")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = once.withColumn("fresh", (reached.isNull() | (F.col("first") > reached)).cast("int"))
+    apart = apart.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = apart.groupBy("doc_id", "content", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias("_dt_spans"))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, shape: Shape = BYTES) -> DataFrame:
     """(_dt_id, _dt_content, _dt_spans array<struct<first, end>>): spans of units of each document that repeated strings cover.
 
@@ -215,7 +230,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, shape: Shape = BYTES) -> D
             piece = F.expr(f"substring(snippet, (high - _high) * {width} + 1, (_high - _low + {shape.length}) * {width})")
             wide, snippets = snippets, scratch.keep(near.select("doc_id", "content", "at", F.col("_low").alias("low"), F.col("_high").alias("high"), piece.alias("snippet")), "snippets")
             scratch.drop(wide, left)
-    merged = functools.reduce(DataFrame.unionByName, found).groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "end")).alias("_dt_spans"))
+    merged = maximal_spans(functools.reduce(DataFrame.unionByName, found))
     merged = scratch.keep(merged.withColumnRenamed("doc_id", "_dt_id").withColumnRenamed("content", "_dt_content"), "merged")
     scratch.drop(snippets, *found)
     scratch.free()
