@@ -37,8 +37,8 @@ def test_cuts_and_rules(spark):
 def test_line_ends(spark):
     check(
         spark,
-        ("We give the usual\nspread of the outer\r\nlayers.\n|The rest follows.", None),
-        ("It reads like this \n|\n  Given a question, answer", None),
+        ("They list the older\nnames of both\r\nrivers.\n|A map comes next.", None),
+        ("It runs like this \n|\n  With a list, count", None),
         (f"One line{OBJ}|another line", ["\n"]),
         (f"One line{OBJ}another line", [" "]),
     )
@@ -51,13 +51,13 @@ def test_elements(spark):
         (f"It stands.{OBJ} |We go on.", [a]),
         (f"Let {OBJ} be one. |Then {OBJ} stands. |{OBJ} too.", ["x", "x", None]),
         (f"As told {OBJ} the claim stands. |Next.", ["[3, Ex. 2.6]"]),
-        (f"It is as told. |{OBJ} finds that it fails. |Then more.", [c]),
-        (f"Pham et al. {OBJ} sort the examples. |Then more.", [c]),
+        (f"So it was built. |{OBJ} shows that it fell. |Then more.", [c]),
+        (f"Berg et al. {OBJ} sort the stones. |Then more.", [c]),
         (f"See e.g. {OBJ} for more. |Then more.", [c]),
         (f"It stands.{OBJ} |We go on.", [c]),
         (f"As told {OBJ}. |Then more.", [c]),
         (f"As in Ref.{OBJ}{OBJ} we see it. |Then more.", [None, c]),
-        (f"Model or harness? {OBJ}, L = Layer.", [c]),
+        (f"Grid or mesh? {OBJ}, G = Grid.", [c]),
         (f"It stands. {OBJ} |We go on.", [c]),
         (f"A law of {OBJ}. |Then it ended.", ["v"]),
         (f"It is told. {OBJ} |{OBJ} finds.", [a, c]),
