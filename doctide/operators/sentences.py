@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ELEMENT = "￼"
-#: Marks a boundary while a text is being cut; a non-character, which stands in no text.
+#: Marks a boundary while a text is being cut; a non-character, which counts as a space where a text has it.
 MARK = "￿"
 
 #: Break classes, as the inside of a bracket expression in the syntax that Java and RE2 share.
@@ -174,7 +174,7 @@ def sentence_cuts(units: DataFrame, keys: list[str], text: str, readings: str |
     cuts; line ends are spaces but for empty lines.  Texts are cut where they are read; what is dealt by unit afterwards
     are numbers.
     """
-    body = running(F.col(text))
+    body = running(F.translate(text, MARK, " "))
     none = F.array().cast("array<struct<token:string,at:int,from:int,to:int>>")
     elements = F.when(F.contains(body, F.lit(ELEMENT)), read_elements(body, F.col(readings) if readings else F.array().cast("array<string>"))).otherwise(none)
     one = units.where(F.col(text).isNotNull()).select(*keys, F.length(text).alias("_n"), body.alias("_text"), elements.alias("_elements"))

@@ -68,6 +68,10 @@ def test_units_without_text(spark):
     assert cuts(spark, (None, None), ("", []), ("\n\n", None), (OBJ, ["a. B"]), ("A. B.", None)) == [[], [], [1], [], []]
 
 
+def test_the_mark_in_a_text_is_a_space(spark):
+    assert cuts(spark, (f"One.{S.MARK}Two. Three", None)) == [[5, 10]]
+
+
 def test_a_long_unit(spark):
     text = "It is one of many. " * 20_000
     assert cuts(spark, (text, None))[0] == [19 * k for k in range(1, 20_000)]
