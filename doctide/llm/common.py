@@ -22,7 +22,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 2 << 20
+#: Units that are worked on at once: a step that holds a dozen 8-byte values for each of them needs some 30 MB.
+CHUNK = 1 << 18
+#: Bytes of text in a run of rows where a run is also what is counted together.
+RUN = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -126,7 +129,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole rows of about `limit` bytes; a longer text is a run of its own."""
     raw, at = text_buffer(column)
     first = 0
@@ -136,6 +139,13 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         first = end
 
 
+def row_runs(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in runs of whole rows with about CHUNK bytes of text each; a batch without rows has none."""
+    for batch in batches:
+        for first, end, *_ in text_chunks(batch.column(column), CHUNK):
+            yield batch.slice(first, end - first)
+
+
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and 64-bit hash of each word; A-Z count as a-z if `lower`; `apart` tells the bytes between words.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, STEP, Scratch, mix, table, text_chunks, top_keys, words_of
+from .common import CHUNK, LOWER, STEP, Scratch, mix, table, text_chunks, top_keys, words_of
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -61,7 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
         target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for first, _, raw, offsets in text_chunks(batch.column("text")):
+        for first, _, raw, offsets in text_chunks(batch.column("text"), CHUNK):
             row, _, buckets = ngrams_of(raw, offsets)
             totals[0] += np.bincount(buckets.ravel(), minlength=BUCKETS)
             totals[1] += np.bincount(buckets[target[row + first]].ravel(), minlength=BUCKETS)
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
 def weigh(texts: pa.Array, model: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, log weight and content hash of each text; target tells which texts the target holds."""
     words, weight, content = np.zeros(len(texts), np.int64), np.full(len(texts), NONE), np.zeros(len(texts), np.uint64)
-    for at, end, raw, offsets in text_chunks(texts):
+    for at, end, raw, offsets in text_chunks(texts, CHUNK):
         row, hashes, buckets = ngrams_of(raw, offsets)
         words[at:end] = np.bincount(row, minlength=end - at)
         if not len(row):
@@ -181,7 +181,7 @@ def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFr
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that the draw keeps.  Weights are computed again from the model, so no text is shuffled.
 
-    Whole texts count.  Texts are worked on in runs of about 2 MB; a longer one is a run of its own and needs, beside
+    Whole texts count.  Texts are worked on in runs of about CHUNK bytes; a longer one is a run of its own and needs, beside
     itself, a fixed number of 8-byte values a word.
     """
     target, model, _, last = fitted(docs, labels, scratch)

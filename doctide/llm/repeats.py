@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUES, CHUNK, OTHER_BYTE_VALUES, Scratch, mix, powers, series, signed, table, text_chunks, words_of
+from .common import BYTE_VALUES, CHUNK, OTHER_BYTE_VALUES, Scratch, mix, powers, row_runs, series, signed, table, text_chunks, words_of
 
 
 class Shape(NamedTuple):
@@ -115,7 +115,7 @@ def _sample(shape: Shape):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, content = batch.column("doc_id"), batch.column("content")
-            for first, _, raw, offsets in text_chunks(batch.column("text")):
+            for first, _, raw, offsets in text_chunks(batch.column("text"), CHUNK):
                 for at, units, own in unit_windows(raw, offsets, shape):
                     row, place, low, high, inner, outer = sampled_runs(units, own, shape)
                     of = pa.array(row + first)
@@ -127,7 +127,7 @@ def _sample(shape: Shape):
 def _snippets(shape: Shape):
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole context of each undecided run, as bytes or as 8-byte hashes of words."""
-        for batch in batches:
+        for batch in row_runs(batches):
             for doc, content, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "text", "runs")), strict=True):
                 raw = text.encode()
                 if shape.words:
@@ -276,7 +276,7 @@ def passage_bytes(raw: bytes, passages: list[dict] | None) -> list[dict]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in row_runs(batches):
         rows = []
         for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
             raw, spans = (text or "").encode(), maximal(found)
@@ -317,7 +317,7 @@ def strip_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_runs(batches):
             texts = []
             for text, found, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "_dt_spans", "_dt_passages")), strict=True):
                 raw = text.encode() if text and (found or passages) else b""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, series, shingles_of, signed, table, text_buffer, text_chunks, words_of
+from .common import CHUNK, Scratch, mix, series, shingles_of, signed, table, text_buffer, text_chunks, words_of
 from .components import components
 
 RADIUS = 3
@@ -219,7 +219,7 @@ def wide_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two words of 64 bits for each text: a bit is 1 if it is set in over half of the hashes of its five-word shingles."""
     for batch in batches:
         low, high = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
-        for first, end, raw, offsets in text_chunks(batch.column("text")):
+        for first, end, raw, offsets in text_chunks(batch.column("text"), CHUNK):
             _, _, row, words = words_of(raw, offsets)
             at, hashes = shingles_of(row, words, SHINGLE)
             if not len(at):
@@ -315,8 +315,8 @@ def wide_forest(words: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.
     waiting = [(top, np.arange(len(group)), np.arange(len(group)))] if top else []
     while waiting:
         level, i, j = waiting.pop()
-        if len(i) > 4_096:
-            waiting += [(level, i[k : k + 4_096], j[k : k + 4_096]) for k in range(0, len(i), 4_096)]
+        if len(i) > 1_024:
+            waiting += [(level, i[k : k + 1_024], j[k : k + 1_024]) for k in range(0, len(i), 1_024)]
             continue
         starts = levels[level][2]
         wide, high = starts[i + 1] - starts[i], starts[j + 1] - starts[j]
@@ -399,7 +399,7 @@ def wide_links(codes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct five-word shingles of each text as sorted 64-bit hashes; texts with one set have equal ones."""
     for batch in batches:
-        for first, end, raw, offsets in text_chunks(batch.column("text")):
+        for first, end, raw, offsets in text_chunks(batch.column("text"), CHUNK):
             _, _, row, words = words_of(raw, offsets)
             at, hashes = shingles_of(row, words, SHINGLE)
             cuts = np.searchsorted(row[at], np.arange(end - first + 1))
