@@ -5,16 +5,23 @@ Each is a grouped job: Spark deals the groups over the cluster and these functio
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of the table of lengths that one piece of an alignment may fill; beyond, waves from both ends part it.
-MOST_CELLS = 1 << 10
+#: Cells of the table of lengths that a piece of an alignment fills at once; beyond, waves from both ends try to part it.
+MOST_CELLS = 1 << 20
+#: Cells of a table that is kept whole, a bit each; beyond, the piece is halved by the lengths of both halves.
+KEPT_CELLS = 1 << 28
+#: Places that waves may reach in a piece whose table costs less.
+LEAST_STEPS = 1 << 12
 #: Members compared at once when a wave follows equal members.
 STRIDE = 32
 
@@ -23,13 +30,15 @@ class Common:
     """A longest common subsequence of two lists, always the same of several: `pairs` of places, `steps`, `stopped`.
 
     Equal ends are taken off.  What is left is parted where waves of furthest places, one edit more each time, meet from
-    both ends, so time goes with what differs and memory with the lists.  `steps` counts the places that waves reach and
-    the members they pass; past `work` of them the search ends, `stopped` says so, and the pairs found until then stand.
+    both ends, so time goes with what differs and memory with the lists.  Where more differs than a table of lengths costs,
+    the table is filled instead, a row of it as the bits of one number.  `steps` counts the places that waves reach, the
+    members they pass and the 64-bit words of tables; past `work` of them the search ends, `stopped` says so, and the pairs
+    found until then stand.
     """
 
-    def __init__(self, a: list, b: list, work: int | None = None, cells: int = MOST_CELLS):
+    def __init__(self, a: list | np.ndarray, b: list | np.ndarray, work: int | None = None, cells: int = MOST_CELLS, kept: int = KEPT_CELLS):
         codes: dict = {}
-        self.x, self.y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
+        self.x, self.y = (side if isinstance(side, np.ndarray) else np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
         self.work, self.steps, self.stopped = work, 0, False
         self.pairs: list[tuple[int, int]] = []
         todo = [(0, len(self.x), 0, len(self.y))]
@@ -37,13 +46,20 @@ class Common:
             a0, a1, b0, b1 = self._trimmed(*todo.pop())
             if a0 == a1 or b0 == b1:
                 continue
-            if (a1 - a0) * (b1 - b0) <= cells:
-                self.steps += (a1 - a0) * (b1 - b0)
-                self.pairs += [(a0 + i, b0 + j) for i, j in _by_table(self.x[a0:a1], self.y[b0:b1])]
-            else:
-                met = self._meeting(self.x[a0:a1], self.y[b0:b1])
-                if met:
-                    todo += [(a0 + met[0], a1, b0 + met[1], b1), (a0, a0 + met[0], b0, b0 + met[1])]
+            n, m = a1 - a0, b1 - b0
+            x, y, cost = self.x[a0:a1], self.y[b0:b1], n * (m // 64 + 1)
+            met = self._meeting(x, y, max(cost, LEAST_STEPS)) if n * m > cells else None
+            if not met:
+                self.stopped |= work is not None and self.steps + cost > work
+                if self.stopped:
+                    break
+                self.steps += cost
+                if n * m > kept and n > 1:
+                    met = _halves(x, y)
+                else:
+                    self.pairs += [(a0 + i, b0 + j) for i, j in _by_table(x, y)]
+            if met:
+                todo += [(a0 + met[0], a1, b0 + met[1], b1), (a0, a0 + met[0], b0, b0 + met[1])]
             self.stopped |= work is not None and self.steps > work
         self.pairs.sort()
 
@@ -57,10 +73,10 @@ class Common:
         self.pairs += [(a0 + i, b0 + i) for i in range(front)] + [(a1 - 1 - i, b1 - 1 - i) for i in range(back)]
         return a0 + front, a1 - back, b0 + front, b1 - back
 
-    def _meeting(self, x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
-        """Where a path of fewest edits passes about its middle; None past the work."""
-        ahead, behind = _Wave(x, y), _Wave(x[::-1], y[::-1])
-        while True:
+    def _meeting(self, x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int] | None:
+        """Where a path of fewest edits passes about its middle; None past the work, or past `most` steps of this piece."""
+        ahead, behind, until = _Wave(x, y), _Wave(x[::-1], y[::-1]), self.steps + most
+        while self.steps <= until:
             for wave, other in ((ahead, behind), (behind, ahead)):
                 self.steps += wave.advance()
                 if self.work is not None and self.steps > self.work:
@@ -69,6 +85,7 @@ class Common:
                 at = wave.meets(other)
                 if at is not None:
                     return at if wave is ahead else (len(x) - at[0], len(y) - at[1])
+        return None
 
 
 class _Wave:
@@ -117,46 +134,100 @@ def longest_common(a: list, b: list, cells: int = MOST_CELLS) -> list[tuple[int,
     return Common(a, b, cells=cells).pairs
 
 
+def _rows(x: np.ndarray, y: np.ndarray, keep: bool) -> list[int]:
+    """The table of lengths for all suffixes from the last row up, or its first row alone.
+
+    Bit p of row i is 0 where the suffixes of x from i and of y from len(y) - 1 - p have one pair more than without that
+    member of y.
+    """
+    places: dict[int, int] = {}
+    for p, v in enumerate(y[::-1].tolist()):
+        places[v] = places.get(v, 0) | 1 << p
+    full = (1 << len(y)) - 1
+    row, rows = full, []
+    for v in reversed(x.tolist()):
+        met = row & places.get(v, 0)
+        if met:
+            row = (row + met | row - met) & full
+        if keep:
+            rows.append(row)
+    return rows or [row]
+
+
 def _by_table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """A longest common subsequence from the lengths for all suffixes."""
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        match = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(match[::-1])[::-1]
+    rows, size = _rows(x, y, True), len(y) // 8 + 1
+    x, y = x.tolist(), y.tolist()
     pairs, i, j = [], 0, 0
     while i < len(x) and j < len(y):
-        if x[i] == y[j] and best[i, j] == best[i + 1, j + 1] + 1:
+        row = rows[len(x) - 1 - i].to_bytes(size, "little")
+        while j < len(y) and x[i] != y[j] and row[len(y) - 1 - j >> 3] >> (len(y) - 1 - j & 7) & 1:
+            j += 1
+        if j < len(y) and x[i] == y[j]:
             pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i, j] == best[i, j + 1]:
             j += 1
-        else:
-            i += 1
+        i += 1
     return pairs
 
 
+def _halves(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """The middle of x and the first place in y that part a longest common subsequence, from one row of each half's table."""
+    half = len(x) // 2
+
+    def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        row = np.frombuffer(_rows(x, y, False)[0].to_bytes(len(y) // 8 + 1, "little"), np.uint8)
+        return np.append(0, np.cumsum(1 - np.unpackbits(row, bitorder="little")[: len(y)].astype(np.int64)))
+
+    before, after = lengths(x[:half][::-1], y[::-1]), lengths(x[half:], y)[::-1]
+    return half, int(np.argmax(before + after))
+
+
+def listed(streams: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, name of each stream...): the rows of each stream of a key, as structs in ascending order of their columns."""
+    kinds = {name: s.drop(key).schema for name, s in streams.items()}
+    one = lambda name, s: s.select(key, *((F.struct(*s.drop(key).columns) if n == name else F.lit(None).cast(kind)).alias(n) for n, kind in kinds.items()))
+    parts = [one(name, s) for name, s in streams.items()]
+    every = functools.reduce(DataFrame.union, parts)
+    return every.groupBy(key).agg(*(F.sort_array(F.collect_list(n)).alias(n) for n in kinds))
+
+
+def common(a: Column, b: Column, work: int | None = None) -> Column:
+    """(a, b, stopped): places of the members of two array columns that a longest common subsequence pairs; see Common."""
+
+    @F.arrow_udf("a array<int>, b array<int>, stopped boolean")
+    def align(a: pa.Array, b: pa.Array) -> pa.Array:
+        codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = [np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False))) for side in (a, b)]
+        ends[1] += ends[0][-1]
+        found, stopped = [], []
+        for a0, a1, b0, b1 in zip(ends[0], ends[0][1:], ends[1], ends[1][1:]):
+            c = Common(codes[a0:a1], codes[b0:b1], work)
+            found.append(np.array(c.pairs, np.int32).reshape(-1, 2))
+            stopped.append(c.stopped)
+        at = pa.array(np.append(0, np.cumsum([len(f) for f in found])), pa.int32())
+        places = np.concatenate(found) if found else np.zeros((0, 2), np.int32)
+        sides = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(places[:, k]))) for k in (0, 1)]
+        return pa.StructArray.from_arrays([*sides, pa.array(stopped, pa.bool_())], ["a", "b", "stopped"])
+
+    return align(a, b)
+
+
 def aligned(a: DataFrame, b: DataFrame, key: str, order: str, value: str, work: int | None = None) -> DataFrame:
     """(key, a_pos, b_pos) of the members of two ordered streams that a longest common subsequence pairs, by key.
 
     With `work`, a bound on the steps of a key, there is `stopped` too: whether it was reached, in each row of the key, and
-    in a row without places if no pair was found by then.
+    in a row without places if no pair was found by then.  Members of one place go by value.
     """
-
-    def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(order), right.sort_values(order)
-        found = Common(left[value].tolist(), right[value].tolist(), work)
-        i, j = np.array(found.pairs, int).reshape(-1, 2).T
-        rows = pd.DataFrame({key: np.full(len(i), left[key].iloc[0] if len(left) else None, object), "a_pos": left[order].to_numpy()[i], "b_pos": right[order].to_numpy()[j]})
-        if work is not None:
-            rows["stopped"] = found.stopped
-            if found.stopped and not len(rows):
-                rows = pd.DataFrame({key: [left[key].iloc[0]], "a_pos": [None], "b_pos": [None], "stopped": [True]})
-        return rows
-
-    kind = dict(a.dtypes)
-    a, b = a.select(key, order, value), b.select(*(F.col(c).alias(c) for c in (key, order, value)))  # of its own, also if both are of one table
-    more = ", stopped boolean" if work is not None else ""
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(align, f"{key} {kind[key]}, a_pos {kind[order]}, b_pos {kind[order]}{more}")
+    both = listed({"_a": a.select(key, order, value), "_b": b.select(key, order, value)}, key).where((F.size("_a") > 0) & (F.size("_b") > 0))
+    values = lambda side: F.transform(side, lambda x: x[value])
+    met = both.select(key, "_a", "_b", common(values("_a"), values("_b"), work).alias("_m"))
+    kind = dict(a.dtypes)[order]
+    place = lambda side, i: F.get(side, i)[order]
+    pairs = F.transform(F.arrays_zip("_m.a", "_m.b"), lambda p: F.struct(place("_a", p["a"]).alias("a_pos"), place("_b", p["b"]).alias("b_pos")))
+    if work is None:
+        return met.select(key, F.inline(pairs))
+    none = F.array(F.struct(F.lit(None).cast(kind).alias("a_pos"), F.lit(None).cast(kind).alias("b_pos")))
+    return met.select(key, F.inline(F.when(F.col("_m.stopped") & (F.size("_m.a") == 0), none).otherwise(pairs)), F.col("_m.stopped").alias("stopped"))
 
 
 class Breaker:
@@ -253,23 +324,34 @@ def decomposed(s: pd.Series) -> pd.Series:
 def hunks(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
     """(key, hunk, a_n, b_n, class): what stands between neighbouring pairs of an alignment, and at both ends.
 
-    a and b: (key, order, unit, line_end); pairs: (key, a_pos, b_pos).  Both sides of a hunk are spelled out, decomposed and
-    without white space.  hyphen: alike without hyphens that end a line; aonly, bonly: the other side is empty; font: alike
-    with them; char: anything else.  The number of pairs before a member tells its hunk, so each stream is swept once; keys
-    in neither stream have none.
+    a and b: (key, order, unit, line_end); pairs: (key, a_pos, b_pos).  Keys in neither stream have none.  See hunks_of.
+    """
+    side = lambda stream, at: stream.join(pairs.select(key, F.col(at).alias(order), F.lit(True).alias("met")), [key, order], "left").select(key, order, "unit", "line_end", "met")
+    lists = listed({"a": side(a, "a_pos"), "b": side(b, "b_pos")}, key)
+    met = lambda side: F.filter(F.transform(side, lambda x, i: F.when(x["met"], i)), lambda i: i.isNotNull())
+    units = lambda side: F.transform(side, lambda x: F.struct(x["unit"].alias("unit"), x["line_end"].alias("line_end")))
+    return hunks_of(lists.select(key, units("a").alias("a"), units("b").alias("b"), F.struct(met("a").alias("a"), met("b").alias("b")).alias("met")), key)
+
+
+def hunks_of(lists: DataFrame, key: str) -> DataFrame:
+    """(key, hunk, a_n, b_n, class) of (key, a, b, met): arrays of (unit, line_end), and the places that `common` pairs.
+
+    Both sides of a hunk are spelled out, decomposed and without white space.  hyphen: alike without hyphens that end a
+    line; aonly, bonly: the other side is empty; font: alike with them; char: anything else.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-    def side(stream: DataFrame, at: str, name: str) -> DataFrame:
-        own = stream.join(pairs.select(key, F.col(at).alias(order), F.lit(1).alias("_met")), [key, order], "left")
-        apart = own.withColumn("hunk", F.coalesce(F.sum("_met").over(w), F.lit(0))).where("_met is null")
-        kept = F.when(F.col("unit").isin(*HYPHENS) & F.col("line_end"), "").otherwise(F.col("unit"))
-        spelled = lambda unit: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, unit.alias("u")))), lambda x: x["u"]), "")
-        return apart.groupBy(key, "hunk").agg(F.count("*").alias(f"{name}_n"), spelled(kept).alias(f"_{name}"), spelled(F.col("unit")).alias(f"_{name}_all"))
-
-    both = side(a, "a_pos", "a").join(side(b, "b_pos", "b"), [key, "hunk"], "full").na.fill(0, ["a_n", "b_n"]).na.fill("", ["_a", "_b", "_a_all", "_b_all"])
-    plain = both.select(key, "hunk", "a_n", "b_n", *(decomposed(c).alias(c) for c in ("_a", "_b", "_a_all", "_b_all")))
-    kind = F.when(F.col("_a") == F.col("_b"), "hyphen").when(F.col("b_n") == 0, "aonly").when(F.col("a_n") == 0, "bonly").when(F.col("_a_all") == F.col("_b_all"), "font").otherwise("char")
+
+    def between(side: str, k: Column) -> Column:
+        """What lies from the pair before, if any, to pair k or the end."""
+        begin = F.when(k > 0, F.get(f"met.{side}", k - 1) + 1).otherwise(0)
+        return F.slice(side, begin + 1, F.coalesce(F.get(f"met.{side}", k), F.size(side)) - begin)
+
+    every = F.transform(F.sequence(F.lit(0), F.size("met.a")), lambda k: F.struct(k.cast("long").alias("hunk"), between("a", k).alias("a"), between("b", k).alias("b")))
+    parts = lists.select(key, F.inline(F.filter(every, lambda h: (F.size(h["a"]) > 0) | (F.size(h["b"]) > 0))))
+    spelled = lambda side, kept: F.array_join(F.transform(side, kept), "")
+    kept = lambda x: F.when(x["unit"].isin(*HYPHENS) & x["line_end"], "").otherwise(x["unit"])
+    sides = [decomposed(spelled(side, form)).alias(name + side) for name, form in (("_", kept), ("_all_", lambda x: x["unit"])) for side in ("a", "b")]
+    plain = parts.select(key, "hunk", F.size("a").cast("long").alias("a_n"), F.size("b").cast("long").alias("b_n"), *sides)
+    kind = F.when(F.col("_a") == F.col("_b"), "hyphen").when(F.col("b_n") == 0, "aonly").when(F.col("a_n") == 0, "bonly").when(F.col("_all_a") == F.col("_all_b"), "font").otherwise("char")
     return plain.select(key, "hunk", "a_n", "b_n", kind.alias("class"))
 
 

@@ -64,6 +64,17 @@ def gap_align(spark, sf_dir):
     return S.gaps(S.aligned(a, b, "page", "gid", "code"), "page")
 
 
+def _turns(c, units):
+    """(key, a, b): the units of each turn in order, and those of the turn before, where there are both; turns of one key are one."""
+    key = lambda turn: F.concat_ws("/", "conv_id", turn).alias("key")
+    none = F.lit(None).cast("array<string>")
+    sides = c.select(key("turn"), units.alias("a"), none.alias("b")).unionByName(c.select(key(F.col("turn") + 1), none.alias("a"), units.alias("b")))
+    placed = lambda every: F.array_sort(F.flatten(F.transform(every, lambda one: F.transform(one, lambda u, i: F.struct(i.alias("i"), u.alias("u"))))))
+    merged = lambda every: F.when(F.size(every) > 1, F.transform(placed(every), lambda x: x["u"])).otherwise(F.get(every, F.lit(0)))
+    both = sides.groupBy("key").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    return both.select("key", merged("a").alias("a"), merged("b").alias("b"))
+
+
 @P.query()
 def doc_align(spark, sf_dir):
     """Turns of a conversation aligned word by word with the turn before, and how much of them matches."""
@@ -77,14 +88,12 @@ def doc_align(spark, sf_dir):
 @P.query()
 def hunk_class(spark, sf_dir):
     """What an alignment of a turn with the turn before leaves between matched words, by how both sides are spelled."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
+    c = table(spark, sf_dir, "conversations").where("text is not null and conv_id is not null and turn is not null")
     # a hyphen at a line's end is a unit of its own
     units = F.regexp_extract_all("text", F.lit(r"[-\u2010\u00ad](?=\n)|(?:(?![-\u2010\u00ad]\n)\S)+"), F.lit(0))
-    w = c.select("conv_id", "turn", F.posexplode(units).alias("pos", "unit")).withColumn("line_end", F.col("unit").isin(*S.HYPHENS))
-    beside = lambda n: w.join(c.select("conv_id", (F.col("turn") + n).alias("turn")), ["conv_id", "turn"], "left_semi")
-    a, b = beside(1).select(F.concat_ws("/", "conv_id", "turn").alias("key"), "pos", "unit", "line_end"), beside(-1)
-    b = b.select(F.concat_ws("/", "conv_id", (F.col("turn") + 1).alias("turn")).alias("key"), "pos", "unit", "line_end")
-    return S.hunks(S.aligned(a, b, "key", "pos", "unit"), a, b, "key", "pos")
+    met = _turns(c, units).withColumn("met", S.common(F.col("a"), F.col("b")))
+    marked = lambda side: F.transform(side, lambda u: F.struct(u.alias("unit"), u.isin(*S.HYPHENS).alias("line_end"))).alias(side)
+    return S.hunks_of(met.select("key", marked("a"), marked("b"), "met"), "key")
 
 
 @P.query()

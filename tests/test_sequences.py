@@ -144,3 +144,34 @@ def test_hunks_by_spelling(spark):
     got = sorted(map(tuple, hunks(pairs, a, b, "k", "pos").collect()))
     assert [(k, n, m, c) for k, _, n, m, c in got] == [(1, 1, 0, "hyphen"), (2, 6, 0, "aonly"), (3, 0, 6, "bonly"), (4, 2, 3, "font"), (5, 1, 1, "char"), (6, 4, 0, "aonly"), (7, 0, 5, "bonly"), (8, 1, 2, "hyphen")]
     assert {h for k, h, *_ in got if k in (6, 7)} == {0}
+
+
+def test_lists_that_differ_throughout_take_a_table():
+    """Two of 1,000 members of 21 kinds: a table of bits, however many edits there are; also halved, as long lists are."""
+    r = random.Random(8)
+    a, b = ([r.randrange(21) for _ in range(1_000)] for _ in range(2))
+    found = Common(a, b)
+    assert found.steps <= 20_000 and not found.stopped
+    for other in (Common(a, b, cells=0), Common(a, b, cells=0, kept=10_000), Common(a, b, cells=8, kept=1_000)):
+        assert len(other.pairs) == len(found.pairs)
+        assert all(a[i] == b[j] for i, j in other.pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(other.pairs))
+    assert Common(a, b, 10_000).stopped
+
+
+def turns_at(spark, path, turns):
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(path / "conversations.parquet"))
+    return str(path)
+
+
+def python_steps(df):
+    """How often the plan sends rows to Python, and how often a group at a time."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("ArrowEvalPython"), plan.count("InPandas")
+
+
+def test_hunks_of_turns(spark, tmp_path):
+    """One alignment for both sides, in batches of keys; a turn without words is one side, a missing one is none."""
+    at = turns_at(spark, tmp_path, [(1, 0, "u", "a b c d"), (1, 1, "a", "b x-\ny d"), (1, 2, "u", ""), (1, 3, "a", None), (1, 4, "u", "z"), (2, 0, "u", "b"), (3, None, "u", "q")])
+    found = plans.hunk_class(spark, at)
+    assert sorted(map(tuple, found.collect())) == [("1/1", 0, 0, 1, "bonly"), ("1/1", 1, 3, 1, "char"), ("1/2", 0, 0, 5, "bonly")]
+    assert python_steps(found) == (2, 0)
