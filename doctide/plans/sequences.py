@@ -79,10 +79,8 @@ def _turns(c, units):
 def doc_align(spark, sf_dir):
     """Turns of a conversation aligned word by word with the turn before, and how much of them matches."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    w = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
-    a = w.select(F.concat_ws("/", "conv_id", "turn").alias("key"), "pos", "word")
-    b = w.select(F.concat_ws("/", "conv_id", (F.col("turn") + 1).alias("turn")).alias("key"), "pos", "word")
-    return S.aligned(a, b, "key", "pos", "word").groupBy("key").agg(F.count("*").alias("matched"))
+    met = _turns(c, F.split("text", r"\s+")).select("key", F.size(S.common(F.col("a"), F.col("b"))["a"]).cast("long").alias("matched"))
+    return met.where("matched > 0")
 
 
 @P.query()

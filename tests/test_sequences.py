@@ -175,3 +175,11 @@ def test_hunks_of_turns(spark, tmp_path):
     found = plans.hunk_class(spark, at)
     assert sorted(map(tuple, found.collect())) == [("1/1", 0, 0, 1, "bonly"), ("1/1", 1, 3, 1, "char"), ("1/2", 0, 0, 5, "bonly")]
     assert python_steps(found) == (2, 0)
+
+
+def test_turns_of_one_key_are_one_list(spark, tmp_path):
+    """A turn that stands twice is one list by place of word; words are not dealt one by one."""
+    at = turns_at(spark, tmp_path, [(1, 0, "u", "a b"), (1, 0, "u", "a b"), (1, 1, "a", "b a a x b"), (1, 3, "u", "a"), (2, 0, "u", "x"), (2, 1, "u", "y")])
+    found = plans.doc_align(spark, at)
+    assert sorted(map(tuple, found.collect())) == [("1/1", 3)]
+    assert python_steps(found) == (1, 0)
