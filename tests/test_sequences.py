@@ -183,3 +183,17 @@ def test_turns_of_one_key_are_one_list(spark, tmp_path):
     found = plans.doc_align(spark, at)
     assert sorted(map(tuple, found.collect())) == [("1/1", 3)]
     assert python_steps(found) == (1, 0)
+
+
+def test_streams_of_a_page_are_aligned_as_lists(spark, tmp_path):
+    """Items of both kinds of a page meet in one row; before, each page was a group of its own in Python."""
+    items = [(k, 1 + k % 2, 5, 1 + k % 7, 2.0, 100.0, "ANR"[k * k % 3], "FO"[k // 4 % 2]) for k in range(40)]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = plans.lcs_align(spark, str(tmp_path))
+    got = found.collect()
+    assert python_steps(found) == (1, 0) and not any(r["stopped"] for r in got)
+    gids = {(k * 10 + 1 + k % 7): (f"{'ANR'[k * k % 3]}{9 + k % 7}", 1 + k % 2, "FO"[k // 4 % 2]) for k in range(40)}
+    for page in (1, 2):
+        a, b = ([g for g in sorted(gids) if gids[g][1:] == (page, s)] for s in "FO")
+        want = longest_common([gids[g][0] for g in a], [gids[g][0] for g in b])
+        assert sorted((r["a_pos"], r["b_pos"]) for r in got if r["page"] == page) == [(a[i], b[j]) for i, j in want]
