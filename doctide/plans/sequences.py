@@ -79,8 +79,10 @@ def _turns(c, units):
 def doc_align(spark, sf_dir):
     """Turns of a conversation aligned word by word with the turn before, and how much of them matches."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    met = _turns(c, F.split("text", r"\s+")).select("key", F.size(S.common(F.col("a"), F.col("b"))["a"]).cast("long").alias("matched"))
-    return met.where("matched > 0")
+    met = _turns(c, F.split("text", r"\s+")).select("key", S.common(F.col("a"), F.col("b")).alias("met"))
+    # a filter would be moved below the alignment and align once more
+    matched = F.size("met.a").cast("long")
+    return met.select("key", F.explode(F.when(matched > 0, F.array(matched))).alias("matched"))
 
 
 @P.query()
