@@ -2,6 +2,7 @@
 
 import random
 
+from doctide.operators import ties
 from doctide.operators.ties import tied
 
 
@@ -46,3 +47,13 @@ def test_random_ties(spark):
     members = [(i, float(r.randrange(1, 60)), float(r.randrange(1, 20)), r.randrange(4)) for i in range(60)]
     ties = {f"t{k}": sorted(r.sample(range(60), r.randrange(1, 5))) for k in range(40)}
     assert found(spark, members, ties) == plain(members, ties)
+
+
+def test_rounds_look_at_ties_that_changed(spark, monkeypatch):
+    """A chain beside many ties that hold from the first round on: later rounds read the chain's ties alone."""
+    members = [(i, float(10 + i), 0.1, 1) for i in range(12)] + [(100 + i, 5.0, 0.1, 1) for i in range(400)]
+    links = {f"t{i}": [i, i + 1] for i in range(11)} | {f"s{i}": [100 + i, 101 + i] for i in range(399)}
+    sizes, caps = [], ties._caps
+    monkeypatch.setattr(ties, "_caps", lambda met: sizes.append(met.count()) or caps(met))
+    assert found(spark, members, links) == plain(members, links)
+    assert len(sizes) == 12 and sizes[0] == 820 and max(sizes[1:]) <= 44
