@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spacing accents and the combining marks that they stand for.
@@ -18,11 +19,11 @@ DOTLESS = {"ı": "i", "ȷ": "j"}
 SLACK = 0.05
 
 
-def compositions(spark: SparkSession) -> DataFrame:
+def _compositions() -> list[tuple[str, str, str]]:
     """(letter, accent, composed): every letter that a spacing accent may stand over, from the canonical compositions.
 
-    As large as Unicode makes it, some 1,800 rows whatever the input, so it may be broadcast.  A dotless letter takes
-    the dotted one's form under a mark above it.
+    As many as Unicode makes, some 1,800 whatever the input.  A dotless letter takes the dotted one's form under a mark
+    above it.
     """
     undotted = {v: k for k, v in DOTLESS.items()}
     rows = []
@@ -38,35 +39,85 @@ def compositions(spark: SparkSession) -> DataFrame:
                 rows.append((letter, accent, chr(code)))
                 if letter in undotted and mark not in BELOW:
                     rows.append((undotted[letter], accent, chr(code)))
-    return spark.createDataFrame(rows, "letter string, accent string, composed string")
+    return rows
 
 
-def joined_accents(glyphs: DataFrame, keys: list[str]) -> DataFrame:
-    """glyphs with `text`: an accent's is empty where it is joined to a letter, which then has the accented form.
+COMPOSITIONS = _compositions()
+#: Of each accented letter the letter, dotless where there is such a one, and the first spacing form of its accent.
+FORMS = {c: max((letter, accent) for letter, accent, d in COMPOSITIONS if d == c) for c in sorted({c for *_, c in COMPOSITIONS})}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def apart(text: Column) -> tuple[Column, Column]:
+    """Two texts in place of one: of each accented letter the accent, and the letter; of any other sign itself in both."""
+    return tuple(F.translate(text, "".join(FORMS), "".join(f[k] for f in FORMS.values())) for k in (1, 0))
+
+
+def _composed(accent: Column, letter: Column) -> Column:
+    """The letter with the accent; null where there is no such letter."""
+    out = F.lit(None).cast("string")
+    for mark in sorted(set(ACCENTS.values())):
+        signs = [a for a, m in ACCENTS.items() if m == mark]
+        on = {x: c for x, a, c in COMPOSITIONS if a == signs[0]}
+        found = F.translate(letter, "".join(on), "".join(on.values()))
+        found = F.when((F.length(letter) == 1) & (found != letter), found)
+        out = F.when(accent.isin(*signs), found).otherwise(out)
+    return out
+
+
+def _near() -> str:
+    """Pattern of the stretches of a line that accents may change: signs in the ranges of accents and of letters with one, and those beside."""
+    codes = sorted(map(ord, {*ACCENTS, *FORMS}))
+    ranges = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c - ranges[-1][1] > 256 or c >= 0x80 > ranges[-1][1] or c < 0x80:
+            ranges.append([c, c])
+        ranges[-1][1] = c
+    inside = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges)
+    return f"[^{inside}]?+[{inside}]++(?:[^{inside}][{inside}]++)*+[^{inside}]?+"
+
 
-    glyphs: (keys..., ord, u, font, size, x0, x1, y, top).  An accent belongs to the glyph after it, else to the one before,
-    if both have one font, the accent's middle lies on the letter's advance, and its baseline is the letter's or above it by
-    at most its height.  A letter takes one accent: the one after it only if the one before it did not take it.
+#: A sign of another range reads as itself unless it stands beside one of these; with one such sign on either side a stretch is whole.
+NEAR = _near()
+
+
+def accented(glyphs: Column) -> Column:
+    """Array of what each glyph of a line reads as: an accent that is joined to a letter as nothing, the letter in its accented form.
+
+    glyphs: array of structs (u, font, size, x0, x1, y, top, ...) in order.  An accent belongs to the glyph after it, else to
+    the one before, if both have one font, the accent's middle lies on the letter's advance, and its baseline is the
+    letter's or above it by at most its height.  A letter takes one accent: the one after it only if the one before it did
+    not take it.
     """
-    w = Window.partitionBy(*keys).orderBy("ord")
-    names = ("u", "font", "size", "x0", "x1", "y", "top")
-    beside = glyphs.withColumns({"_next": F.lead(F.struct(*names)).over(w), "_before": F.lag(F.struct(*names)).over(w)})
-    table = compositions(glyphs.sparkSession)
-    for side in ("_next", "_before"):
-        known = table.select(F.col("letter").alias(f"_l{side}"), F.col("accent").alias(f"_a{side}"), F.col("composed").alias(f"_c{side}"))
-        beside = beside.join(F.broadcast(known), (F.col("u") == F.col(f"_a{side}")) & (F.col(f"{side}.u") == F.col(f"_l{side}")), "left")
-
-    def over(side: str) -> Column:
-        letter, slack = (lambda c: F.col(f"{side}.{c}")), SLACK * F.col("size")
-        middle, rise = (F.col("x0") + F.col("x1")) / 2, F.col("y") - letter("y")
-        on = middle.between(letter("x0") - slack, letter("x1") + slack) & (rise >= -slack) & (rise <= F.greatest(letter("top") - letter("y"), F.lit(0.0)) + slack)
-        return F.when((F.col("font") == letter("font")) & on, F.col(f"_c{side}"))
-
-    asked = beside.withColumns({"_ahead": over("_next"), "_behind": over("_before")})
-    # the letter before is taken if the accent before that one took it
-    asked = asked.withColumn("_behind", F.when(F.col("_ahead").isNull() & F.lag("_ahead", 2).over(w).isNull(), F.col("_behind")))
-    text = F.coalesce(F.lag("_ahead").over(w), F.lead("_behind").over(w), F.when(F.col("_ahead").isNotNull() | F.col("_behind").isNotNull(), "").otherwise(F.col("u")))
-    return asked.withColumn("text", text).select(*glyphs.columns, "text")
+
+    def over(g: Column, letter: Column) -> Column:
+        slack = SLACK * g["size"]
+        middle, rise = (g["x0"] + g["x1"]) / 2, g["y"] - letter["y"]
+        on = middle.between(letter["x0"] - slack, letter["x1"] + slack) & (rise >= -slack) & (rise <= F.greatest(letter["top"] - letter["y"], F.lit(0.0)) + slack)
+        return F.when(g["u"].isin(*ACCENTS) & (g["font"] == letter["font"]) & on, _composed(g["u"], letter["u"]))
+
+    def read(line: Column) -> Column:
+        ahead = F.transform(line, lambda g, i: over(g, F.get(line, i + 1)))
+        # the letter before is taken if the accent before that one took it
+        behind = lambda to: F.transform(line, lambda g, i: F.when(F.get(to, i).isNull() & F.get(to, i - 2).isNull(), over(g, F.get(line, i - 1))))
+        gone = lambda to, back, i: F.get(to, i).isNotNull() | F.get(back, i).isNotNull()
+        text = lambda to, back: F.transform(line, lambda g, i: F.coalesce(F.get(to, i - 1), F.get(back, i + 1), F.when(gone(to, back, i), "").otherwise(g["u"])))
+        return let(ahead, lambda to: let(behind(to), lambda back: text(to, back)))
+
+    return let(glyphs, read)
+
+
+def joined_accents(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """glyphs (keys..., ord, u, font, size, x0, x1, y, top, ...) with `text`, what each reads as in its line; see accented."""
+    rest = [c for c in glyphs.columns if c not in keys]
+    lines = glyphs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.struct("ord").alias("_by"), F.struct(*rest).alias("_g")))).alias("_line"))
+    lines = lines.select(*keys, F.transform("_line", lambda x: x["_g"]).alias("_line"))
+    read = lines.select(*keys, "_line", accented(F.col("_line")).alias("_text")).select(*keys, F.explode(F.arrays_zip("_line", "_text")).alias("_x"))
+    return read.select(*keys, "_x._line.*", F.col("_x._text").alias("text")).select(*glyphs.columns, "text")
 
 
 def placed_cells(cells: DataFrame, key: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from doctide.functions import nested as N
 from doctide.functions.text import escape_text, token_kind
-from doctide.operators.glyphs import compositions, joined_accents, placed_cells
+from doctide.operators import glyphs as G
+from doctide.operators.glyphs import placed_cells
 from doctide.operators.hyphens import break_points, syllable_patterns
 from doctide.operators.mentions import mentions
 from doctide.operators.ranges import islands
@@ -298,19 +299,22 @@ def table_grid(spark, sf_dir):
 def join_accents(spark, sf_dir):
     """Each line set as glyphs, its accents apart from their letters as fonts set them, and read back by where glyphs lie.
 
-    Every other sign advances by itself, so accents that stand alone in a text stay alone.
+    Every other sign advances by itself, so accents that stand alone in a text stay alone.  A line is set and read where
+    it is, and of it only what stands in reach of an accent: nothing is dealt by glyph.
     """
-    signs = lines(spark, sf_dir).where("line <> ''").select("doc_id", "pos", F.posexplode(F.split("line", "")).alias("at", "sign"))
-    # the first spacing form of each accent, over a dotless letter where there is one
-    forms = compositions(spark).groupBy("composed").agg(F.max_by(F.struct("letter", "accent"), F.struct("letter", "accent")).alias("form"))
-    met = signs.join(F.broadcast(forms), F.col("sign") == F.col("composed"), "left")
-    upper = F.col("form.letter").rlike(r"^\p{Lu}$").cast("double") * 2
-    glyph = lambda ord_, u, y: F.struct(ord_.alias("ord"), u.alias("u"), F.lit("f").alias("font"), F.lit(10.0).alias("size"), (F.col("at") * 5.0).alias("x0"), (F.col("at") * 5.0 + 5).alias("x1"), y.alias("y"), (y + 7).alias("top"))
-    pair = F.array(glyph(F.col("at") * 2, F.col("form.accent"), upper), glyph(F.col("at") * 2 + 1, F.col("form.letter"), F.lit(0.0)))
-    one = F.array(glyph(F.col("at") * 2, F.col("sign"), F.lit(0.0)))
-    glyphs = met.select("doc_id", "pos", F.explode(F.when(F.col("form").isNotNull(), pair).otherwise(one)).alias("g")).select("doc_id", "pos", "g.*")
-    read = joined_accents(glyphs, ["doc_id", "pos"]).groupBy("doc_id", "pos")
-    return read.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"))
+
+    def glyphs(x: Column, at: Column) -> Column:
+        glyph = lambda u, y: F.struct(u.alias("u"), F.lit("f").alias("font"), F.lit(10.0).alias("size"), (at * 5.0).alias("x0"), (at * 5.0 + 5).alias("x1"), y.alias("y"), (y + 7).alias("top"))
+        upper = x["letter"].rlike(r"^\p{Lu}$").cast("double") * 2
+        return F.when(x["accent"] != x["letter"], F.array(glyph(x["accent"], upper), glyph(x["letter"], F.lit(0.0)))).otherwise(F.array(glyph(x["letter"], F.lit(0.0))))
+
+    def read(part: Column) -> Column:
+        accents, letters = (F.split(t, "") for t in G.apart(part))
+        return F.array_join(G.accented(F.flatten(F.transform(F.arrays_zip(accents.alias("accent"), letters.alias("letter")), glyphs))), "")
+
+    near = F.transform(F.regexp_extract_all("line", F.lit(G.NEAR), F.lit(0)), read)
+    text = G.let(near, lambda parts: F.array_join(F.transform(F.split("line", G.NEAR, -1), lambda rest, i: F.concat(rest, F.coalesce(F.get(parts, i), F.lit("")))), ""))
+    return lines(spark, sf_dir).where("line <> ''").select("doc_id", "pos", text.alias("text"))
 
 
 @P.query()

@@ -3,6 +3,7 @@
 import random
 
 from doctide.operators.glyphs import joined_accents, placed_cells
+from doctide.plans import pieces
 
 
 def read(spark, lines):
@@ -54,3 +55,16 @@ def test_spans_on_a_grid(spark):
     for t, cells in enumerate(tables):
         assert {(x["row"], x["ord"]): x["col"] for x in got if x["t"] == t} == plain(cells)
     assert plain(tables[0]) == {(0, 0): 0, (0, 1): 1, (1, 0): 1, (1, 1): 2, (2, 0): 0, (2, 1): 1}
+
+
+def test_lines_are_read_where_they_are(spark, tmp_path):
+    """Lines of repeated documents, signs of two code units, accents alone, in rows and at the ends; and nothing is dealt by glyph."""
+    texts = ["élan\n\nÉté à Ångström, ça", "élan\n\nÉté à Ångström, ça", "´é`è^~ a`", "e´ é´ ´é ´´é", "\U0001d49cé\U0001f600´e", "ìíîïȷ̌ǰ ıi", None, "", "é" * 3_000, "x" * 500 + "ü" + "y" * 500 + "`", "й Ё ΐ ế ệ", "aéb\tcd\rée"]
+    spark.createDataFrame([(k % 9, t, "xx", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = pieces.join_accents(spark, str(tmp_path))
+    want = sorted((k % 9, pos, line) for k, t in enumerate(texts) if t for pos, line in enumerate(t.split("\n")) if line)
+    got = sorted(map(tuple, found.collect()))
+    alone = {"´é`è^~ a`", "e´ é´ ´é ´´é", "\U0001d49cé\U0001f600´e"}
+    assert [g for g in got if g[2] not in alone] == [w for w in want if w[2] not in alone] and len(got) == len(want)
+    assert got == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
