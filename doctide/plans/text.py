@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from doctide.functions import nested as N
 from doctide.functions import text as T
 from doctide.operators import acceptance as A
 from doctide.operators import sentences as S
+from doctide.operators.walks import cut
 from doctide.plans.register import Plans
 from doctide.sources.tables import LINES, WORDS, lines, table, words
 
@@ -499,11 +500,32 @@ _PREFIXES = "a AS (SELECT doc_id, pos, ord, regexp_extract(word, '^(\\p{L}{2,5})
 def expand_abbrev(spark, sf_dir):
     """Words cut by a full stop with the first longer word of their document that they begin.
 
-    The join is by document and the stem itself: every longer word is listed under each of its beginnings.
+    A document's stems and longer words are sorted together where it is read, so a stem is followed by the words it
+    begins; only documents that share an id are joined by it and the stem, every longer word under each of its beginnings.
     """
-    w = words(spark, sf_dir)
-    a = w.where(F.col("word").rlike(r"^\p{L}{2,5}\.\z")).select("doc_id", "pos", "ord", F.regexp_replace("word", r"\.\z", "").alias("stem"))
+    d = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", "text")
+    several = cut(d.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    alone, shared = (d.join(several, "doc_id", how) for how in ("left_anti", "left_semi"))
+    stem, long = r"^\p{L}{2,5}\.\z", r"(?<![^ \n])\p{L}{3,}+(?![^ \n])"
+    in_line = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+
+    cut_off = lambda pos: lambda w, ord_: F.when(w.rlike(stem), F.struct(F.regexp_replace(w, r"\.\z", "").alias("word"), F.lit(True).alias("stem"), pos.alias("pos"), ord_.alias("ord")))
+    stems = F.flatten(F.transform(F.split("text", "\n"), lambda line, pos: F.filter(F.transform(in_line(line), cut_off(pos)), lambda x: x.isNotNull())))
+    none = F.lit(None).cast("int")
+    longer = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(long), F.lit(0))), lambda w: F.struct(w.alias("word"), F.lit(False).alias("stem"), none.alias("pos"), none.alias("ord")))
+
+    def step(s: Column, x: Column) -> Column:
+        one = F.struct(x["pos"].alias("pos"), x["ord"].alias("ord"), x["word"].alias("stem"), s["word"].alias("full_"))
+        all_ = F.when(x["stem"] & s["word"].startswith(x["word"]), F.array_append(s["all"], one)).otherwise(s["all"])
+        return F.struct(F.when(x["stem"], s["word"]).otherwise(x["word"]).alias("word"), all_.alias("all"))
+
+    # from the last word back, a stem before the word that is spelled like it: the word met last is the first that the stem may begin
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.array().cast("array<struct<pos:int,ord:int,stem:string,full_:string>>").alias("all"))
+    own = alone.select("doc_id", F.inline(F.aggregate(F.sort_array(F.concat(stems, longer), asc=False), start, step)["all"]))
+
+    w = shared.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.posexplode(in_line(F.col("line"))).alias("ord", "word"))
+    a = w.where(F.col("word").rlike(stem)).select("doc_id", "pos", "ord", F.regexp_replace("word", r"\.\z", "").alias("stem")).distinct()
     f = w.where(F.col("word").rlike(r"^\p{L}{3,}\z")).select("doc_id", "word").distinct()
-    stems = F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(5))), lambda n: F.substring("word", F.lit(1), n))
-    listed = f.select("doc_id", "word", F.explode(stems).alias("stem")).groupBy("doc_id", "stem").agg(F.min("word").alias("full_"))
-    return a.join(listed, ["doc_id", "stem"]).select("doc_id", "pos", "ord", "stem", "full_")
+    beginnings = F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(5))), lambda n: F.substring("word", F.lit(1), n))
+    listed = f.select("doc_id", "word", F.explode(beginnings).alias("stem")).groupBy("doc_id", "stem").agg(F.min("word").alias("full_"))
+    return own.unionByName(a.join(listed, ["doc_id", "stem"]))
