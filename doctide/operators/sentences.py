@@ -10,6 +10,8 @@ with the Other_Lowercase or Other_Uppercase property count by category, and only
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,17 +70,31 @@ LABEL = _after_word("[A-Z][a-z]{1,4}")
 NUMBERED = _WHITE + r"[0-9]+(?:$|[^0-9).]|\.[0-9])"
 
 
+#: More than the longest word of a rule and its stop take, so the start of an end this long is never taken for a text's.
+END = 2 + max(map(len, f"{ABBREVIATIONS} {LABELS} {MONTHS} Label".split()))
+
+
 def joined(tail: Column, following: Column) -> Column:
-    """Whether a piece that ends with `tail` (white space cut off) and the piece `following` are one sentence."""
-    return (
-        (tail.rlike(ABBREVIATED) & (~tail.rlike(MAY_END) | following.rlike(GOES_ON)))
-        | tail.rlike(CASE)
-        | (tail.rlike(NUMBERED_PART) & following.rlike(ITS_NUMBER))
-        | (tail.rlike(MONTH) & following.rlike(ITS_DATE))
-        | (tail.rlike(LABEL) & following.rlike(NUMBERED))
+    """Whether a piece that ends with `tail` (white space cut off) and the piece `following` are one sentence.
+
+    All rules want a stop at the end.  The patterns of a last word see the end of the tail alone, as they would go through
+    all of it; that of a case sees all, where a "v." is last.
+    """
+    end = F.substring(tail, -END, END)
+    return tail.endswith(".") & (
+        (end.rlike(ABBREVIATED) & (~end.rlike(MAY_END) | following.rlike(GOES_ON)))
+        | (tail.endswith("v.") & tail.rlike(CASE))
+        | (end.rlike(NUMBERED_PART) & following.rlike(ITS_NUMBER))
+        | (end.rlike(MONTH) & following.rlike(ITS_DATE))
+        | (end.rlike(LABEL) & following.rlike(NUMBERED))
     )
 
 
+def _replaced(text: Column, signs: str, by: str) -> Column:
+    """text with each of a few signs in place of which `by` stands; faster than a translation sign by sign."""
+    return functools.reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(by)), signs, text)
+
+
 def _boundary() -> str:
     """What stands before a boundary: stops, closing marks and spaces, with no rule against a break after them."""
     one = {k: f"[{v}]" for k, v in CLASSES.items()}
@@ -98,7 +114,8 @@ BOUNDARY = _boundary()
 def running(text: Column) -> Column:
     """White space as a paragraph's: each sign of a run is a space, but the first line end of a run that holds an empty line."""
     first = F.regexp_replace(text, r"([\t\f\r ]*)\n([\t\f\r ]*\n[\t\n\f\r ]*)", f"$1{MARK}$2")
-    return F.translate(F.translate(first, "\n\t\f\r", "    "), MARK, "\n")
+    lines = _replaced(_replaced(first, "\n\t\f\r", " "), MARK, "\n")
+    return F.when(F.contains(text, F.lit("\n")), lines).otherwise(_replaced(text, "\t\f\r", " "))
 
 
 CITATION, ANNOTATION = "citation", "annotation"
@@ -174,10 +191,11 @@ def sentence_cuts(units: DataFrame, keys: list[str], text: str, readings: str |
     cuts; line ends are spaces but for empty lines.  Texts are cut where they are read; what is dealt by unit afterwards
     are numbers.
     """
-    body = running(F.translate(text, MARK, " "))
+    body, stand_ins = running(_replaced(F.col(text), MARK, " ")), F.col(readings) if readings else F.array().cast("array<string>")
     none = F.array().cast("array<struct<token:string,at:int,from:int,to:int>>")
-    elements = F.when(F.contains(body, F.lit(ELEMENT)), read_elements(body, F.col(readings) if readings else F.array().cast("array<string>"))).otherwise(none)
-    one = units.where(F.col(text).isNotNull()).select(*keys, F.length(text).alias("_n"), body.alias("_text"), elements.alias("_elements"))
+    one = units.where(F.col(text).isNotNull()).select(*keys, F.length(text).alias("_n"), body.alias("_text"), stand_ins.alias("_readings"))
+    elements = F.when(F.contains("_text", F.lit(ELEMENT)), read_elements(F.col("_text"), F.col("_readings"))).otherwise(none)
+    one = one.select(*keys, "_n", "_text", elements.alias("_elements"))
     parts = F.split("_text", ELEMENT, -1)
     seen = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("_elements", i)["token"], F.lit("")))), "")
     marked = F.split(F.regexp_replace(F.when(F.size("_elements") == 0, F.col("_text")).otherwise(seen), BOUNDARY, f"$0{MARK}"), MARK, -1)
@@ -185,7 +203,7 @@ def sentence_cuts(units: DataFrame, keys: list[str], text: str, readings: str |
 
     def judged(i: Column) -> Column:
         piece = F.get("_pieces", i)
-        tail = F.regexp_replace(piece, r"[\s\x{A0}]+\z", "")
+        tail = F.rtrim(piece, F.lit(" \t\n\f\r\xa0"))
         return F.struct(F.length(piece).alias("n"), (F.length(piece) - F.length(tail)).alias("white"), joined(tail, F.get("_pieces", i + 1)).alias("joined"))
 
     inner = F.filter(F.sequence(F.lit(0), F.size("_pieces") - 1), lambda i: i < F.size("_pieces") - 1)

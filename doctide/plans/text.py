@@ -481,7 +481,7 @@ WHERE NOT ({_rule_sql("tail", S.ABBREVIATED)} AND (NOT {_rule_sql("tail", S.MAY_
 @P.query(_CUTS)
 def sentence_cuts(spark, sf_dir):
     """Where each sentence of a line after the first begins, by break classes and the rules that join pieces."""
-    return S.sentence_cuts(lines(spark, sf_dir).withColumn("line", F.translate("line", S.ELEMENT, " ")), ["doc_id", "pos"], "line")
+    return S.sentence_cuts(lines(spark, sf_dir).withColumn("line", F.replace("line", F.lit(S.ELEMENT), F.lit(" "))), ["doc_id", "pos"], "line")
 
 
 @P.query(sql("SELECT doc_id, bool_and(length(line) >= 0) AND sum(length(line) + 1) - 1 = max(n) AS valid FROM (SELECT l.*, length(d.text) AS n FROM lines l JOIN documents d USING (doc_id)) GROUP BY doc_id"))

@@ -1,6 +1,9 @@
 """Sentence cuts of hand-made texts with elements, and the fold that reads elements."""
 
+import duckdb
+
 from doctide.operators import sentences as S
+from doctide.plans import text as plans
 
 OBJ = S.ELEMENT
 
@@ -75,3 +78,16 @@ def test_the_mark_in_a_text_is_a_space(spark):
 def test_a_long_unit(spark):
     text = "It is one of many. " * 20_000
     assert cuts(spark, (text, None))[0] == [19 * k for k in range(1, 20_000)]
+
+
+def test_ends_of_pieces_as_in_sql(spark, tmp_path):
+    """Rules want a stop at the very end; long words, other separators, and all kinds of white space after a stop."""
+    texts = [
+        "See Fig. Next one. And so.", "See Fig.\x0bNext one.", "Astrophys. Next. MyAstrophys. Next. xAstrophys. 4 Next.", "Astrophys. Lett. 4.", "A_Fig. Next.", "Fig. 4.\xa0Next.　Then.", "Nevada v. Hall. Xv. Hall. A v.\tB.",
+        "In Sept. 2021. In xSept. 2021. Then.", "Chaps. IV. xChaps. IV. Nos. 4", "Label. 5 Labels. 5 Labelss. 5 is.", "etc. we etc. We. al. (x", "a\tb.\tC\fd.\fE", "tail.\x85Next. v.", "￼.￼ A. ￿ B.",
+    ]
+    spark.createDataFrame([(k, t, "xx", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.ORACLE["sentence_cuts"]).fetchall()
+    assert sorted(map(tuple, plans.sentence_cuts(spark, str(tmp_path)).collect())) == sorted(want)
