@@ -108,7 +108,8 @@ def _boundary() -> str:
     return f"{line}|{one['T']}{e}{tail}(?:{line}|(?!{goes_on}))|{one['A']}{e}{inside}{tail}(?:{line}|(?!{goes_on}|[^{stop}]*+{one['L']}))"
 
 
-BOUNDARY = _boundary()
+#: Signs that are most of a text and stand before no boundary are passed by one look.
+BOUNDARY = f"(?![A-Za-z0-9 ,\\x{{C0}}-\\x{{FF}}])(?:{_boundary()})"
 
 
 def running(text: Column) -> Column:
