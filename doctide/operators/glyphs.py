@@ -78,7 +78,8 @@ def _near() -> str:
             ranges.append([c, c])
         ranges[-1][1] = c
     inside = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges)
-    return f"[^{inside}]?+[{inside}]++(?:[^{inside}][{inside}]++)*+[^{inside}]?+"
+    # two plain signs, as most of a text is, are passed by one look
+    return f"(?![A-Za-z0-9 ,.]{{2}})[^{inside}]?+[{inside}]++(?:[^{inside}][{inside}]++)*+[^{inside}]?+"
 
 
 #: A sign of another range reads as itself unless it stands beside one of these; with one such sign on either side a stretch is whole.
